@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, contamination, lines
+from lakeloom.llm import bpe, chat, contamination, html, lines, warc
 from lakeloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -26,5 +30,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_bpe, op3_line_dedup, op4_decontamination)}
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE_SQL, "op4_decontamination": contamination.ORACLE_SQL}
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_line_dedup, op4_decontamination, op6_warc, op8_chat)}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE_SQL, "op4_decontamination": contamination.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
