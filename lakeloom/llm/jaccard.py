@@ -77,7 +77,7 @@ class Scheme:
     def with_deletions(self, band: int) -> int:
         """The first so many segments are indexed with their one-deletion neighbours as well."""
         m = self.segments(band)
-        return m // 16 + 1 if m > 1 else 0
+        return m // 32 + 1 if m > 1 else 0
 
     def differences(self, a: int, b: int) -> int:
         """Shingles in which similar sets of these sizes differ at most."""
@@ -136,13 +136,14 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long")
 
 
-def _rows(docs: DataFrame, k: int, emit) -> DataFrame:
-    """(key, node, n, flags): what emit(shingles) gives for each distinct set; a task leaves out most sets that it has met before."""
+def _emitted(docs: DataFrame, k: int, emit, schema: str) -> DataFrame:
+    """What emit(shingles, node) gives for each distinct set, as columns; a task leaves out most sets that it has met before."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, met = Shingler(k), set()
         for b in batches:
-            keys, nodes, sizes, flags = [], [], [], []
+            out: list[list[np.ndarray]] = []
             for text in b.column(0).to_pylist():
                 s = shingle(text)
                 node = _fingerprint(s)
@@ -150,42 +151,51 @@ def _rows(docs: DataFrame, k: int, emit) -> DataFrame:
                     continue
                 if len(met) < 1_000_000:
                     met.add(node)
-                for key, flag in emit(s):
-                    keys.append(key)
-                    flags.append(np.full(len(key), flag, np.int8))
-                    nodes.append(np.full(len(key), node, np.int64))
-                    sizes.append(np.full(len(key), len(s), np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, flags)], ["key", "node", "n", "flags"])
+                out += emit(s, node)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(run, "key long, node long, n int, flags byte")
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(run, schema)
 
 
-def index_rows(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    def emit(s: np.ndarray):
+def key_counts(docs: DataFrame, k: int, scheme: Scheme) -> np.ndarray:
+    """How many index keys of the whole corpus fall under each counter."""
+
+    def emit(s: np.ndarray, node: int):
         full, _, dels = scheme.keys(s, scheme.band(len(s)))
-        return (full, INDEX), (dels, INDEX_DELETION)
+        return [(np.concatenate([full, dels]) % COUNTERS,)]
 
-    return _rows(docs, k, emit)
+    counts = np.zeros(COUNTERS, np.int64)
+    for row in _emitted(docs, k, emit, "counter long").groupBy("counter").count().toLocalIterator():
+        counts[row[0]] = row[1]
+    return counts
 
 
-def lookup_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> DataFrame:
+def key_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> DataFrame:
+    """(key, node, n, flags): each set's index keys and the keys it looks up; a key that is both is one row."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def emit(s: np.ndarray):
-        size, out = len(s), []
-        own = scheme.band(size)
+    def emit(s: np.ndarray, node: int):
+        size, own, out = len(s), scheme.band(len(s)), []
         for band in (own, own - 1):
             top = min(size, int(scheme.edges[band + 1]) - 1) if band >= 0 else 0
             if scheme.den * top < scheme.num * size:
                 continue
             full, at, dels = scheme.keys(s, band)
             one, two = scheme.allocate(full, at, dels, scheme.differences(size, top) + 1, shared.value)
-            wide = np.isin(one, two)
-            out += [(full[one[~wide]], LOOK), (full[one[wide]], LOOK_WIDE), (dels[np.isin(at, two)], LOOK_DELETION)]
+            look = np.zeros(len(full), np.int8)
+            look[one] = LOOK
+            look[two] = LOOK_WIDE
+            near = np.where(np.isin(at, two), LOOK_DELETION, 0).astype(np.int8)
+            if band == own:
+                look |= INDEX
+                near |= INDEX_DELETION
+            keys, flags = np.concatenate([full, dels]), np.concatenate([look, near])
+            keys, flags = keys[flags > 0], flags[flags > 0]
+            out.append((keys, np.full(len(keys), node, np.int64), np.full(len(keys), size, np.int32), flags))
         return out
 
-    return _rows(docs, k, emit)
+    return _emitted(docs, k, emit, "key long, node long, n int, flags byte")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, scheme: Scheme) -> DataFrame:
@@ -231,18 +241,16 @@ def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
     scheme = Scheme(num, den)
     named = materialize(sets(docs, k), "sets")
     names = materialize(named.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names")
-    index = materialize(index_rows(docs, k, scheme), "index")
-    counts = np.zeros(COUNTERS, np.int64)
-    for row in index.groupBy(F.pmod("key", F.lit(COUNTERS)).alias("c")).count().toLocalIterator():
-        counts[row[0]] = row[1]
-    rows = index.union(materialize(lookup_rows(docs, k, scheme, counts), "lookups"))
-
-    is_index, is_look = F.col("flags") < LOOK, F.col("flags") >= LOOK
-    met = rows.groupBy("key").agg(
-        F.min(F.when(is_index, F.struct("node", "n"))).alias("hub"), F.min(F.when(is_index, F.col("node"))).alias("i0"), F.max(F.when(is_index, F.col("node"))).alias("i1"), F.min(F.when(is_look, F.col("node"))).alias("l0"), F.max(F.when(is_look, F.col("node"))).alias("l1")
-    )
-    met = materialize(met.where("i0 IS NOT NULL AND l0 IS NOT NULL AND NOT (i0 = i1 AND l0 = l1 AND i0 = l0)").select("key", "hub"), "keys")
-    rows = materialize(rows.join(met, "key").select("key", "node", "n", "flags", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "met")
+    rows = materialize(key_rows(docs, k, scheme, key_counts(docs, k, scheme)), "rows")
+
+    has = lambda bits: F.col("flags").bitwiseAND(F.lit(bits)) != 0
+    is_index, is_look = has(INDEX | INDEX_DELETION), has(LOOK | LOOK_WIDE | LOOK_DELETION)
+    # Most keys have one set only and end here.
+    met = materialize(rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "keys")
+    rows = materialize(rows.join(met, "key"), "met")
+    hubs = rows.where(is_index).groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
+    rows = rows.join(materialize(hubs, "hubs"), "key").select("key", "node", "n", "flags", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    rows = materialize(rows, "hubbed")
     fits = lambda a, b: (F.least(a, b) * F.lit(den) >= F.greatest(a, b) * F.lit(num))
     tried = rows.where(is_look & (F.col("node") != F.col("hub")) & fits(F.col("n").cast("long"), F.col("hub_n").cast("long")))
     tried = materialize(tried.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
@@ -255,7 +263,10 @@ def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
     rows = materialize(rows.join(materialize(mixed, "mixed"), "key"), "open")
     x = rows.where(is_index & (F.col("node") != F.col("hub"))).select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("flags").alias("fb"), F.col("label").alias("lb"))
     y = rows.where(is_look).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("flags").alias("fa"), F.col("label").alias("la"))
-    meet = (y["la"] != x["lb"]) & fits(y["na"].cast("long"), x["nb"].cast("long")) & ((x["fb"] == INDEX) | (y["fa"] == LOOK_WIDE)) & (x["nb"] <= y["na"])
+    # A neighbour meets a whole subset, not another neighbour, and a plain look meets whole subsets only.
+    either = (x["fb"].bitwiseAND(F.lit(INDEX)) != 0) & (y["fa"].bitwiseAND(F.lit(LOOK | LOOK_WIDE | LOOK_DELETION)) != 0)
+    either = either | (x["fb"].bitwiseAND(F.lit(INDEX_DELETION)) != 0) & (y["fa"].bitwiseAND(F.lit(LOOK_WIDE)) != 0)
+    meet = (y["la"] != x["lb"]) & fits(y["na"].cast("long"), x["nb"].cast("long")) & either & (x["nb"] <= y["na"])
     rest = materialize(y.join(x, (y["key"] == x["key"]) & meet).select("a", "b").distinct(), "pairs")
     more = _verified(rest, docs, names, k, scheme)
     found = connected_components(links.union(more)).withColumnRenamed("component", "root")

@@ -53,7 +53,6 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float =
     never boilerplate. Null texts stay null with no line removed; repeated rows lose or keep the same lines; an empty table gives an
     empty table; columns other than doc_id, source and text pass unread, but for n_lines and n_removed, which are replaced.
     """
-    spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_removed")
     common = materialize(boilerplate(docs.select("doc_id", "source", "text"), min_sites, near), "boilerplate")
     lines = docs.where("source IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
@@ -67,7 +66,6 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float =
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "g.gone"), lambda i: F.get(parts, i)), "\n")
     out = [F.when(F.col("g.gone").isNull(), F.col("d.text")).otherwise(kept).alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns]
     n_lines = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(parts)).cast("long")
-    assert spark is not None
     return both.select(*out, n_lines.alias("n_lines"), F.coalesce(F.size("g.gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeloom.llm import bpe, chat, contamination, html, lines, warc
+from lakeloom.llm import bpe, chat, contamination, embeddings, html, jaccard, lines, quality, toxicity, warc
 from lakeloom.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,13 +30,34 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(read_table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_line_dedup, op4_decontamination, op6_warc, op8_chat)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction, op2_bpe, op3_line_dedup, op4_decontamination, op5_jaccard_join, op6_warc, op7_quality, op8_chat, op9_toxicity, op10_embedding_dedup,
+    )
+}
 ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE_SQL, "op4_decontamination": contamination.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
