@@ -6,8 +6,9 @@ each raised by one, add up to H + 1: then in some segment the subsets differ by
 by its subsets, and by the one-deletion neighbours of some segments; it looks up, in its own band and the one below, the segments
 that are cheapest by counts over the whole corpus. Sets that meet under a key are verified exactly on their texts.
 
-A key that many sets share does not make all pairs of them. First each set is compared with the least set of its keys only; links make
-components. Then only sets that share a key and are not in one component yet are compared, so none is missed.
+A key that many sets share does not make all pairs of them. First each set is compared only with the set of its keys that meets the most
+others; links make components. Then only sets that share a key and are not in one component yet are paired, so none is missed. A
+sketch of parities goes before both: two sketches differ in no more bits than the sets in shingles.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.llm.common import connected_components, materialize, mix64, small_batches
@@ -123,17 +124,35 @@ def _fingerprint(shingles: np.ndarray) -> int:
     return int(mix64(np.array([np.sum(mix64(shingles + ODD[1]))], np.uint64) ^ np.uint64(len(shingles))).view(np.int64)[0]) or 1
 
 
+SKETCH = ("s0", "s1", "s2", "s3")
+
+
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    """256 bits: the parity of the number of shingles that hash to each."""
+    bits = np.bincount((mix64(shingles ^ ODD[0]) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _close(a: str, b: str, scheme: Scheme) -> Column:
+    """Whether the sketches of two sides, each with n and a sketch, leave similar sets possible."""
+    far = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    both = (F.col(f"{a}.n") + F.col(f"{b}.n")).cast("long")
+    return far * (scheme.den + scheme.num) <= both * (scheme.den - scheme.num)
+
+
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node, n_shingles) for each row of docs."""
+    """(doc_id, node, n_shingles, s0 to s3) for each row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
         for b in batches:
             found = [shingle(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_fingerprint, found), pa.int64()), pa.array(map(len, found), pa.int64())], ["doc_id", "node", "n_shingles"])
+            sketches = np.array([_sketch(s) for s in found], np.int64).reshape(-1, 4).T
+            arrays = [b.column(0), pa.array(map(_fingerprint, found), pa.int64()), pa.array(map(len, found), pa.int64()), *map(pa.array, sketches)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "n_shingles", *SKETCH])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _emitted(docs: DataFrame, k: int, emit, schema: str) -> DataFrame:
@@ -172,11 +191,14 @@ def key_counts(docs: DataFrame, k: int, scheme: Scheme) -> np.ndarray:
 
 
 def key_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> DataFrame:
-    """(key, node, n, flags): each set's index keys and the keys it looks up; a key that is both is one row."""
+    """(key, node, n, weight, flags): each set's index keys and the keys it looks up; a key that is both is one row.
+
+    The weight tells how many sets the set's own keys meet, by the counters.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def emit(s: np.ndarray, node: int):
-        size, own, out = len(s), scheme.band(len(s)), []
+        size, own, weight, out = len(s), scheme.band(len(s)), 0, []
         for band in (own, own - 1):
             top = min(size, int(scheme.edges[band + 1]) - 1) if band >= 0 else 0
             if scheme.den * top < scheme.num * size:
@@ -190,12 +212,13 @@ def key_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> Dat
             if band == own:
                 look |= INDEX
                 near |= INDEX_DELETION
+                weight = min(int(shared.value[full % COUNTERS].sum()), 2**31 - 1)
             keys, flags = np.concatenate([full, dels]), np.concatenate([look, near])
             keys, flags = keys[flags > 0], flags[flags > 0]
-            out.append((keys, np.full(len(keys), node, np.int64), np.full(len(keys), size, np.int32), flags))
+            out.append((keys, np.full(len(keys), node, np.int64), np.full(len(keys), size, np.int32), np.full(len(keys), weight, np.int32), flags))
         return out
 
-    return _emitted(docs, k, emit, "key long, node long, n int, flags byte")
+    return _emitted(docs, k, emit, "key long, node long, n int, weight int, flags byte")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, scheme: Scheme) -> DataFrame:
@@ -240,7 +263,8 @@ def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
     small_batches(spark)
     scheme = Scheme(num, den)
     named = materialize(sets(docs, k), "sets")
-    names = materialize(named.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "names")
+    known = named.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node")
+    names = materialize(known.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in SKETCH]), "names")
     rows = materialize(key_rows(docs, k, scheme, key_counts(docs, k, scheme)), "rows")
 
     has = lambda bits: F.col("flags").bitwiseAND(F.lit(bits)) != 0
@@ -248,32 +272,33 @@ def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
     # Most keys have one set only and end here.
     met = materialize(rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "keys")
     rows = materialize(rows.join(met, "key"), "met")
-    hubs = rows.where(is_index).groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
-    rows = rows.join(materialize(hubs, "hubs"), "key").select("key", "node", "n", "flags", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+    hubs = rows.where(is_index).groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("hub"))
+    rows = rows.join(materialize(hubs, "hubs"), "key").select("key", "node", "flags", F.col("hub.node").alias("hub"))
     rows = materialize(rows, "hubbed")
-    fits = lambda a, b: (F.least(a, b) * F.lit(den) >= F.greatest(a, b) * F.lit(num))
-    tried = rows.where(is_look & (F.col("node") != F.col("hub")) & fits(F.col("n").cast("long"), F.col("hub_n").cast("long")))
-    tried = materialize(tried.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    tried = materialize(rows.where(is_look & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "tried")
+    sides = [names.select(F.col("node").alias(c), F.struct("n", *SKETCH).alias(f"of_{c}")) for c in "ab"]
+    tried = materialize(tried.join(sides[0], "a").join(sides[1], "b").where(_close("of_a", "of_b", scheme)).select("a", "b"), "pairs")
     links = _verified(tried, docs, names, k, scheme)
     label = materialize(connected_components(links), "labels")
 
-    rows = rows.join(label, "node", "left").select("key", "node", "n", "flags", "hub", F.coalesce("component", "node").alias("label"))
+    rows = rows.join(label, "node", "left").select("key", "node", "flags", "hub", F.coalesce("component", "node").alias("label"))
     rows = materialize(rows, "labelled")
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rows = materialize(rows.join(materialize(mixed, "mixed"), "key"), "open")
-    x = rows.where(is_index & (F.col("node") != F.col("hub"))).select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("flags").alias("fb"), F.col("label").alias("lb"))
-    y = rows.where(is_look).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("flags").alias("fa"), F.col("label").alias("la"))
+    rows = rows.join(materialize(mixed, "mixed"), "key").join(names.select("node", F.struct("n", *SKETCH).alias("of")), "node")
+    rows = materialize(rows, "open")
+    x = rows.where(is_index & (F.col("node") != F.col("hub"))).select("key", F.col("node").alias("b"), F.col("of").alias("of_b"), F.col("flags").alias("fb"), F.col("label").alias("lb"))
+    y = rows.where(is_look).select("key", F.col("node").alias("a"), F.col("of").alias("of_a"), F.col("flags").alias("fa"), F.col("label").alias("la"))
     # A neighbour meets a whole subset, not another neighbour, and a plain look meets whole subsets only.
     either = (x["fb"].bitwiseAND(F.lit(INDEX)) != 0) & (y["fa"].bitwiseAND(F.lit(LOOK | LOOK_WIDE | LOOK_DELETION)) != 0)
     either = either | (x["fb"].bitwiseAND(F.lit(INDEX_DELETION)) != 0) & (y["fa"].bitwiseAND(F.lit(LOOK_WIDE)) != 0)
-    meet = (y["la"] != x["lb"]) & fits(y["na"].cast("long"), x["nb"].cast("long")) & either & (x["nb"] <= y["na"])
+    meet = (F.col("la") != F.col("lb")) & (F.col("of_b.n") <= F.col("of_a.n")) & (F.col("of_b.n") * den >= F.col("of_a.n") * num) & either & _close("of_a", "of_b", scheme)
     rest = materialize(y.join(x, (y["key"] == x["key"]) & meet).select("a", "b").distinct(), "pairs")
     more = _verified(rest, docs, names, k, scheme)
     found = connected_components(links.union(more)).withColumnRenamed("component", "root")
     found = materialize(found, "components")
     least = found.join(names, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = materialize(names.join(found, "node", "left").join(least, "root", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "of")
-    out = named.join(of, "node", "left")
+    out = named.select("doc_id", "node", "n_shingles").join(of, "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
