@@ -593,9 +593,9 @@ def pii_redact(spark, sf):
 @query(r"""WITH d AS (SELECT doc_id, text, length(text) AS n, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, length(regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')) AS an FROM documents),
   s AS (SELECT doc_id, CASE WHEN n < 50 OR n > 4000 THEN 0 WHEN n <= 800 THEN (n - 50) / CAST(750 AS DOUBLE) ELSE (4000 - n) / CAST(3200 AS DOUBLE) END AS l, CASE WHEN len(w) < 2 THEN 0 WHEN len(list_distinct(w)) / len(w) <= 0.2 THEN 0 WHEN len(list_distinct(w)) / len(w) >= 0.5 THEN 1 ELSE (len(list_distinct(w)) / len(w) - 0.2) / 0.3 END AS t,
   CASE WHEN regexp_matches(text, '\?{3,}|@{2,}|<0x[0-9A-Fa-f]{2,}>|\\u00[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\x{FFFD}') OR an = 0 OR 1 - an / n > 0.5 THEN 0 ELSE 1 END AS c, trim(regexp_replace(text, '\s+', ' ', 'g')) = '' AS blank FROM d)
-  SELECT doc_id, round(CAST(CASE WHEN blank THEN 0 ELSE CAST(0.3 AS DOUBLE) * l + CAST(0.2 AS DOUBLE) + CAST(0.2 AS DOUBLE) * t + CAST(0.3 AS DOUBLE) * c END AS DOUBLE), 4) AS score FROM s""")
+  SELECT doc_id, round(CAST(CASE WHEN blank THEN 0 ELSE CAST(0.3 AS DOUBLE) * l + CAST(0.2 AS DOUBLE) + CAST(0.2 AS DOUBLE) * t + CAST(0.3 AS DOUBLE) * c END AS DOUBLE) + 1e-9, 4) AS score FROM s""")
 def quality_score(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(text.quality_score(F.col("text")), 4).alias("score"))
+    return table(spark, sf, "documents").select("doc_id", F.round(text.quality_score(F.col("text")) + 1e-9, 4).alias("score"))
 
 
 @query(rf"""WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), c AS (SELECT *, replace(' ' || lower(text) || ' ', ' ', '  ') AS sp FROM q)

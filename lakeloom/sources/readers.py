@@ -22,7 +22,7 @@ def sniff(name: Column, content: Column) -> Column:
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
     head = F.hex(F.substring(content, 1, 4))
     known = F.when(ext.isin("md", "markdown"), "markdown").when(ext.isin("htm", "html"), "html").when(ext.isin("csv", "tsv", "txt", "docx", "xlsx", "pdf", "json"), ext)
-    return F.coalesce(known, F.when(head.startswith("25504446"), "pdf").when(head == "504B0304", "zip").when(F.is_valid_utf8(F.decode(content, "UTF-8")) & ~F.contains(F.hex(F.substring(content, 1, 512)), F.lit("00")), "txt").otherwise("binary"))
+    return F.coalesce(known, F.when(head.startswith("25504446"), "pdf").when(head == "504B0304", "zip").when(F.is_valid_utf8(content.cast("string")) & ~F.contains(F.hex(F.substring(content, 1, 512)), F.lit("00")), "txt").otherwise("binary"))
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
