@@ -28,6 +28,7 @@ COUNTERS = 1 << 17
 #: Rows (id and hash) that may be broadcast to pick texts; beyond it they are joined.
 BROADCAST_PICKS = 300_000
 INDEX, INDEX_DELETION, LOOK, LOOK_WIDE, LOOK_DELETION = 1, 2, 4, 8, 16
+ONLY_LOOKS = 1 << 60
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -191,9 +192,9 @@ def key_counts(docs: DataFrame, k: int, scheme: Scheme) -> np.ndarray:
 
 
 def key_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> DataFrame:
-    """(key, node, n, weight, flags): each set's index keys and the keys it looks up; a key that is both is one row.
+    """(key, node, info): each set's index keys and the keys it looks up; a key that is both is one row.
 
-    The weight tells how many sets the set's own keys meet, by the counters.
+    info sorts index rows first, and of these the sets whose own keys meet the most others by the counters; its low byte holds the flags.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -213,12 +214,50 @@ def key_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> Dat
                 look |= INDEX
                 near |= INDEX_DELETION
                 weight = min(int(shared.value[full % COUNTERS].sum()), 2**31 - 1)
-            keys, flags = np.concatenate([full, dels]), np.concatenate([look, near])
+            keys, flags = np.concatenate([full, dels]), np.concatenate([look, near]).astype(np.int64)
             keys, flags = keys[flags > 0], flags[flags > 0]
-            out.append((keys, np.full(len(keys), node, np.int64), np.full(len(keys), size, np.int32), np.full(len(keys), weight, np.int32), flags))
+            order = np.where(flags & (INDEX | INDEX_DELETION), (2**31 - 1 - weight) << 8, ONLY_LOOKS)
+            out.append((keys, np.full(len(keys), node, np.int64), order | flags))
         return out
 
-    return _emitted(docs, k, emit, "key long, node long, n int, weight int, flags byte")
+    return _emitted(docs, k, emit, "key long, node long, info long")
+
+
+def meeting_rows(rows: DataFrame) -> DataFrame:
+    """(key, node, flags, hub): the rows of keys that an index row shares with others; hub is the key's first index row.
+
+    Each key's rows come sorted, from a sort that spills, and pass through with one row kept back, so no key needs memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 3), np.int64)  # the last key's only row so far
+        last: tuple[int, ...] | None = None
+        going: tuple[int, int, bool] | None = None  # the last key, its hub and whether it has one, if its rows are being passed on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = np.stack([c.to_numpy() for c in b.columns], 1)
+            fresh = np.ones(len(t), bool)
+            fresh[1:] = (t[1:] != t[:-1]).any(axis=1)
+            fresh[0] = last is None or tuple(t[0]) != last
+            last = tuple(t[-1])
+            t = np.concatenate([held, t[fresh]])
+            held = held[:0]
+            if not len(t):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], t[1:, 0] != t[:-1, 0]]))
+            size = np.diff(np.append(start, len(t)))
+            hub, good, on = t[start, 1].copy(), t[start, 2] < ONLY_LOOKS, size > 1
+            if going and t[0, 0] == going[0]:
+                hub[0], good[0], on[0] = going[1], going[2], True
+            if on[-1]:
+                going = (int(t[-1, 0]), int(hub[-1]), bool(good[-1]))
+            else:
+                held, going = t[-1:], None
+            keep = np.repeat(on & good, size)
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep, 0]), pa.array(t[keep, 1]), pa.array((t[keep, 2] & 255).astype(np.int8)), pa.array(np.repeat(hub, size)[keep])], ["key", "node", "flags", "hub"])
+
+    return rows.repartition("key").sortWithinPartitions("key", "info", "node").mapInArrow(run, "key long, node long, flags byte, hub long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, scheme: Scheme) -> DataFrame:
@@ -265,16 +304,10 @@ def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
     named = materialize(sets(docs, k), "sets")
     known = named.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node")
     names = materialize(known.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in SKETCH]), "names")
-    rows = materialize(key_rows(docs, k, scheme, key_counts(docs, k, scheme)), "rows")
+    rows = materialize(meeting_rows(key_rows(docs, k, scheme, key_counts(docs, k, scheme))), "met")
 
     has = lambda bits: F.col("flags").bitwiseAND(F.lit(bits)) != 0
     is_index, is_look = has(INDEX | INDEX_DELETION), has(LOOK | LOOK_WIDE | LOOK_DELETION)
-    # Most keys have one set only and end here.
-    met = materialize(rows.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key"), "keys")
-    rows = materialize(rows.join(met, "key"), "met")
-    hubs = rows.where(is_index).groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "node")).alias("hub"))
-    rows = rows.join(materialize(hubs, "hubs"), "key").select("key", "node", "flags", F.col("hub.node").alias("hub"))
-    rows = materialize(rows, "hubbed")
     tried = materialize(rows.where(is_look & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "tried")
     sides = [names.select(F.col("node").alias(c), F.struct("n", *SKETCH).alias(f"of_{c}")) for c in "ab"]
     tried = materialize(tried.join(sides[0], "a").join(sides[1], "b").where(_close("of_a", "of_b", scheme)).select("a", "b"), "pairs")
