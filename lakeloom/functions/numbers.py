@@ -12,12 +12,17 @@ NUMBER = r"\d[\d.,]*\d|\d"
 
 def literal(token: Column, suffixed: bool) -> Column:
     """A number with . or , between digits. Both: the last one is the decimal point. Several of one: groups. One: the decimal point before a unit or unless three digits follow."""
-    dots, commas = F.regexp_count(token, F.lit(r"\.")), F.regexp_count(token, F.lit(","))
-    bare = F.regexp_replace(token, "[.,]", "")
-    point = F.concat(F.regexp_replace(F.regexp_extract(token, r"^(.*)[.,](\d+)$", 1), "[.,]", ""), F.lit("."), F.regexp_extract(token, r"^(.*)[.,](\d+)$", 2))
-    one = F.lit(True) if suffixed else ~F.rlike(token, F.lit(r"[.,]\d{3}$"))
-    text = F.when(dots + commas == 0, token).when((dots > 0) & (commas > 0), point).when(dots + commas > 1, bare).when(one, point).otherwise(bare)
-    return text.try_cast("double")
+
+    def read(t: Column) -> Column:
+        dots, commas = F.regexp_count(t, F.lit(r"\.")), F.regexp_count(t, F.lit(","))
+        bare = F.regexp_replace(t, "[.,]", "")
+        point = F.concat(F.regexp_replace(F.regexp_extract(t, r"^(.*)[.,](\d+)$", 1), "[.,]", ""), F.lit("."), F.regexp_extract(t, r"^(.*)[.,](\d+)$", 2))
+        one = F.lit(True) if suffixed else ~F.rlike(t, F.lit(r"[.,]\d{3}$"))
+        text = F.when(dots + commas == 0, t).when((dots > 0) & (commas > 0), point).when(dots + commas > 1, bare).when(one, point).otherwise(bare)
+        return text.try_cast("double")
+
+    # Bound to a variable, so the token's own expression is evaluated once.
+    return F.get(F.transform(F.array(token), read), F.lit(0))
 
 
 def money(text: Column, least: int = 0, most: int | None = None) -> Column:

@@ -64,3 +64,22 @@ def fixed_window(rows: DataFrame, seconds: int, limit: int, *keys: str, at: str
     bucket = F.floor(F.unix_timestamp(at) / seconds).cast("long")
     by = rows.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("n"))
     return by.withColumn("denied", F.greatest(F.col("n") - limit, F.lit(0)))
+
+
+def resolve_layers(layers: list[DataFrame], key: str, value: str) -> DataFrame:
+    """(key, value, layer): each key's value from the first layer that has one."""
+    rows = layers[0].select(key, F.col(value).cast("string").alias(value), F.lit(0).alias("layer"))
+    for i, x in enumerate(layers[1:], 1):
+        rows = rows.unionByName(x.select(key, F.col(value).cast("string").alias(value), F.lit(i).alias("layer")))
+    own = Window.partitionBy(key).orderBy("layer")
+    return rows.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+
+
+def page_after(rows: DataFrame, at: str, tie: str, cursor: str, n: int) -> DataFrame:
+    """The n newest rows before a cursor and one more, which tells whether another page follows."""
+    return rows.where(F.col(at) < F.lit(cursor).cast("timestamp")).orderBy(F.desc(at), F.desc(tie)).limit(n + 1)
+
+
+def latest_hit_rate(rows: DataFrame, key: str, hit: str, at: str, tie: str) -> DataFrame:
+    """Share of hits by key, and the latest outcome."""
+    return rows.groupBy(key).agg(F.round(F.avg(F.col(hit).cast("int")), 6).alias("hit_rate"), F.max_by(hit, F.struct(at, tie)).alias("latest"))

@@ -116,15 +116,16 @@ def char_cap(rows: DataFrame, cap: int, text: str = "content") -> DataFrame:
 
     What fits depends on all before it: a fold over each query's short list of (rank, length).
     """
-    items = F.array_sort(F.collect_list(F.struct("rank", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n"))))
+    others = [c for c in rows.columns if c not in (Q, "rank")]
+    items = F.array_sort(F.collect_list(F.struct("rank", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n"), F.struct(*others).alias("row"))))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ranks"))
 
     def step(a: Column, x: Column) -> Column:
         fits = (a["used"] + x["n"] <= cap) | (F.size(a["ranks"]) == 0)
         return F.when(fits, F.struct((a["used"] + x["n"]).alias("used"), F.concat(a["ranks"], F.array(x["rank"].cast("int"))).alias("ranks"))).otherwise(a)
 
-    kept = rows.groupBy(Q).agg(F.aggregate(items, zero, step)["ranks"].alias("ranks")).select(Q, F.explode("ranks").alias("rank"))
-    return rows.join(kept, [Q, "rank"], "left_semi")
+    folded = rows.groupBy(Q).agg(items.alias("items")).withColumn("ranks", F.aggregate("items", zero, step)["ranks"])
+    return folded.select(Q, F.explode(F.filter("items", lambda x: F.array_contains(F.col("ranks"), x["rank"].cast("int")))).alias("x")).select(Q, "x.rank", "x.row.*")
 
 
 def lost_in_middle(rows: DataFrame) -> DataFrame:

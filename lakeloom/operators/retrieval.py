@@ -136,3 +136,17 @@ def graph_hops(edges: DataFrame, seeds: DataFrame, hops: int, per_hop: int = 50)
         front = step.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= per_hop).select(Q, "node", F.lit(h).alias("hop"))
         seen = seen.unionByName(front)
     return seen
+
+
+def mention_seeds(queries: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, node): nodes of edges whose name holds a keyword of the query; queries(query_id, keyword) are broadcast, so they must be few."""
+    nodes = edges.select(F.col("subject").alias("node")).union(edges.select("object")).distinct()
+    return nodes.join(F.broadcast(queries), F.contains(F.lower("node"), F.lower("keyword"))).select(Q, "node").distinct()
+
+
+def coherence(vectors: DataFrame, key: str) -> DataFrame:
+    """(key, coherence): mean cosine of a group's vectors with their centroid; sums are taken by dimension, so no group is gathered."""
+    unit = with_norm(vectors).where("norm > 0").select(key, F.posexplode(F.transform("embedding", lambda v: v.cast("double") / F.col("norm"))).alias("dim", "v"))
+    sums = unit.groupBy(key, "dim").agg(F.sum("v").alias("s"), F.count("*").alias("n"))
+    # The mean of unit vectors' cosines with their sum is the sum's length over their number.
+    return sums.groupBy(key).agg(F.round(F.sqrt(F.sum(F.col("s") * F.col("s"))) / F.max("n"), 6).alias("coherence"))
