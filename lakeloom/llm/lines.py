@@ -32,10 +32,16 @@ def _keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("k"), F.hash(line, F.lit(7)).alias("k2")]
 
 
+def _exploded(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, text_key, pos, line). The text is hashed and split below the explode, once and not once a line."""
+    split = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), _lines(F.col("text")).alias("lines"))
+    return split.select("doc_id", "source", "text_key", F.posexplode("lines").alias("pos", "line"))
+
+
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
     """(k, k2, n_sites, first) of the lines on min_sites sites or more; first is their least (doc_id, text_key, line number)."""
-    lines = docs.select("doc_id", "source", F.xxhash64("text").alias("text_key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.withColumn("line", _bare(F.col("line"))).where("line <> '' AND source IS NOT NULL")
+    lines = _exploded(docs.where("source IS NOT NULL"))
+    lines = lines.withColumn("line", _bare(F.col("line"))).where("line <> ''")
     lines = lines.select("doc_id", "text_key", "pos", "source", *_keys(F.col("line")))
     sketched = lines.groupBy("k", "k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", LOG_BUCKETS)).alias("about"), F.min(F.struct("doc_id", "text_key", "pos")).alias("first"))
     # A line needs two sites or more in any case: the bulk of the lines ends here.
@@ -55,7 +61,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float =
     """
     docs = docs.drop("n_lines", "n_removed")
     common = materialize(boilerplate(docs.select("doc_id", "source", "text"), min_sites, near), "boilerplate")
-    lines = docs.where("source IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    lines = _exploded(docs.where("source IS NOT NULL"))
     lines = lines.select("doc_id", "text_key", "pos", *_keys(_bare(F.col("line"))))
     # Written first: then the join reads plain exchanges on both sides, and a line on very many rows is split.
     again = lines.join(common, ["k", "k2"]).where(~F.struct("doc_id", "text_key", "pos").eqNullSafe(F.col("first")))
