@@ -57,11 +57,12 @@ def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b:
 
     Corpus statistics come from all chunks; only the postings of query terms are scored.
     """
-    size = F.size(terms(F.col("content")))
-    stats = chunks.agg(F.count("*").alias("n"), F.avg(size).alias("mean"))
+    # The terms come before the explode, so they aren't taken anew for each of them.
+    split = chunks.select(C, terms(F.col("content")).alias("t"))
+    stats = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
     wanted = queries.select(Q, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     vocabulary = wanted.select("term").distinct()
-    rows = chunks.select(C, size.alias("size"), F.explode(terms(F.col("content"))).alias("term"))
+    rows = split.select(C, F.size("t").alias("size"), F.explode("t").alias("term"))
     own = rows.join(vocabulary, "term", "left_semi").groupBy(C, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
