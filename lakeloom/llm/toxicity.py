@@ -25,6 +25,8 @@ SAMPLE = 2000
 #: Hash buckets, embedding size, filters of each width, lengths of the beginnings.
 BUCKETS, SIZE, FILTERS, WIDTHS, BEGINNINGS = 1 << 16, 8, 6, (1, 2, 3), (3, 4, 5)
 EPOCHS, BATCH, RATE = 3, 32, 0.05
+#: Steps of the descent at least: a small sample is gone over more often.
+STEPS = 200
 CUT = 0.3
 #: Distinct words of which a task keeps the responses.
 CACHE = 150_000
@@ -106,12 +108,12 @@ def _start(docs: list[np.ndarray], table: np.ndarray, y: np.ndarray) -> Network:
     z = (seen[1] - rate * n[1]) / np.sqrt(rate * n[1] + 1)
     odds = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0])
     embed = rng.normal(0, 0.02, (BUCKETS, SIZE))
-    embed[:, 0] += np.where(z > 3, np.clip(odds, 0, 4), 0)
+    embed[:, 0] += np.where(z > 2.5, np.clip(odds, 0, 4), 0)
     places = sum(WIDTHS)
     filters = rng.normal(0, 0.1, (SIZE, places * FILTERS))
     filters[0] += 0.5
     m = len(WIDTHS) * FILTERS
-    return Network(embed, filters, np.full(m, -0.5), np.abs(rng.normal(0.15, 0.05, m)), -1.0, np.zeros(len(NAMES) + 1))
+    return Network(embed, filters, np.full(m, -0.1), np.abs(rng.normal(0.15, 0.05, m)), -1.0, np.zeros(len(NAMES) + 1))
 
 
 def train(texts: list[list[str]], y: np.ndarray) -> Network:
@@ -135,7 +137,7 @@ def train(texts: list[list[str]], y: np.ndarray) -> Network:
         squares[name][at] += slope**2
         getattr(net, name)[at] -= RATE * slope / np.sqrt(squares[name][at])
 
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(own))))):
         rng.shuffle(own)
         for k in range(0, len(own), BATCH):
             part = [i for i in own[k : k + BATCH] if len(docs[i])]
