@@ -60,9 +60,12 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
 
 def shingles(text: Column, n: int) -> Column:
     """Distinct runs of n words; none for shorter texts."""
-    w = words(text)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    # Bound to a variable, so the text is split once and not once a run.
+    return F.get(F.transform(F.array(words(text)), runs), F.lit(0))
 
 
 def shingle_overlap(draft: Column, main: Column, n: int) -> Column:

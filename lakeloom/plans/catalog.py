@@ -113,10 +113,10 @@ def quality_distribution(spark, sf):
   u AS (SELECT budget_id, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS used_tokens FROM bb LEFT JOIN logs ON bb.tenant = logs.tenant AND started_at <= TIMESTAMP '2024-01-20 12:00:00'
     AND started_at >= CASE period WHEN 'monthly' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-20' END AND scope = CASE level WHEN 'tenant' THEN logs.tenant WHEN 'workspace' THEN logs.workspace ELSE CAST(logs.bot AS VARCHAR) END GROUP BY budget_id)
   SELECT budget_id, level, scope, period, token_limit, used_tokens, round(coalesce(used_tokens * 100.0 / nullif(token_limit, 0), 0), 4) AS pct, round(coalesce(used_tokens * 100.0 / nullif(token_limit, 0), 0), 4) >= 80 AS alerting FROM bb JOIN u USING (budget_id)""")
-def budget_status(spark, sf):
+def budget_status(spark, sf, customers="o_custkey < 150"):
     k = F.col("o_orderkey")
     level = F.when(k % 3 == 0, "tenant").when(k % 3 == 1, "workspace").otherwise("bot")
-    b = table(spark, sf, "orders").where("o_custkey < 150").select(k.alias("budget_id"), level.alias("level"), F.when(k % 2 == 0, "monthly").otherwise("daily").alias("period"), (F.round("o_totalprice").cast("long") % 1000).alias("token_limit"), F.col("o_custkey").alias("bot"))
+    b = table(spark, sf, "orders").where(customers).select(k.alias("budget_id"), level.alias("level"), F.when(k % 2 == 0, "monthly").otherwise("daily").alias("period"), (F.round("o_totalprice").cast("long") % 1000).alias("token_limit"), F.col("o_custkey").alias("bot"))
     b = b.join(bots(spark, sf), "bot").withColumn("scope", F.when(F.col("level") == "tenant", F.col("tenant")).when(F.col("level") == "workspace", F.col("workspace")).otherwise(F.col("bot").cast("string")))
     return analytics.budget_status(b.withColumn("alert_at_pct", F.lit(None).cast("int")), request_logs(spark, sf), "2024-01-20 12:00:00")
 
@@ -303,8 +303,8 @@ def content_hash_dups(spark, sf):
 
 
 @query(f"WITH {ENTITIES} SELECT name, count(DISTINCT size) AS prices, min(size) AS price FROM entities WHERE entity_id < 300 GROUP BY name HAVING count(DISTINCT size) = 1")
-def single_price_names(spark, sf):
-    return structured.single_price_names(entities(spark, sf).where("entity_id < 300").withColumn("price_primary", F.col("size")))
+def single_price_names(spark, sf, parts="entity_id < 300"):
+    return structured.single_price_names(entities(spark, sf).where(parts).withColumn("price_primary", F.col("size")))
 
 
 @query(f"WITH {ENTITIES}, {CHUNKS} SELECT entity_id, c.chunk_id AS record_chunk_id FROM entities e LEFT JOIN chunks c ON e.doc_id = c.doc_id AND e.chunk_index = c.chunk_index")
@@ -415,25 +415,25 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
-def _bm25(spark, sf, k):
-    q = table(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+def _bm25(spark, sf, k, items="item_id < 20"):
+    q = table(spark, sf, "benchmark").where(items).select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25_topk(q, _docs(spark, sf), k)
 
 
 @query(f"WITH {BM25.format(k=10)} SELECT * FROM sparse")
-def bm25_topk(spark, sf):
-    return _bm25(spark, sf, 10)
+def bm25_topk(spark, sf, items="item_id < 20"):
+    return _bm25(spark, sf, 10, items)
 
 
 @query(f"""WITH {BM25.format(k=20)}, qv AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20), dn AS (SELECT q.query_id, c.vec_id AS chunk_id, {COS} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM qv q, embeddings c QUALIFY rank <= 20),
   f AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, d.rank AS dense_rank, s.rank AS sparse_rank, round(0.6 / (60 + coalesce(d.rank, 1000)) + 0.4 / (60 + coalesce(s.rank, 1000)), 12) AS score FROM dn d FULL JOIN sparse s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id)
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
-def hybrid_rrf_weighted(spark, sf):
-    q = table(spark, sf, "benchmark").where("item_id < 20").select(F.col("item_id").alias("query_id"), "text")
+def hybrid_rrf_weighted(spark, sf, items="item_id < 20"):
+    q = table(spark, sf, "benchmark").where(items).select(F.col("item_id").alias("query_id"), "text")
     v = vectors(spark, sf)
-    queries = q.join(v.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id")
+    queries = q.join(v.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id", "left")
     both = v.select("chunk_id", "embedding").join(_docs(spark, sf), "chunk_id", "full")
-    dense = retrieval.dense_topk(queries, both.where("embedding IS NOT NULL"), 20)
+    dense = retrieval.dense_topk(queries.where("embedding IS NOT NULL"), both.where("embedding IS NOT NULL"), 20)
     return ranking.rrf_weighted(dense, retrieval.bm25_topk(queries, both.where("content IS NOT NULL"), 20), 0.6, 0.4).where("rank <= 10")
 
 
@@ -604,13 +604,16 @@ def query_complexity(spark, sf):
     return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.round(text.query_complexity(F.col("text")), 6).alias("complexity"))
 
 
+def _overlaps(both):
+    return both.select("doc_id", F.round(text.shingle_overlap(F.col("text"), F.col("main"), 3), 6).alias("overlap"))
+
+
 @query(rf"""WITH s AS (SELECT d.doc_id, {W.format('d.text')} AS a, {W.format('b.text')} AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.doc_id < 200),
   g AS (SELECT doc_id, CASE WHEN len(a) >= 3 THEN list_distinct([list_aggregate(a[i:i+2], 'string_agg', ' ') for i in generate_series(1, len(a) - 2)]) ELSE [] END AS x, CASE WHEN len(b) >= 3 THEN list_distinct([list_aggregate(b[i:i+2], 'string_agg', ' ') for i in generate_series(1, len(b) - 2)]) ELSE [] END AS y FROM s)
   SELECT doc_id, round(CASE WHEN len(x) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(x) END, 6) AS overlap FROM g""")
 def shingle_overlap(spark, sf):
     d, b = table(spark, sf, "documents").where("doc_id < 200"), table(spark, sf, "benchmark")
-    both = d.join(b.select("item_id", F.col("text").alias("main")), F.col("doc_id") % 40 == F.col("item_id"))
-    return both.select("doc_id", F.round(text.shingle_overlap(F.col("text"), F.col("main"), 3), 6).alias("overlap"))
+    return _overlaps(d.join(b.select("item_id", F.col("text").alias("main")), F.col("doc_id") % 40 == F.col("item_id")))
 
 
 NUM = r"list_filter(regexp_extract_all(coalesce({0}, ''), '\d[\d.,]*\d|\d'), lambda t: length(regexp_replace(t, '[^0-9]', '', 'g')) >= 4)"

@@ -166,17 +166,17 @@ def keyword_scan(spark, sf):
 
 
 @query(f"WITH {BM25.format(k=10)}, b AS (SELECT query_id, chunk_id, score + CASE WHEN contains(lower(text), 'license') THEN 1.0 ELSE 0.0 END AS score FROM sparse JOIN documents ON doc_id = chunk_id) SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b")
-def phrase_boost(spark, sf):
+def phrase_boost(spark, sf, items="item_id < 20"):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    out = retrieval.phrase_boost(_bm25(spark, sf, 10).drop("rank").join(d, "chunk_id"), "License")
+    out = retrieval.phrase_boost(_bm25(spark, sf, 10, items).drop("rank").join(d, "chunk_id"), "License")
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH q AS (SELECT * FROM embeddings WHERE vec_id < 50), c AS (SELECT vec_id + 1 AS i, embedding FROM embeddings) SELECT q.vec_id, {COS} >= 0.1 AS kept FROM q JOIN c ON q.vec_id = c.i")
-def speculative_keep(spark, sf):
+def speculative_keep(spark, sf, answers="vec_id < 50"):
     v = table(spark, sf, "embeddings")
     c = v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("e2"))
-    return v.where("vec_id < 50").join(c, "vec_id").select("vec_id", (F.round(retrieval.cosine(F.col("embedding"), F.col("e2")), 9) >= 0.1).alias("kept"))
+    return v.where(answers).join(c, "vec_id").select("vec_id", (F.round(retrieval.cosine(F.col("embedding"), F.col("e2")), 9) >= 0.1).alias("kept"))
 
 
 @query("SELECT doc_id % 20 AS answer_id, round(coalesce(count(*) FILTER (quality = 1) / nullif(count(quality), 0), 1), 6) AS faithfulness FROM labels GROUP BY 1")
@@ -301,7 +301,7 @@ def table_to_entities(spark, sf):
 @query()
 def char_capped_context(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return ranking.char_cap(_bm25(spark, sf, 10).join(d, "chunk_id"), 4000).select("query_id", "chunk_id", "rank")
+    return ranking.char_cap(_bm25(spark, sf, 10, "true").join(d, "chunk_id"), 4000).select("query_id", "chunk_id", "rank")
 
 
 @query()

@@ -1,0 +1,92 @@
+"""The queries of the catalogue that run over a range of ids, over whole tables. The ranged ones stand as they were, since their SQL fixes the range."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lakeloom.functions import numbers
+from lakeloom.operators import dedup, ranking
+from lakeloom.plans import catalog, catalog_more
+from lakeloom.plans.catalog import ORACLES, _overlaps, query
+from lakeloom.plans.relations import chunks, table
+
+
+def _without(name: str, *ranges: tuple[str, str]) -> str:
+    """The ranged query's SQL with each range replaced."""
+    sql = ORACLES[name]
+    for old, new in ranges:
+        if sql.count(old) != 1:
+            raise ValueError(f"{name}: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+ITEMS = (" WHERE item_id < 20", "")
+
+
+@query(_without("bm25_topk", ITEMS))
+def bm25_topk_whole(spark, sf):
+    return catalog.bm25_topk(spark, sf, "true")
+
+
+@query(_without("hybrid_rrf_weighted", ITEMS, ("vec_id < 20", "vec_id IN (SELECT item_id FROM benchmark)")))
+def hybrid_rrf_weighted_whole(spark, sf):
+    return catalog.hybrid_rrf_weighted(spark, sf, "true")
+
+
+@query(_without("phrase_boost", ITEMS))
+def phrase_boost_whole(spark, sf):
+    return catalog_more.phrase_boost(spark, sf, "true")
+
+
+@query(_without("shingle_overlap", ("JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.doc_id < 200", "JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS items FROM benchmark) b ON d.doc_id % b.items = b.place")))
+def shingle_overlap_whole(spark, sf):
+    """Every document against one item, and every item in turn; the items' places come from one window over the benchmark alone."""
+    b = table(spark, sf, "benchmark")
+    placed = b.select(F.col("text").alias("main"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("place")).crossJoin(F.broadcast(b.agg(F.count("*").alias("items"))))
+    return _overlaps(table(spark, sf, "documents").join(F.broadcast(placed), F.col("doc_id") % F.col("items") == F.col("place")))
+
+
+@query(_without("budget_status", (" WHERE o_custkey < 150", "")))
+def budget_status_whole(spark, sf):
+    return catalog.budget_status(spark, sf, "true")
+
+
+@query(_without("single_price_names", (" WHERE entity_id < 300", "")))
+def single_price_names_whole(spark, sf):
+    return catalog.single_price_names(spark, sf, "true")
+
+
+SEEDS = "doc_id // 20 * 5 + doc_id % 5"
+
+
+@query(_without("neighbour_expand", ("SELECT doc_id % 5 AS query_id", f"SELECT {SEEDS} AS query_id"), ("PARTITION BY doc_id % 5", f"PARTITION BY {SEEDS}"), (" AND doc_id < 20", "")))
+def neighbour_expand_whole(spark, sf):
+    """Four seeds a query, as in the ranged one: the queries grow with the documents, not the seeds of a query."""
+    c = chunks(spark, sf)
+    own = Window.partitionBy("query_id").orderBy("doc_id")
+    seeds = c.where("chunk_index = 2").withColumn("query_id", F.expr("doc_id DIV 20 * 5 + doc_id % 5")).withColumn("rank", F.row_number().over(own))
+    return ranking.expand_neighbours(seeds, c, 1, 600).select("query_id", "chunk_id", "seed", "place")
+
+
+@query(_without("speculative_keep", (" WHERE vec_id < 50", "")))
+def speculative_keep_whole(spark, sf):
+    return catalog_more.speculative_keep(spark, sf, "true")
+
+
+@query(_without("rule_overlay", ("p_partkey < 100", "p_partkey % 150 < 100"), ("p_partkey >= 50 AND p_partkey < 150", "p_partkey % 150 >= 50")))
+def rule_overlay_whole(spark, sf):
+    p = table(spark, sf, "part")
+    rules = lambda some, name: p.where(some).select(F.col("p_partkey").alias("rule_id"), F.col(name).alias("pattern"))
+    return dedup.overlay_rules(rules("p_partkey % 150 < 100", "p_name"), rules("p_partkey % 150 >= 50", "p_brand"))
+
+
+@query(_without("money_literals", (" WHERE p_partkey BETWEEN 100 AND 999", "")))
+def money_literals_whole(spark, sf):
+    """As the ranged one, with thousands in groups of three at any length."""
+    k = F.col("p_partkey")
+    a = numbers.money(F.concat(F.lit("giá 1tr"), F.lpad((k % 900).cast("string"), 3, "0"), F.lit(" nhé")))
+    b = numbers.money(F.concat(k.cast("string"), F.lit(" triệu")))
+    c = numbers.money(F.translate(F.format_number(k * 1000, 0), ",", "."))
+    return table(spark, sf, "part").select("p_partkey", a.alias("a"), b.alias("b"), c.alias("c"))
