@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.ranking import C, Q, ranked, rrf_weighted
 
-#: Queries that may be broadcast against all rows; more are refused, as they'd need blocks.
+#: Queries that are broadcast against all rows at once, about; more are dealt into blocks.
 MAX_QUERIES = 10_000
 TERM = r"[a-zß-öø-ÿ]+"
 
@@ -26,19 +29,39 @@ def with_norm(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("norm", F.sqrt(square))
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one is made only where spark.checkpoint.dir is unset."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known:
+        known = tempfile.mkdtemp(prefix="lakeloom-")
+        spark.conf.set("spark.checkpoint.dir", known)
+    return known.rstrip("/")
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine for each of a bounded set of queries.
+    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine for each query.
 
-    The queries are broadcast behind a check of their number; the window keeps only k rows per query and task before it shuffles.
+    Blocks of queries, by a hash of the id, are broadcast and written one at a time; the window keeps only k rows per query and task before it shuffles.
+    All rows of a query id fall into one block, so a block holds more where an id repeats.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries at once: split them into blocks")
     q = with_norm(queries.select(Q, "embedding")).select(Q, F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
     c = with_norm(chunks.select(C, "embedding"))
     dot = F.aggregate(F.zip_with("embedding", "qe", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     score = F.coalesce(F.try_divide(dot, F.col("norm") * F.col("qn")), F.lit(0.0))
-    pairs = c.crossJoin(F.broadcast(q)).select(Q, C, F.round(score, 9).alias("score"))
-    return ranked(pairs, k)
+
+    def block(part: DataFrame) -> DataFrame:
+        return ranked(c.crossJoin(F.broadcast(part)).select(Q, C, F.round(score, 9).alias("score")), k)
+
+    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        return block(q)
+    # Half full on the average, so that hardly a block exceeds the bound.
+    n = -(-2 * queries.count() // MAX_QUERIES)
+    spark = queries.sparkSession
+    path = f"{_shared_dir(spark)}/lakeloom/dense-{uuid.uuid4().hex}"
+    for i in range(n):
+        found = block(q.where(F.pmod(F.xxhash64(Q), F.lit(n)) == i))
+        found.write.mode("append").parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
 
 
 def terms(text: Column) -> Column:
