@@ -1,7 +1,7 @@
 """Main text of web pages by site template removal.
 
-A first pass hashes the element subtrees of every page; Spark counts in how many pages of its host each subtree stands. A second pass
-deletes subtrees that recur across many pages of the host, together with elements that are furniture by their tag, role or class,
+A first pass hashes the element subtrees of every page; Spark counts in how many different bodies of its host each subtree stands. A second
+pass deletes subtrees that recur across several bodies of the host, together with elements that are furniture by their tag, role or class,
 and joins the blocks that are left.
 """
 
@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import materialize, small_batches
 
-#: A subtree is a template if it stands on so many pages of a host and on so large a share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.1
-#: Templates (host and hash) that may be broadcast; beyond it they are joined by host.
+#: A subtree is a template if it stands on so many pages of a host with different bodies.
+MIN_PAGES = 5
+#: Templates (host and hash) that may be broadcast; beyond it each page is joined with those of its own.
 BROADCAST_TEMPLATES = 200_000
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
@@ -142,10 +142,11 @@ class Page:
             out[n] = out[p] or self.tag[p] in ("article", "main") or self.attrs[p].get("role") == "main"
         return out
 
-    def template_hashes(self) -> set[int]:
-        """Hashes of the subtrees that may be templates: blocks with content, but neither roots nor the prose of an article."""
+    def template_hashes(self) -> tuple[int, set[int]]:
+        """The body's hash, or the whole page's where there is none; hashes of the subtrees that may be templates: blocks with content, but neither roots nor the prose of an article."""
         hashes, inside = self.hashes(), self.inside()
-        return {hashes[n] for n, t in enumerate(self.tag) if t in BLOCK and t not in ROOTS and self.pieces[n] and not (inside[n] and t in PROSE)}
+        body = next((hashes[n] for n, t in enumerate(self.tag) if t == "body"), hashes[0])
+        return body, {hashes[n] for n, t in enumerate(self.tag) if t in BLOCK and t not in ROOTS and self.pieces[n] and not (inside[n] and t in PROSE)}
 
     def text(self, templates: set[int] | frozenset[int] = frozenset()) -> str:
         """The article's blocks, joined by one line end each."""
@@ -203,26 +204,29 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hashes): the subtrees that recur across the pages of a host. A share bounds their number by the blocks of a page over it."""
+def _blocks(pages: DataFrame) -> DataFrame:
+    """(host, page, body, hash) of the subtrees of pages that may be templates; page is a hash of the html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, hashes = [], []
-            for h, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = sorted(Page(html or "").template_hashes())
-                hosts += [h] * len(found)
-                hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+            at, bodies, hashes = [], [], []
+            for i, html in enumerate(b.column(2).to_pylist()):
+                body, found = Page(html or "").template_hashes()
+                at += [i] * len(found)
+                bodies += [body] * len(found)
+                hashes += sorted(found)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(bodies, pa.int64()), pa.array(hashes, pa.int64())], ["host", "page", "body", "hash"])
 
-    hosts = pages.select(host(F.col("url")).alias("host"), "html")
-    counted = hosts.mapInArrow(run, "host string, hash long").groupBy("host", "hash").count().where(F.col("count") >= min_pages)
-    sizes = hosts.groupBy("host").agg(F.count("*").alias("pages"))
-    often = counted.join(sizes, "host").where(F.col("count") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+    return pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html").mapInArrow(run, "host string, page long, body long, hash long")
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, hash): the subtrees that recur across the pages of a host. Pages with the same body count once; the host's size plays no part."""
+    return _blocks(pages).groupBy("host", "hash").agg(F.count_distinct("body").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages.
 
     A null html is an empty page, a page without text gives the empty string, and pages without a host share the host ''. Unclosed and stray
@@ -230,15 +234,24 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
     """
     spark = pages.sparkSession
     small_batches(spark)
-    known = materialize(templates(pages, min_pages, min_share), "templates")
-    small = (known.agg(F.sum(F.size("hashes") + 1)).first()[0] or 0) <= BROADCAST_TEMPLATES
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(F.broadcast(known) if small else known, "host", "left")
-    rows = rows.select("page_id", "url", "html", "hashes")
+    known = materialize(templates(pages, min_pages), "templates")
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
+    shared = None
+    if known.count() <= BROADCAST_TEMPLATES:
+        by_host: dict[str, set[int]] = {}
+        for r in known.toLocalIterator():
+            by_host.setdefault(r.host, set()).add(r.hash)
+        shared = spark.sparkContext.broadcast(by_host)
+    else:
+        # A page's own templates only: their number doesn't grow with the host.
+        own = _blocks(pages).join(known, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("hashes"))
+        rows = rows.withColumn("page", F.xxhash64("html")).join(materialize(own, "own_templates"), ["host", "page"], "left").select("page_id", "url", "html", "hashes")
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [Page(html or "").text(frozenset(t or ())) for html, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            of = b.column(3).to_pylist()
+            texts = [Page(html or "").text(shared.value.get(t, frozenset()) if shared else frozenset(t or ())) for html, t in zip(b.column(2).to_pylist(), of, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
