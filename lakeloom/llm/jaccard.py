@@ -3,7 +3,7 @@
 A set of size s belongs to a size band. The universe of shingles is hashed into m segments, m by band, so every set falls into m subsets.
 Two sets that are similar enough differ in few shingles, H at most; give each segment an allowance of -1 (not looked at), 0 or 1 that,
 each raised by one, add up to H + 1: then in some segment the subsets differ by no more than the allowance. So each set is indexed
-by its subsets, and by the one-deletion neighbours of some segments; it looks up, in its own band and the one below, the segments
+by its subsets, and by the one-deletion neighbours of some segments; it looks up, in its own band and all below that hold similar sizes, the segments
 that are cheapest by counts over the whole corpus. Sets that meet under a key are verified exactly on their texts.
 
 A key that many sets share does not make all pairs of them. First each set is compared only with the set of its keys that meets the most
@@ -142,18 +142,18 @@ def _close(a: str, b: str, scheme: Scheme) -> Column:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, node, n_shingles, s0 to s3) for each row of docs."""
+    """(doc_id, text_key, node, n_shingles, s0 to s3) for each row of docs; text_key is a hash of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(k)
         for b in batches:
-            found = [shingle(t) for t in b.column(1).to_pylist()]
+            found = [shingle(t) for t in b.column(2).to_pylist()]
             sketches = np.array([_sketch(s) for s in found], np.int64).reshape(-1, 4).T
-            arrays = [b.column(0), pa.array(map(_fingerprint, found), pa.int64()), pa.array(map(len, found), pa.int64()), *map(pa.array, sketches)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "n_shingles", *SKETCH])
+            arrays = [b.column(0), b.column(1), pa.array(map(_fingerprint, found), pa.int64()), pa.array(map(len, found), pa.int64()), *map(pa.array, sketches)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "node", "n_shingles", *SKETCH])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, s0 long, s1 long, s2 long, s3 long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, node long, n_shingles long, s0 long, s1 long, s2 long, s3 long")
 
 
 def _emitted(docs: DataFrame, k: int, emit, schema: str) -> DataFrame:
@@ -200,10 +200,10 @@ def key_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> Dat
 
     def emit(s: np.ndarray, node: int):
         size, own, weight, out = len(s), scheme.band(len(s)), 0, []
-        for band in (own, own - 1):
-            top = min(size, int(scheme.edges[band + 1]) - 1) if band >= 0 else 0
+        for band in range(own, -1, -1):
+            top = min(size, int(scheme.edges[band + 1]) - 1)
             if scheme.den * top < scheme.num * size:
-                continue
+                break
             full, at, dels = scheme.keys(s, band)
             one, two = scheme.allocate(full, at, dels, scheme.differences(size, top) + 1, shared.value)
             look = np.zeros(len(full), np.int8)
@@ -298,6 +298,11 @@ def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
     and link with nothing. Rows without a doc_id have a null component and link with nothing. Repeated rows each give a row; other columns are not read.
     Sets are named by 64 bits: among n different sets, two share a name with a probability of n^2 / 2^65.
     """
+    return _components(docs, k, num, den).drop("text_key")
+
+
+def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The components' rows with text_key."""
     spark = docs.sparkSession
     small_batches(spark)
     scheme = Scheme(num, den)
@@ -331,12 +336,15 @@ def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataF
     found = materialize(found, "components")
     least = found.join(names, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = materialize(names.join(found, "node", "left").join(least, "root", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "of")
-    out = named.select("doc_id", "node", "n_shingles").join(of, "node", "left")
+    out = named.select("doc_id", "text_key", "node", "n_shingles").join(of, "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs without the rows whose component has a lesser doc_id; rows that repeat the least doc_id and rows without one stay."""
-    gone = components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), "n_shingles", "component_id").select("gone_id").distinct()
-    return docs.join(materialize(gone, "gone"), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """docs without the rows whose component has a lesser doc_id; rows that repeat the least doc_id and rows without one stay.
+
+    Rows that share an id are judged by their own texts.
+    """
+    gone = _components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    return docs.join(materialize(gone, "gone"), (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")
