@@ -17,46 +17,106 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import connected_components, materialize, mix64, small_batches
+from lakeloom.llm.common import PIECE_BYTES, Scratch, connected_components, materialize, mix64, pieces
 
 #: Counters of the cost table: its size does not depend on the corpus.
 COUNTERS = 1 << 17
 #: Rows (id and hash) that may be broadcast to pick texts; beyond it they are joined.
 BROADCAST_PICKS = 300_000
+#: Rows of a key that a task sends to one place before it keeps further ones apart; partners that one copy of a text is compared with.
+OFTEN, PARTNERS = 200, 2000
 INDEX, INDEX_DELETION, LOOK, LOOK_WIDE, LOOK_DELETION = 1, 2, 4, 8, 16
 ONLY_LOOKS = 1 << 60
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+#: The base of the words' polynomials and the number of each byte, alike for A-Z and a-z.
+BASE = 0x9E3779B97F4A7C15
+LETTER = mix64(np.array([x + 32 * (65 <= x <= 90) + 1 for x in range(256)], np.uint64) * ODD[0])
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Shingler:
-    """Sorted distinct shingle hashes of a text: words are lower-cased (A-Z) runs without ASCII white space."""
+    """Sorted distinct shingle hashes of texts: words are lower-cased (A-Z) runs without ASCII white space.
+
+    A word's hash is a polynomial of its bytes, read off running sums over many texts at once; a shingle's is a sum of its words' hashes, each
+    times a factor of its place.
+    """
 
     def __init__(self, k: int):
-        self.k, self.hashes = k, WordHashes()
+        self.k = k
+        self.factors = mix64(np.arange(1, k + 1, dtype=np.uint64) * ODD[0]) | np.uint64(1)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = 1 << (n - 1).bit_length()
+            step = np.full(n, BASE, np.uint64)
+            step[0] = 1
+            self.up = np.multiply.accumulate(step)
+            step[1:] = pow(BASE, -1, 1 << 64)
+            self.down = np.multiply.accumulate(step)
+
+    def _words(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words in bytes that start and end at the cuts; how many words start before each cut."""
+        n = len(b)
+        self._powers(n)
+        word = ~SPACE[b]
+        first, last = word.copy(), word.copy()
+        first[1:] &= ~word[:-1]
+        last[:-1] &= ~word[1:]
+        inner = cuts[(cuts > 0) & (cuts < n)]
+        first[inner], last[inner - 1] = word[inner], word[inner - 1]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(LETTER[b] * self.up[:n], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * ODD[1]
+        return mix64(h), np.searchsorted(start, cuts)
+
+    def _long(self, b: np.ndarray) -> np.ndarray:
+        """Hashes of the words of one text, piece by piece."""
+        out, at = [], 0
+        while at < len(b):
+            end = min(len(b), at + PIECE_BYTES)
+            while end < len(b) and not SPACE[b[end]]:  # on to the end of the word
+                gap = np.flatnonzero(SPACE[b[end : end + 4096]])
+                end = end + int(gap[0]) if len(gap) else min(len(b), end + 4096)
+            out.append(self._words(b[at:end], np.array([0, end - at]))[0])
+            at = end
+        return np.concatenate(out)
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The sets of texts; they should hold few bytes together, but for a long one alone."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        _, offsets, data = texts.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        b = np.frombuffer(data or b"", np.uint8)[cuts[0] : cuts[-1]]
+        if not len(b):
+            return [np.empty(0, np.uint64)] * len(texts)
+        h, at = (self._long(b), None) if len(texts) == 1 else self._words(b, cuts - cuts[0])
+        at = [0, len(h)] if at is None else at.tolist()
+        k = self.k
+        out = h[:0]
+        if len(h) >= k:
+            out = h[: len(h) - k + 1] * self.factors[0]
+            for i in range(1, k):
+                out += h[i : len(h) - k + 1 + i] * self.factors[i]
+            out = mix64(out + np.uint64(k))
+        return [self._distinct(h, out, x, y) for x, y in zip(at, at[1:])]
+
+    def _distinct(self, h: np.ndarray, out: np.ndarray, x: int, y: int) -> np.ndarray:
+        n = y - x
+        if n < self.k:  # the whole sequence is the only shingle
+            return mix64((h[x:y] * self.factors[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)) if n else h[:0]
+        s = np.sort(out[x : y - self.k + 1])
+        same = s[1:] == s[:-1]
+        return s[np.append(True, ~same)] if same.any() else s
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().lower().split()
-        n = len(words)
-        if not n:
-            return np.empty(0, np.uint64)
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, n)
-        width = min(self.k, n)
-        out = np.full(n - width + 1, width, np.uint64)
-        for i in range(width):
-            out = mix64(out * ODD[0] + h[i : n - width + 1 + i] * ODD[1] + ODD[2])
-        return np.unique(out)
+        return self.batch(pa.array([text], pa.string()))[0]
 
 
 class Scheme:
@@ -91,12 +151,13 @@ class Scheme:
     def keys(self, shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys of the segments' subsets; segment and key of each one-deletion neighbour."""
         m = self.segments(band)
-        at = ((shingles >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
+        at = ((shingles >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)  # ascends, as the shingles do
         own = mix64(shingles ^ ODD[2])
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, at, own)
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(own, out=sums[1:])
+        sums = np.diff(sums[np.searchsorted(at, np.arange(m + 1))])
         name = (np.arange(m, dtype=np.uint64) + np.uint64(band << 32) + np.uint64(1)) * ODD[0]
-        near = np.flatnonzero(at < self.with_deletions(band))
+        near = slice(0, int(np.searchsorted(at, self.with_deletions(band))))
         less = mix64((sums[at[near]] - own[near]) ^ name[at[near]])
         return mix64(sums ^ name).view(np.int64), at[near], less.view(np.int64)
 
@@ -141,64 +202,98 @@ def _close(a: str, b: str, scheme: Scheme) -> Column:
     return far * (scheme.den + scheme.num) <= both * (scheme.den - scheme.num)
 
 
-def sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, text_key, node, n_shingles, s0 to s3) for each row of docs; text_key is a hash of the text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _prints(found: list[np.ndarray]) -> list[pa.Array]:
+    """Columns node, n_shingles and the sketch of sets."""
+    sketches = np.array([_sketch(s) for s in found], np.int64).reshape(-1, 4).T
+    return [pa.array(map(_fingerprint, found), pa.int64()), pa.array(map(len, found), pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in sketches)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(k)
-        for b in batches:
-            found = [shingle(t) for t in b.column(2).to_pylist()]
-            sketches = np.array([_sketch(s) for s in found], np.int64).reshape(-1, 4).T
-            arrays = [b.column(0), b.column(1), pa.array(map(_fingerprint, found), pa.int64()), pa.array(map(len, found), pa.int64()), *map(pa.array, sketches)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "node", "n_shingles", *SKETCH])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, node long, n_shingles long, s0 long, s1 long, s2 long, s3 long")
+class Once:
+    """Tells most sets that a task has met before."""
 
+    def __init__(self, most: int = 500_000):
+        self.met, self.most = set(), most
 
-def _emitted(docs: DataFrame, k: int, emit, schema: str) -> DataFrame:
-    """What emit(shingles, node) gives for each distinct set, as columns; a task leaves out most sets that it has met before."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    def __call__(self, node: int) -> bool:
+        if node in self.met:
+            return False
+        if len(self.met) < self.most:
+            self.met.add(node)
+        return True
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, met = Shingler(k), set()
-        for b in batches:
-            out: list[list[np.ndarray]] = []
-            for text in b.column(0).to_pylist():
-                s = shingle(text)
-                node = _fingerprint(s)
-                if not len(s) or node in met:
-                    continue
-                if len(met) < 1_000_000:
-                    met.add(node)
-                out += emit(s, node)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names)
 
-    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(run, schema)
+def sets(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
+    """(doc_id, text_key, node, n_shingles, s0 to s3, counter, met): a row without counter for each row of docs; text_key is a hash of the text.
 
+    Further rows tell how many index keys of the whole corpus fall under each counter, task by task.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_key", "node", "n_shingles", *SKETCH, "counter", "met"]
 
-def key_counts(docs: DataFrame, k: int, scheme: Scheme) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, once, counts, schema = Shingler(k), Once(), np.zeros(COUNTERS, np.int64), None
+        for b in pieces(batches, 2):
+            found = shingle.batch(b.column(2))
+            prints = _prints(found)
+            has_id = b.column(0).is_valid().to_pylist()
+            keys = [scheme.keys(s, scheme.band(len(s))) for s, node, ok in zip(found, prints[0].to_pylist(), has_id, strict=True) if ok and len(s) and once(node)]
+            if keys:
+                flat = np.concatenate([x for full, _, dels in keys for x in (full, dels)])
+                counts += np.bincount(flat & (COUNTERS - 1), minlength=COUNTERS)
+            none = pa.nulls(b.num_rows, pa.int64())
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), *prints, none, none], names)
+            schema = out.schema
+            yield out
+        if schema is not None and counts.any():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in schema.types[:-2]), pa.array(at), pa.array(counts[at])], schema=schema)
+
+    read = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return read.mapInArrow(run, f"doc_id {kind}, text_key long, node long, n_shingles long, s0 long, s1 long, s2 long, s3 long, counter long, met long")
+
+
+def key_counts(named: DataFrame) -> np.ndarray:
     """How many index keys of the whole corpus fall under each counter."""
-
-    def emit(s: np.ndarray, node: int):
-        full, _, dels = scheme.keys(s, scheme.band(len(s)))
-        return [(np.concatenate([full, dels]) % COUNTERS,)]
-
     counts = np.zeros(COUNTERS, np.int64)
-    for row in _emitted(docs, k, emit, "counter long").groupBy("counter").count().toLocalIterator():
+    for row in named.where("counter IS NOT NULL").groupBy("counter").agg(F.sum("met")).toLocalIterator():
         counts[row[0]] = row[1]
     return counts
 
 
+class Often:
+    """Deals out the keys that a task meets often: their further rows stay among themselves, in a part of the task's own.
+
+    Part 0 of a key gets the first rows of each task, and the first row that it puts elsewhere of each kind, index and look-up. So part 0 has an index
+    row if the key has any, and each other part a row in common with it.
+    """
+
+    def __init__(self, part: int, often: int, slots: int = 1 << 20):
+        self.part, self.often, self.counts, self.marked = part, often, np.zeros(slots, np.int32), set()
+
+    def __call__(self, key: np.ndarray, node: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, ...]:
+        slot = key & (len(self.counts) - 1)
+        far = self.counts[slot] >= self.often
+        np.add.at(self.counts, slot, 1)
+        at = np.flatnonzero(far)
+        part = np.where(far, self.part, 0).astype(np.int32)
+        if not len(at):
+            return key, part, node, info
+        first = []
+        for i, name in zip(at.tolist(), zip(key[at].tolist(), (info[at] < ONLY_LOOKS).tolist(), strict=True), strict=True):
+            if name not in self.marked:
+                self.marked.add(name)
+                first.append(i)
+        return tuple(np.append(x, y) for x, y in ((key, key[first]), (part, np.zeros(len(first), np.int32)), (node, node[first]), (info, info[first])))
+
+
 def key_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> DataFrame:
-    """(key, node, info): each set's index keys and the keys it looks up; a key that is both is one row.
+    """(key, part, node, info): each distinct set's index keys and the keys it looks up; a key that is both is one row.
 
     info sorts index rows first, and of these the sets whose own keys meet the most others by the counters; its low byte holds the flags.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared, often = docs.sparkSession.sparkContext.broadcast(counts), OFTEN
 
-    def emit(s: np.ndarray, node: int):
+    def keys_of(s: np.ndarray, node: int) -> list[tuple[np.ndarray, ...]]:
         size, own, weight, out = len(s), scheme.band(len(s)), 0, []
         for band in range(own, -1, -1):
             top = min(size, int(scheme.edges[band + 1]) - 1)
@@ -209,34 +304,47 @@ def key_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> Dat
             look = np.zeros(len(full), np.int8)
             look[one] = LOOK
             look[two] = LOOK_WIDE
-            near = np.where(np.isin(at, two), LOOK_DELETION, 0).astype(np.int8)
+            near = np.where(np.isin(at, two), LOOK_DELETION, 0).astype(np.int8) if len(two) else np.zeros(len(at), np.int8)
             if band == own:
                 look |= INDEX
                 near |= INDEX_DELETION
-                weight = min(int(shared.value[full % COUNTERS].sum()), 2**31 - 1)
+                weight = min(int(shared.value[full & (COUNTERS - 1)].sum()), 2**31 - 1)
             keys, flags = np.concatenate([full, dels]), np.concatenate([look, near]).astype(np.int64)
             keys, flags = keys[flags > 0], flags[flags > 0]
             order = np.where(flags & (INDEX | INDEX_DELETION), (2**31 - 1 - weight) << 8, ONLY_LOOKS)
             out.append((keys, np.full(len(keys), node, np.int64), order | flags))
         return out
 
-    return _emitted(docs, k, emit, "key long, node long, info long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        shingle, once, deal = Shingler(k), Once(), Often(1 + task.partitionId(), often)
+        for b in pieces(batches, 0):
+            out: list[tuple[np.ndarray, ...]] = []
+            for s in shingle.batch(b.column(0)):
+                if len(s) and once(node := _fingerprint(s)):
+                    out += keys_of(s, node)
+            if out:
+                rows = deal(*(np.concatenate(x) for x in zip(*out, strict=True)))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, rows)), ["key", "part", "node", "info"])
+
+    return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(run, "key long, part int, node long, info long")
 
 
 def meeting_rows(rows: DataFrame) -> DataFrame:
-    """(key, node, flags, hub): the rows of keys that an index row shares with others; hub is the key's first index row.
+    """(key, node, flags, hub): the rows of keys that an index row shares with others; hub is the first index row of the key's part.
 
-    Each key's rows come sorted, from a sort that spills, and pass through with one row kept back, so no key needs memory.
+    Each part's rows come sorted, from a sort that spills, and pass through with one row kept back, so no key needs memory. Look-ups in a part without
+    an index row are their own hubs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 3), np.int64)  # the last key's only row so far
+        held = np.empty((0, 4), np.int64)  # the last group's only row so far
         last: tuple[int, ...] | None = None
-        going: tuple[int, int, bool] | None = None  # the last key, its hub and whether it has one, if its rows are being passed on
+        going: tuple[tuple[int, int], int, bool] | None = None  # the last group, its hub and whether it has one, if its rows are being passed on
         for b in batches:
             if not b.num_rows:
                 continue
-            t = np.stack([c.to_numpy() for c in b.columns], 1)
+            t = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1)
             fresh = np.ones(len(t), bool)
             fresh[1:] = (t[1:] != t[:-1]).any(axis=1)
             fresh[0] = last is None or tuple(t[0]) != last
@@ -245,98 +353,116 @@ def meeting_rows(rows: DataFrame) -> DataFrame:
             held = held[:0]
             if not len(t):
                 continue
-            start = np.flatnonzero(np.concatenate([[True], t[1:, 0] != t[:-1, 0]]))
+            start = np.flatnonzero(np.concatenate([[True], (t[1:, :2] != t[:-1, :2]).any(axis=1)]))
             size = np.diff(np.append(start, len(t)))
-            hub, good, on = t[start, 1].copy(), t[start, 2] < ONLY_LOOKS, size > 1
-            if going and t[0, 0] == going[0]:
+            hub, good, on = t[start, 2].copy(), t[start, 3] < ONLY_LOOKS, size > 1
+            if going and tuple(t[0, :2]) == going[0]:
                 hub[0], good[0], on[0] = going[1], going[2], True
             if on[-1]:
-                going = (int(t[-1, 0]), int(hub[-1]), bool(good[-1]))
+                going = (tuple(t[-1, :2]), int(hub[-1]), bool(good[-1]))
             else:
                 held, going = t[-1:], None
-            keep = np.repeat(on & good, size)
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep, 0]), pa.array(t[keep, 1]), pa.array((t[keep, 2] & 255).astype(np.int8)), pa.array(np.repeat(hub, size)[keep])], ["key", "node", "flags", "hub"])
-
-    return rows.repartition("key").sortWithinPartitions("key", "info", "node").mapInArrow(run, "key long, node long, flags byte, hub long")
+            hub, lone = np.repeat(hub, size), np.repeat(~good, size)
+            keep = np.repeat(on, size) & (~lone | (t[:, 1] > 0))
+            hub[lone] = t[lone, 2]
+            found = [t[keep, 0], t[keep, 2], (t[keep, 3] & 255).astype(np.int8), hub[keep]]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["key", "node", "flags", "hub"])
 
+    ordered = rows.repartition("key", "part").sortWithinPartitions("key", "part", "info", "node").select("key", "part", "node", "info")
+    return ordered.mapInArrow(run, "key long, node long, flags byte, hub long")
 
-def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar, by their exact sizes and common shingles."""
-    picks = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    picks = materialize(picks.join(names, "node").select("node", "doc_id"), "picks")
-    small = picks.count() <= BROADCAST_PICKS
-    texts = docs.select("doc_id", "text").join(F.broadcast(picks) if small else picks, "doc_id")
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(k)
-        for b in batches:  # rows may share an id: the name tells whose text it is
-            right = [_fingerprint(shingle(t)) == n for t, n in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True)]
-            yield b.filter(pa.array(right, pa.bool_()))
+def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, scheme: Scheme, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b) of the pairs whose sets are similar, by their exact sizes and common shingles.
 
-    texts = texts.select("node", "text").mapInArrow(own, "node long, text string")
-    texts = materialize(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    The texts of all a that were paired with one b follow the text of b through a task, so that of b travels once for each PARTNERS of them.
+    """
+    load = pairs.groupBy("b").agg(F.count("*").alias("load"))
+    part = F.pmod(F.xxhash64("a"), F.ceil(F.col("load") / PARTNERS)).cast("int")
+    asks = pairs.join(load, "b").select(F.col("a").alias("node"), "b", part.alias("part"), F.lit(1).alias("role"))
+    asks = asks.union(asks.select(F.col("b").alias("node"), "b", "part", F.lit(0).alias("role")).distinct())
+    asks = scratch.write(asks.join(names.select("node", "doc_id"), "node"), "asks")
+    small = asks.count() <= BROADCAST_PICKS
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(asks) if small else asks, "doc_id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, last, there = Shingler(k), None, np.empty(0, np.uint64)
-        for batch in batches:
-            right = []
-            for b, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if b != last:
-                    last, there = b, shingle(y)
-                here = shingle(x)
-                right.append(scheme.similar(len(np.intersect1d(here, there, True)), len(here), len(there)))
-            yield batch.select(["a", "b"]).filter(pa.array(right, pa.bool_()))
+        shingle, group, there = Shingler(k), None, None
+        for batch in pieces(batches, 4):
+            found = []
+            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), shingle.batch(batch.column(4)), strict=True)
+            for b, part, role, node, s in rows:
+                if (b, part) != group:
+                    group, there = (b, part), None
+                if _fingerprint(s) != node:  # another row under the same id
+                    continue
+                if role == 0:
+                    there = s
+                elif there is not None and scheme.similar(len(np.intersect1d(s, there, True)), len(s), len(there)):
+                    found.append((node, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
+    ordered = texts.repartition("b", "part").sortWithinPartitions("b", "part", "role").select("b", "part", "role", "node", "text")
+    found = scratch.write(ordered.mapInArrow(check, "a long, b long"), name)
+    scratch.drop("asks")
+    return found
 
 
 def components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs; component_id is the least doc_id that links reach.
 
-    Two rows link if den * common shingles >= num * all shingles of both. A text of fewer than k words has one shingle, its words; null, empty and blank texts have none
-    and link with nothing. Rows without a doc_id have a null component and link with nothing. Repeated rows each give a row; other columns are not read.
-    Sets are named by 64 bits: among n different sets, two share a name with a probability of n^2 / 2^65.
+    Two rows link if den * common shingles >= num * all shingles of both. A text of fewer than k words has one shingle, its words; null, empty and
+    blank texts have none and link with nothing. Rows without a doc_id have a null component and link with nothing. Repeated rows each give a row;
+    other columns are not read. Sets are named by 64 bits: among n different sets, two share a name with a probability of n^2 / 2^65.
     """
     return _components(docs, k, num, den).drop("text_key")
 
 
 def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The components' rows with text_key."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    scheme = Scheme(num, den)
-    named = materialize(sets(docs, k), "sets")
+    scheme, scratch = Scheme(num, den), Scratch(docs.sparkSession)
+    named = scratch.write(sets(docs, k, scheme), "sets")
+    counts = key_counts(named)
+    named = named.where("counter IS NULL").drop("counter", "met")
     known = named.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node")
-    names = materialize(known.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in SKETCH]), "names")
-    rows = materialize(meeting_rows(key_rows(docs, k, scheme, key_counts(docs, k, scheme))), "met")
-
-    has = lambda bits: F.col("flags").bitwiseAND(F.lit(bits)) != 0
-    is_index, is_look = has(INDEX | INDEX_DELETION), has(LOOK | LOOK_WIDE | LOOK_DELETION)
-    tried = materialize(rows.where(is_look & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "tried")
-    sides = [names.select(F.col("node").alias(c), F.struct("n", *SKETCH).alias(f"of_{c}")) for c in "ab"]
-    tried = materialize(tried.join(sides[0], "a").join(sides[1], "b").where(_close("of_a", "of_b", scheme)).select("a", "b"), "pairs")
-    links = _verified(tried, docs, names, k, scheme)
-    label = materialize(connected_components(links), "labels")
+    names = scratch.write(known.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in SKETCH]), "names")
+    rows = scratch.write(meeting_rows(key_rows(docs, k, scheme, counts)), "met")
+
+    has = lambda c, bits: F.col(c).bitwiseAND(F.lit(bits)) != 0
+    indexed, looked = INDEX | INDEX_DELETION, LOOK | LOOK_WIDE | LOOK_DELETION
+    tried = rows.where(has("flags", looked) & (F.col("node") != F.col("hub"))).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    tried = scratch.write(tried.distinct(), "tried")
+    of = [names.select(F.col("node").alias(c), F.struct("n", *SKETCH).alias(f"of_{c}")) for c in "ab"]
+    tried = tried.join(of[0], "a").join(of[1], "b").where(_close("of_a", "of_b", scheme)).select("a", "b")
+    tried = scratch.write(tried, "pairs")
+    scratch.drop("tried")
+    links = _verified(tried, docs, names, k, scheme, scratch, "links")
+    label = scratch.write(connected_components(links), "labels")
 
     rows = rows.join(label, "node", "left").select("key", "node", "flags", "hub", F.coalesce("component", "node").alias("label"))
-    rows = materialize(rows, "labelled")
+    rows = scratch.write(rows, "labelled")
+    scratch.drop("met", "labels")
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rows = rows.join(materialize(mixed, "mixed"), "key").join(names.select("node", F.struct("n", *SKETCH).alias("of")), "node")
-    rows = materialize(rows, "open")
-    x = rows.where(is_index & (F.col("node") != F.col("hub"))).select("key", F.col("node").alias("b"), F.col("of").alias("of_b"), F.col("flags").alias("fb"), F.col("label").alias("lb"))
-    y = rows.where(is_look).select("key", F.col("node").alias("a"), F.col("of").alias("of_a"), F.col("flags").alias("fa"), F.col("label").alias("la"))
+    rows = rows.join(scratch.write(mixed, "mixed"), "key").join(names.select("node", F.struct("n", *SKETCH).alias("of")), "node")
+    rows = scratch.write(rows, "open")
+    scratch.drop("labelled", "mixed")
+    # Each look-up has met its part's hub; the rest of the key's index rows are met now, if no links join the two yet.
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("node", "of", "flags", "label")]
+    x = rows.where(has("flags", indexed)).select("key", *side("b"))
+    y = rows.where(has("flags", looked)).select("key", "hub", *side("a"))
     # A neighbour meets a whole subset, not another neighbour, and a plain look meets whole subsets only.
-    either = (x["fb"].bitwiseAND(F.lit(INDEX)) != 0) & (y["fa"].bitwiseAND(F.lit(LOOK | LOOK_WIDE | LOOK_DELETION)) != 0)
-    either = either | (x["fb"].bitwiseAND(F.lit(INDEX_DELETION)) != 0) & (y["fa"].bitwiseAND(F.lit(LOOK_WIDE)) != 0)
-    meet = (F.col("la") != F.col("lb")) & (F.col("of_b.n") <= F.col("of_a.n")) & (F.col("of_b.n") * den >= F.col("of_a.n") * num) & either & _close("of_a", "of_b", scheme)
-    rest = materialize(y.join(x, (y["key"] == x["key"]) & meet).select("a", "b").distinct(), "pairs")
-    more = _verified(rest, docs, names, k, scheme)
-    found = connected_components(links.union(more)).withColumnRenamed("component", "root")
-    found = materialize(found, "components")
+    meet = has("flags_b", INDEX) | (has("flags_b", INDEX_DELETION) & has("flags_a", LOOK_WIDE))
+    meet = meet & (F.col("label_a") != F.col("label_b")) & (F.col("node_b") != F.col("hub"))
+    meet = meet & (F.col("of_b.n") <= F.col("of_a.n")) & (F.col("of_b.n") * den >= F.col("of_a.n") * num) & _close("of_a", "of_b", scheme)
+    rest = y.join(x, (y["key"] == x["key"]) & meet).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    rest = scratch.write(rest, "pairs")
+    scratch.drop("open")
+    more = _verified(rest, docs, names, k, scheme, scratch, "more")
+    found = scratch.write(connected_components(links.union(more)).withColumnRenamed("component", "root"), "components")
     least = found.join(names, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of = materialize(names.join(found, "node", "left").join(least, "root", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")), "of")
-    out = named.select("doc_id", "text_key", "node", "n_shingles").join(of, "node", "left")
+    ids = names.join(found, "node", "left").join(least, "root", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = scratch.write(ids, "ids")
+    scratch.drop(*(x for x in scratch.paths if x not in ("sets", "ids")))
+    out = named.select("doc_id", "text_key", "node", "n_shingles").join(ids, "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "text_key", "n_shingles", own.alias("component_id"))
 
@@ -347,4 +473,5 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     Rows that share an id are judged by their own texts.
     """
     gone = _components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    return docs.join(materialize(gone, "gone"), (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")
+    gone = materialize(gone, "gone")
+    return docs.join(gone, (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import small_batches
+
 
 #: Labelled rows that a model is learnt from at most: the first by a hash of their id.
 SAMPLE = 20_000
@@ -204,7 +204,6 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0,
     of docs are read, and only the text makes the score.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, labels, "quality", fold(F.col("doc_id"), parts) != held))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -222,7 +221,6 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0,
 def keep_good(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, cut: float = CUT) -> DataFrame:
     """docs without the rows whose text is predicted as bad; all columns stay. The model is that of classify()."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, labels, "quality", fold(F.col("doc_id"), parts) != held))
     at = docs.columns.index("text")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import small_batches
+
 from lakeloom.llm.quality import fold
 
 #: Labelled rows of each label that a model is learnt from at most: the first by a hash of their id.
@@ -232,7 +232,6 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2,
     both kinds all scores are alike. Repeated rows are scored alike; a null doc_id is not held out. Only doc_id and text of docs are read, and only the text makes the score.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, labels, fold(F.col("doc_id"), parts) != held))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

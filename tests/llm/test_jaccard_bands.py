@@ -1,5 +1,8 @@
 """Similar sets any number of bands apart meet; rows that share an id are judged by their texts."""
 
+import random
+
+import numpy as np
 import pytest
 
 from lakeloom.llm import jaccard
@@ -19,3 +22,20 @@ def test_sets_far_apart_in_size(spark, num, den):
 def test_keep_one_looks_at_the_text(spark):
     docs = table(spark, [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "quite another text"), (2, None)])
     assert sorted([(r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()], key=repr) == [(1, "a b c d e f g"), (2, "quite another text"), (2, None)]
+
+
+def test_keys_that_many_sets_share_are_dealt_out(spark, monkeypatch):
+    """A fifth of the sets have nothing in one segment, and a third are near copies: with parts and several copies of hubs no link is lost."""
+    rng = random.Random(7)
+    docs = [(i, " ".join(f"w{rng.randint(0, 300)}" for _ in range(rng.randint(6, 14)))) for i in range(150)]
+    docs += [(200 + i, " ".join([*(f"c{x}" for x in range(40)), f"q{i}"])) for i in range(80)]
+    want = brute_components(docs, 2, 4, 5)
+    monkeypatch.setattr(jaccard, "OFTEN", 3)
+    monkeypatch.setattr(jaccard, "PARTNERS", 7)
+    monkeypatch.setattr(jaccard, "BROADCAST_PICKS", 0)
+    df = table(spark, docs).repartition(3)
+    rows = jaccard.key_rows(df, 2, jaccard.Scheme(4, 5), np.zeros(jaccard.COUNTERS, np.int64)).groupBy("key", "part").count()
+    assert rows.where("part > 0").count() > 10
+    assert rows.agg({"count": "max"}).first()[0] < 60
+    got = sorted(map(tuple, jaccard.components(df, 2, 4, 5).collect()), key=repr)
+    assert got == want
