@@ -272,8 +272,13 @@ class Often:
 
     def __call__(self, key: np.ndarray, node: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, ...]:
         slot = key & (len(self.counts) - 1)
-        far = self.counts[slot] >= self.often
-        np.add.at(self.counts, slot, 1)
+        order = np.argsort(slot, kind="stable")
+        start = np.flatnonzero(np.append(True, np.diff(slot[order]) != 0))
+        size = np.diff(np.append(start, len(slot)))
+        rank = np.empty(len(slot), np.int64)
+        rank[order] = np.arange(len(slot)) - np.repeat(start, size)
+        far = self.counts[slot] + rank >= self.often
+        self.counts[slot[order[start]]] += size.astype(np.int32)
         at = np.flatnonzero(far)
         part = np.where(far, self.part, 0).astype(np.int32)
         if not len(at):
