@@ -1,19 +1,23 @@
 """Benchmark decontamination with built-in functions only.
 
-Every benchmark item is cut into windows of thirteen words (an item of fewer words is one window). A window is filed under its
-longest word, its anchor, and the set of windows is broadcast behind a check of its size. Documents are exploded into words, an
-equi-join on the anchor finds where a window may stand, and the window's words are compared in place, so only true occurrences
-leave the join.
+Every benchmark item is cut into windows of thirteen words (an item of fewer words is one window). A window is filed under its anchor, the
+word of it that is rarest in the benchmark. Documents are exploded into words; the broadcast anchors tell where windows may stand, and
+the words there, joined to one string, are looked up among the windows, so only true occurrences remain. Anchors beyond one broadcast's bound
+are gone through block by block, and windows beyond it are met by a shuffled join, to which a document sends a window's words and not its text.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.llm.common import materialize
+
 WINDOW = 13
-#: Windows that may be broadcast; beyond it the join shuffles by anchor instead.
-BROADCAST_WINDOWS = 200_000
+#: Rows of anchors that one broadcast holds, and windows that may be broadcast.
+BROADCAST_ANCHORS, BROADCAST_WINDOWS = 500_000, 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -26,25 +30,38 @@ def words(text: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(item_id, anchor, anchor_at, length, window): the distinct windows of each item."""
+    """(item_id, anchor, anchor_at, length, window): the distinct windows of each item, as words joined by spaces."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    cut = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, size))).alias("window")).distinct()
-    at = F.array_max(F.transform("window", lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"))))
-    cut = cut.withColumn("anchor_at", -at["i"])
-    return cut.select("item_id", F.element_at("window", F.col("anchor_at") + 1).alias("anchor"), "anchor_at", F.size("window").alias("length"), "window")
-
-
-def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    cut = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice(F.col("w"), i, size))).alias("words"))
+    cut = cut.select("item_id", F.array_join("words", " ").alias("window"), F.size("words").alias("length")).distinct()
+    placed = cut.select("window", "length").distinct().select("window", "length", F.posexplode(F.split("window", " ")).alias("at", "word"))
+    often = items.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rank = F.struct("n", (-F.length("word")).alias("short"), "at", "word")
+    best = placed.join(often, "word").groupBy("window").agg(F.min(rank).alias("best"))
+    return cut.join(best, "window").select("item_id", F.col("best.word").alias("anchor"), F.col("best.at").alias("anchor_at"), "length", "window")
+
+
+def occurrences(
+    docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_anchors: int = BROADCAST_ANCHORS
+) -> DataFrame:
     """(doc_id, text_key, start, length, item_id) for each place where a window of an item stands in a document."""
-    found = windows(benchmark, size)
-    small = found.limit(broadcast_windows + 1).count() <= broadcast_windows
+    found = materialize(windows(benchmark, size), "windows")
+    anchors = found.select("anchor", "anchor_at", "length").distinct()
+    blocks = max(1, -(-anchors.count() // broadcast_anchors))
     placed = docs.select("doc_id", _key(), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     placed = placed.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word"))
-    right = F.broadcast(found) if small else found.hint("merge")
     start = F.col("pos") - F.col("anchor_at")
-    same = (F.col("word") == F.col("anchor")) & (start >= 0) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("length")) == F.col("window"))
-    return placed.join(right, same).select("doc_id", "text_key", start.alias("start"), "length", "item_id")
+    fits = (F.col("word") == F.col("anchor")) & (start >= 0) & (start + F.col("length") <= F.size("w"))
+    window = F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("length")), " ")
+    parts = []
+    for k in range(blocks):
+        some = anchors.where(F.pmod(F.xxhash64("anchor"), F.lit(blocks)) == k) if blocks > 1 else anchors
+        parts.append(placed.join(F.broadcast(some), fits).select("doc_id", "text_key", start.alias("start"), window.alias("window")))
+    there = reduce(DataFrame.union, parts)
+    right = found.select("item_id", "length", "window")
+    right = F.broadcast(right) if found.count() <= broadcast_windows else right.hint("merge")
+    return there.join(right, "window").select("doc_id", "text_key", "start", "length", "item_id")
 
 
 def _key() -> Column:

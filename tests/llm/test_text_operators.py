@@ -91,6 +91,9 @@ def test_contamination(spark):
     plain = contamination.contamination(d, b, size=13)
     small = contamination.occurrences(d.select("doc_id", "text"), b, broadcast_windows=0)  # by shuffle instead of broadcast
     assert small.count() == contamination.occurrences(d.select("doc_id", "text"), b).count()
+    blocks = contamination.occurrences(d.select("doc_id", "text"), b, broadcast_windows=0, broadcast_anchors=3)
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    assert as_set(blocks) == as_set(small) == as_set(contamination.occurrences(d.select("doc_id", "text"), b))
     clean = contamination.decontaminate(d, b)
     assert clean.columns == d.columns
     assert clean.count() == plain.where("NOT contaminated").count()
@@ -98,6 +101,21 @@ def test_contamination(spark):
     assert contamination.contamination(d.limit(0), b).count() == 0
 
 
+def test_contamination_ships_no_text(spark, sf_dir):
+    """Beyond the broadcast, documents send windows of thirteen words through the exchange: no array and no text."""
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = contamination.occurrences(docs, bench, broadcast_windows=0)
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "SortMergeJoin" in plan
+    sent = [re.findall(r"(\w+)#", x) for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert ["doc_id", "text_key", "start", "window"] in sent
+    assert not {"w", "words", "text", "word"} & {x for names in sent for x in names}
+
+
 @pytest.mark.parametrize("near", [0.1, 0.9])
 def test_line_dedup(spark, near):
     rows = [(i, f"common line\nown {i}\n  common line \n\nlast", f"s{i % 12}") for i in range(30)]
