@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import materialize
+from lakeloom.llm.common import materialize, pieces
 
 #: A subtree is a template if it stands on so many pages of a host with different bodies.
 MIN_PAGES = 5
@@ -36,13 +36,20 @@ ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
-FURNITURE = frozenset("head nav footer aside form button select datalist dialog menu fieldset label input option".split())
+FURNITURE = frozenset("head nav footer aside button select datalist dialog menu fieldset label input option".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
-MARKS = frozenset(
-    "ad ads adsense advert adverts advertisement advertising adbox adslot banner banners sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "newsletter subscribe subscription signup login paywall sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar footer masthead topbar comment comments commentlist disqus respond replies "
-    "share sharing social related recommended recommendations outbrain taboola widget widgets skip".split()
+#: Class names that say that an element is no article: alone, as the noun that a compound ends in, or as the word that it starts with.
+NAMES = frozenset(
+    "ad ads adsense advert adverts advertisement advertising adbox adslot banner banners sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
+    "subscribe subscription signup login paywall sidebar sidebars nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar footer masthead topbar comment comments commentlist disqus respond replies".split()
 )
+STARTS = frozenset("ad ads advert adsense sponsored cookie comment comments nav menu sidebar footer newsletter breadcrumb pagination disqus".split())
+#: First words of class names that tell a page's layout.
+LAYOUT = frozenset("has with no without is show hide hides use two one left right".split())
+#: Class names of boxes that are no article if most of their text is links.
+LINKED = frozenset("related share sharing social recommended recommendations outbrain taboola widget widgets promo promos promotion skip tags more popular".split())
+#: Share of link text that makes a list of links, and of a page's running text that makes an element its frame.
+LINKS, FRAME = 0.6, 0.5
 ROOTS = frozenset("html body article main".split())
 
 
@@ -50,9 +57,15 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(text)} if text.strip(" /") else {}
 
 
-def furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is no part of the article by its tag, role, class or id."""
-    if tag in FURNITURE or tag == "header" and not in_article:
+def names(attrs: dict[str, str]) -> list[list[str]]:
+    """The words of each class name and of the id."""
+    spaced = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
+    return [w for w in ([x for x in re.split(r"[^a-z]+", name) if x] for name in spaced.split()) if w]
+
+
+def furniture(tag: str, attrs: dict[str, str], in_article: bool, linked: bool) -> bool:
+    """Whether an element is no part of the article by its tag, role, class or id; linked: most of its text is links."""
+    if tag in FURNITURE or tag == "form" or tag == "header" and not in_article:
         return True
     if not attrs:
         return False
@@ -62,9 +75,14 @@ def furniture(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return False
     if attrs.get("role", "").lower() in ROLES:
         return True
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
-    words = {w for w in re.split(r"[^a-z]+", names) if w}
-    return not MARKS.isdisjoint(words) or "header" in words and words <= {"header", "site", "page", "global", "top"} and not in_article
+    for w in names(attrs):
+        if w[0] in LAYOUT and len(w) > 1:
+            continue
+        if w[-1] in NAMES or w[0] in STARTS or linked and not LINKED.isdisjoint(w):
+            return True
+        if "header" in w and {*w} <= {"header", "site", "page", "global", "top"} and not in_article:
+            return True
+    return False
 
 
 class Page:
@@ -148,18 +166,64 @@ class Page:
         body = next((hashes[n] for n, t in enumerate(self.tag) if t == "body"), hashes[0])
         return body, {hashes[n] for n, t in enumerate(self.tag) if t in BLOCK and t not in ROOTS and self.pieces[n] and not (inside[n] and t in PROSE)}
 
-    def text(self, templates: set[int] | frozenset[int] = frozenset()) -> str:
-        """The article's blocks, joined by one line end each."""
-        inside = self.inside()
-        hashes = self.hashes() if templates else []
+    def weights(self) -> tuple[list[int], list[int], list[int]]:
+        """Letters of each element's subtree, those in links among them, and the number of links."""
+        size = len(self.tag)
+        total, linked, links = [0] * size, [0] * size, [0] * size
+        for n in range(size - 1, -1, -1):
+            total[n] += sum(len("".join(p.split())) for p in self.pieces[n] if isinstance(p, str))
+            if self.tag[n] == "a":
+                linked[n], links[n] = total[n], 1
+            if n:
+                up = self.parent[n]
+                total[up], linked[up], links[up] = total[up] + total[n], linked[up] + linked[n], links[up] + links[n]
+        return total, linked, links
+
+    def marked(self, inside: list[bool], weights: tuple[list[int], list[int], list[int]]) -> list[bool]:
+        """The elements that are furniture by what they are called, or as lists of links outside an article."""
+        out = [False] * len(self.tag)
+        for n, (t, attrs, total, linked, links) in enumerate(zip(self.tag, self.attrs, *weights, strict=True)):
+            dense = links > 0 and linked >= LINKS * total
+            listed = dense and links > 1 and t in BLOCK and t not in ROOTS and not inside[n]
+            out[n] = n > 0 and (listed or furniture(t, attrs, inside[n] or t == "article", dense))
+        return out
+
+    def _roots(self, gone: list[bool]) -> list[int]:
         size = len(self.tag)
-        gone = [False] * size
-        for n in range(1, size):
-            t = self.tag[n]
-            known = templates and t in BLOCK and t not in ROOTS and not (inside[n] and t in PROSE) and hashes[n] in templates
-            gone[n] = gone[self.parent[n]] or bool(known) or furniture(t, self.attrs[n], inside[n] or t == "article")
         roots = [n for n in range(1, size) if self.tag[n] == "article" and not gone[n] and not self._within(n, {"article"})]
-        roots = roots or [n for n in range(1, size) if (self.tag[n] == "main" or self.attrs[n].get("role") == "main") and not gone[n]][:1] or [0]
+        return roots or [n for n in range(1, size) if (self.tag[n] == "main" or self.attrs[n].get("role") == "main") and not gone[n]][:1]
+
+    def _below(self, own: list[bool]) -> list[bool]:
+        gone = own.copy()
+        for n in range(1, len(gone)):
+            gone[n] = gone[n] or gone[self.parent[n]]
+        return gone
+
+    def text(self, templates: set[int] | frozenset[int] = frozenset()) -> str:
+        """The article's blocks, joined by one line end each.
+
+        If there is no article or main element outside of furniture, and furniture holds nearly all running text, then the elements that frame
+        the most of it are not furniture, whatever they are called.
+        """
+        inside, weights = self.inside(), self.weights()
+        own = self.marked(inside, weights)
+        gone = self._below(own)
+        roots = self._roots(gone)
+        if not roots:
+            running = [x - y for x, y in zip(*weights[:2], strict=True)]
+            lost = sum(running[n] for n in range(1, len(own)) if own[n] and not gone[self.parent[n]] and self.tag[n] != "head")
+            every = running[0] - sum(running[n] for n, t in enumerate(self.tag) if t == "head")
+            if lost >= 0.8 * every > 0:
+                frames = ("form", "div", "section", "p", "center", "table", "tbody", "tr", "td", "article", "ul", "ol", "fieldset")
+                own = [x and not (t in frames and running[n] >= FRAME * every) for n, (x, t) in enumerate(zip(own, self.tag, strict=True))]
+                gone = self._below(own)
+                roots = self._roots(gone)
+        roots = roots or [0]
+        if templates:
+            for n, h in enumerate(self.hashes()):
+                t = self.tag[n]
+                own[n] = own[n] or n > 0 and t in BLOCK and t not in ROOTS and not (inside[n] and t in PROSE) and h in templates
+            gone = self._below(own)
         blocks: list[str] = []
         line: list[str] = []
 
@@ -204,11 +268,11 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def _blocks(pages: DataFrame) -> DataFrame:
+def _candidates(pages: DataFrame) -> DataFrame:
     """(host, page, body, hash) of the subtrees of pages that may be templates; page is a hash of the html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2):
             at, bodies, hashes = [], [], []
             for i, html in enumerate(b.column(2).to_pylist()):
                 body, found = Page(html or "").template_hashes()
@@ -223,7 +287,7 @@ def _blocks(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, hash): the subtrees that recur across the pages of a host. Pages with the same body count once; the host's size plays no part."""
-    return _blocks(pages).groupBy("host", "hash").agg(F.count_distinct("body").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
+    return _candidates(pages).groupBy("host", "hash").agg(F.count_distinct("body").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -243,12 +307,12 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
         shared = spark.sparkContext.broadcast(by_host)
     else:
         # A page's own templates only: their number doesn't grow with the host.
-        own = _blocks(pages).join(known, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("hashes"))
+        own = _candidates(pages).join(known, ["host", "hash"]).groupBy("host", "page").agg(F.collect_set("hash").alias("hashes"))
         rows = rows.withColumn("page", F.xxhash64("html")).join(materialize(own, "own_templates"), ["host", "page"], "left").select("page_id", "url", "html", "hashes")
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2):
             of = b.column(3).to_pylist()
             texts = [Page(html or "").text(shared.value.get(t, frozenset()) if shared else frozenset(t or ())) for html, t in zip(b.column(2).to_pylist(), of, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
