@@ -81,6 +81,40 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_hold_standard_records(spark, tmp_path):
+    """Read without Spark: one gzip member for each record, a warcinfo record first, and revisits that name their response in the header."""
+    import gzip
+    import zlib
+
+    rows = [(i, f"http://h/{i}", "same" if i % 3 else f"own {i}") for i in range(20)] + [(50, "http://h/long", "x" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    records = []
+    for f in sorted((tmp_path / "w").glob("*.warc.gz")):
+        rest, members = f.read_bytes(), []
+        while rest:
+            d = zlib.decompressobj(31)
+            members.append(d.decompress(rest))
+            rest = d.unused_data
+        assert members[0].startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        assert gzip.decompress(f.read_bytes()) == b"".join(members)
+        records += members
+    head = lambda r: dict(x.split(": ", 1) for x in r.split(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+    heads = [head(r) for r in records]
+    for r, h in zip(records, heads):
+        assert len(r) == r.index(b"\r\n\r\n") + 4 + int(h["Content-Length"]) + 4 and r.endswith(b"\r\n\r\n")
+    by = {h["WARC-Record-ID"]: h for h in heads}
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 12 and len(by) == len(heads)
+    for h in revisits:
+        response = by[h["WARC-Refers-To"]]
+        assert response["WARC-Type"] == "response" and response["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+        assert h["WARC-Refers-To-Target-URI"] == response["WARC-Target-URI"] == "http://h/1" and h["WARC-Refers-To-Date"] == response["WARC-Date"]
+    assert all(by[h["WARC-Concurrent-To"]]["WARC-Type"] in ("response", "revisit") for h in heads if h["WARC-Type"] in ("request", "metadata"))
+    got = warc.captures(warc.read_records(spark, f"{tmp_path}/w", with_payload=True))
+    assert got.where("page_id = 50").first().response.payload == "x" * 3_000_000
+
+
 def test_chat_keeps_maximal_conversations(spark):
     rng = random.Random(1)
     convs = {}
@@ -102,7 +136,8 @@ def test_chat_keeps_maximal_conversations(spark):
 
 
 def brute_links(vectors, threshold):
-    ok = {n: np.array(v, float) for n, (i, v) in enumerate(vectors) if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    unit = lambda v: np.array(v, float) / np.abs(v).max() / np.linalg.norm(np.array(v, float) / np.abs(v).max())  # noqa: E731  no number overflows
+    ok = {n: unit(v) for n, (i, v) in enumerate(vectors) if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
     links, root = dict.fromkeys(range(len(vectors)), 0), {}
 
     def find(x):
@@ -112,7 +147,7 @@ def brute_links(vectors, threshold):
 
     for a in ok:
         for b in ok:
-            if a < b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= threshold:
+            if a < b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= threshold:
                 links[a] += 1
                 links[b] += 1
                 x, y = find(vectors[a][0]), find(vectors[b][0])
@@ -123,7 +158,6 @@ def brute_links(vectors, threshold):
 @pytest.mark.parametrize("dim", [3, 32])
 def test_embedding_links(spark, dim, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 40)
-    monkeypatch.setattr(embeddings, "BLOCKS_PER_TILE", 2)
     rng = np.random.default_rng(dim)
     base = rng.normal(size=(60, dim))
     vectors = [(i, v.tolist()) for i, v in enumerate(base)]
@@ -140,6 +174,38 @@ def test_embedding_links(spark, dim, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_id_on_two_vectors(spark):
+    """Rows that repeat a vec_id with another vector have links of their own; the same numbers as float and as double columns."""
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, 24))
+    vectors = [(1, a), (1, b), *((10 + i, a + 0.05 * rng.normal(size=24)) for i in range(3)), *((20 + i, b + 0.05 * rng.normal(size=24)) for i in range(2))]
+    vectors = [(i, np.float32(v).tolist()) for i, v in vectors]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(vectors, f"vec_id long, embedding array<{kind}>")
+        got = sorted(map(tuple, embeddings.near_duplicates(df).collect()), key=repr)
+        assert got == brute_links(vectors, 0.9)
+        assert sorted(r[1] for r in got if r[0] == 1) == [2, 3]
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs between 0.90 and 0.91 at least 0.95 are found through the cells, and none below the threshold."""
+    rng = np.random.default_rng(4)
+    n, dim = 3000, 64
+    a = rng.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    o = rng.normal(size=a.shape)
+    o -= (o * a).sum(1)[:, None] * a
+    cos = np.where(np.arange(n) % 4 == 3, 0.895, rng.uniform(0.9005, 0.91, n))[:, None]
+    b = cos * a + np.sqrt(1 - cos**2) * o / np.linalg.norm(o, axis=1)[:, None]
+    deep, count = embeddings.tables(2 * n, 0.9, embeddings.CELL_RECALL)
+    assert deep >= 5 and count >= 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    below = np.arange(n) % 4 == 3
+    assert not any(got[i] for i in np.flatnonzero(below))
+    assert np.mean([got[i] == 1 for i in np.flatnonzero(~below)]) >= 0.95
+
+
 def test_collision_recall():
     need = embeddings.collisions_needed(embeddings.DIRECTIONS, embeddings.HALF_WINDOW, embeddings.RECALL)
     rng = np.random.default_rng(0)
