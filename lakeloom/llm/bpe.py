@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from lakeloom.llm.common import pieces
 
 #: How the public byte-level tokenizer splits a text into words.
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -211,14 +211,13 @@ def encode_documents(docs: DataFrame, data: dict, id_col: str = "doc_id", text_c
     A null text counts as empty: no tokens, hashes of nothing. Repeated rows and repeated or null ids each give a row. Other columns
     of docs are not read. data comes from load() and has a fixed size.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(data)
+    shared = docs.sparkSession.sparkContext.broadcast(data)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(shared.value)
-        for b in batches:
+        for b in pieces(batches, 1):
             sizes, a, d, all_ids = [], [], [], []
             for text in b.column(1).to_pylist():
                 ids, spelt = machine.encode(text)

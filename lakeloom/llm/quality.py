@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from lakeloom.llm.common import pieces
 
 #: Labelled rows that a model is learnt from at most: the first by a hash of their id.
 SAMPLE = 20_000
@@ -70,7 +70,7 @@ def with_features(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
@@ -208,7 +208,7 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0,
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 2):
             if b.num_rows:
                 scores = model.value.score(np.array([features(t) for t in b.column(2).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores)], ["doc_id", "held_out", "score"])
@@ -225,7 +225,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0,
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, at):
             if b.num_rows:
                 good = model.value.score(np.array([features(t) for t in b.column(at).to_pylist()])) >= cut
                 yield b.filter(pa.array(good))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
+from lakeloom.llm.common import pieces
 from lakeloom.llm.quality import fold
 
 #: Labelled rows of each label that a model is learnt from at most: the first by a hash of their id.
@@ -239,7 +239,7 @@ def classify(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2,
         net = model.value
         rows: dict[str, int] = {}
         kept = np.zeros((0, net.filters.shape[1]), np.float32)
-        for b in batches:
+        for b in pieces(batches, 2):
             found = [words(t) for t in b.column(2).to_pylist()]
             new = [w for w in dict.fromkeys(w for t in found for w in t) if w not in rows]
             if len(rows) + len(new) > CACHE:
