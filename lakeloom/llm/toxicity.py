@@ -24,9 +24,12 @@ from lakeloom.llm.quality import fold
 SAMPLE = 2000
 #: Hash buckets, embedding size, filters of each width, lengths of the beginnings.
 BUCKETS, SIZE, FILTERS, WIDTHS, BEGINNINGS = 1 << 16, 8, 6, (1, 2, 3), (3, 4, 5)
-EPOCHS, BATCH, RATE = 3, 32, 0.05
-#: Steps of the descent at least: a small sample is gone over more often.
-STEPS = 200
+#: Steps of the descent, as many for any sample.
+STEPS, BATCH, RATE = 800, 32, 0.05
+#: From how many standard errors on a bucket's log odds are taken as a start, and what is added to each count for them.
+SEED_ERRORS, SEED_PRIOR = 1.5, 1.0
+#: Rows of the rarer label that weigh as much as all languages together in a language's threshold.
+SHARED_ROWS = 20
 CUT = 0.3
 #: Distinct words of which a task keeps the responses.
 CACHE = 150_000
@@ -106,9 +109,9 @@ def _start(docs: list[np.ndarray], table: np.ndarray, y: np.ndarray) -> Network:
     n = np.array([max(1, (y == 0).sum()), max(1, (y == 1).sum())])
     rate = (seen.sum(axis=0) + 1) / n.sum()
     z = (seen[1] - rate * n[1]) / np.sqrt(rate * n[1] + 1)
-    odds = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0])
+    odds = np.log((seen[1] + SEED_PRIOR) / (n[1] + 2 * SEED_PRIOR)) - np.log((seen[0] + SEED_PRIOR) / (n[0] + 2 * SEED_PRIOR))
     embed = rng.normal(0, 0.02, (BUCKETS, SIZE))
-    embed[:, 0] += np.where(z > 2.5, np.clip(odds, 0, 4), 0)
+    embed[:, 0] += np.where(z > SEED_ERRORS, np.clip(odds, 0, 4), 0)
     places = sum(WIDTHS)
     filters = rng.normal(0, 0.1, (SIZE, places * FILTERS))
     filters[0] += 0.5
@@ -137,59 +140,66 @@ def train(texts: list[list[str]], y: np.ndarray) -> Network:
         squares[name][at] += slope**2
         getattr(net, name)[at] -= RATE * slope / np.sqrt(squares[name][at])
 
-    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(1, len(own))))):
-        rng.shuffle(own)
-        for k in range(0, len(own), BATCH):
-            part = [i for i in own[k : k + BATCH] if len(docs[i])]
-            if not part:
-                continue
-            used, back = np.unique(np.concatenate([docs[i] for i in part]), return_inverse=True)
-            vec = net.embed[table[used]].sum(axis=1)
-            r = (vec @ net.filters).astype(np.float32)
-            d_vec, d_filters = np.zeros_like(vec), np.zeros_like(net.filters)
-            d_bias, d_out, d_base, at = np.zeros_like(net.bias), np.zeros_like(net.out), 0.0, 0
-            for i in part:
-                mine = back[at : at + len(docs[i])]
-                at += len(mine)
-                best, where = net.pooled(r[mine])
-                act = np.maximum(best + net.bias, 0)
-                p = 1 / (1 + np.exp(-np.clip(act @ net.out + net.base, -50, 50)))
-                e = weight[i] * (p - y[i]) / len(part)
-                d_out += e * act
-                d_base += e
-                d_act = e * net.out * (act > 0)
-                d_bias += d_act
-                col = f = 0
-                for w in WIDTHS:
-                    for q in range(w):
-                        word = mine[np.minimum(where[f : f + FILTERS] + q, len(mine) - 1)]
-                        live = d_act[f : f + FILTERS] * (where[f : f + FILTERS] + q < len(mine))
-                        np.add.at(d_vec, word, live[:, None] * net.filters[:, col : col + FILTERS].T)
-                        d_filters[:, col : col + FILTERS] += live * vec[word].T
-                        col += FILTERS
-                    f += FILTERS
-            moved = np.flatnonzero(np.abs(d_vec).sum(axis=1))
-            slope = np.zeros((len(moved) * table.shape[1], SIZE))
-            slope[:] = np.repeat(d_vec[moved], table.shape[1], axis=0)
-            ids, inv = np.unique(table[used[moved]].ravel(), return_inverse=True)
-            summed = np.zeros((len(ids), SIZE))
-            np.add.at(summed, inv, slope)
-            descend("embed", summed, ids)
-            descend("filters", d_filters)
-            descend("bias", d_bias)
-            descend("out", d_out)
-            square_base += d_base**2
-            net.base -= RATE * d_base / np.sqrt(square_base)
+    at_row = len(own)
+    for _ in range(STEPS):
+        if at_row >= len(own):
+            rng.shuffle(own)
+            at_row = 0
+        part = [i for i in own[at_row : at_row + BATCH] if len(docs[i])]
+        at_row += BATCH
+        if not part:
+            continue
+        used, back = np.unique(np.concatenate([docs[i] for i in part]), return_inverse=True)
+        vec = net.embed[table[used]].sum(axis=1)
+        r = (vec @ net.filters).astype(np.float32)
+        d_vec, d_filters = np.zeros_like(vec), np.zeros_like(net.filters)
+        d_bias, d_out, d_base, at = np.zeros_like(net.bias), np.zeros_like(net.out), 0.0, 0
+        for i in part:
+            mine = back[at : at + len(docs[i])]
+            at += len(mine)
+            best, where = net.pooled(r[mine])
+            act = np.maximum(best + net.bias, 0)
+            p = 1 / (1 + np.exp(-np.clip(act @ net.out + net.base, -50, 50)))
+            e = weight[i] * (p - y[i]) / len(part)
+            d_out += e * act
+            d_base += e
+            d_act = e * net.out * (act > 0)
+            d_bias += d_act
+            col = f = 0
+            for w in WIDTHS:
+                for q in range(w):
+                    word = mine[np.minimum(where[f : f + FILTERS] + q, len(mine) - 1)]
+                    live = d_act[f : f + FILTERS] * (where[f : f + FILTERS] + q < len(mine))
+                    np.add.at(d_vec, word, live[:, None] * net.filters[:, col : col + FILTERS].T)
+                    d_filters[:, col : col + FILTERS] += live * vec[word].T
+                    col += FILTERS
+                f += FILTERS
+        moved = np.flatnonzero(np.abs(d_vec).sum(axis=1))
+        slope = np.zeros((len(moved) * table.shape[1], SIZE))
+        slope[:] = np.repeat(d_vec[moved], table.shape[1], axis=0)
+        ids, inv = np.unique(table[used[moved]].ravel(), return_inverse=True)
+        summed = np.zeros((len(ids), SIZE))
+        np.add.at(summed, inv, slope)
+        descend("embed", summed, ids)
+        descend("filters", d_filters)
+        descend("bias", d_bias)
+        descend("out", d_out)
+        square_base += d_base**2
+        net.base -= RATE * d_base / np.sqrt(square_base)
     _calibrate(net, docs, table, texts, y, ~fit)
     return net
 
 
 def _calibrate(net: Network, docs: list[np.ndarray], table: np.ndarray, texts: list[list[str]], y: np.ndarray, held: np.ndarray) -> None:
-    """For each language the logit with the best F1 on rows that were not trained on becomes the cut; languages with few rows share one."""
+    """The logit with the best F1 on rows that were not trained on becomes the cut.
+
+    A language's cut lies between its own and that of all languages, the nearer to its own the more rows of both labels it has.
+    """
     part = np.flatnonzero(held)
+    if not len(part):
+        return
     logits = np.array([net.logit(net.responses(table[docs[i]])) for i in part])
-    lang = np.array([language(texts[i]) for i in part])
-    want = np.log(CUT / (1 - CUT))
+    lang, want = np.array([language(texts[i]) for i in part]), np.log(CUT / (1 - CUT))
 
     def cut(mask: np.ndarray) -> float:
         order = np.argsort(-logits[mask], kind="stable")
@@ -201,14 +211,12 @@ def _calibrate(net: Network, docs: list[np.ndarray], table: np.ndarray, texts: l
         below = z[k + 1] if k + 1 < len(z) else z[k] - 1
         return float((z[k] + below) / 2)
 
-    every = np.ones(len(part), bool)
-    if not len(part):
-        return
-    shared = cut(every)
+    shared = cut(np.ones(len(part), bool))
     for k in range(len(NAMES) + 1):
         mask = lang == k
-        enough = mask.sum() >= 60 and 15 <= y[part][mask].sum() <= mask.sum() - 15
-        net.shift[k] = want - (cut(mask) if enough else shared)
+        rarer = min(y[part][mask].sum(), (1 - y[part][mask]).sum())
+        own = cut(mask) if rarer else shared
+        net.shift[k] = want - (rarer * own + SHARED_ROWS * shared) / (rarer + SHARED_ROWS)
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable) -> Network:
