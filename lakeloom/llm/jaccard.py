@@ -187,12 +187,24 @@ def _fingerprint(shingles: np.ndarray) -> int:
 
 
 SKETCH = ("s0", "s1", "s2", "s3")
+#: Bits of the wide sketch at least and at most; between them, as many as there are shingles.
+NARROW, WIDEST = 256, 1 << 16
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    """256 bits: the parity of the number of shingles that hash to each."""
-    bits = np.bincount((mix64(shingles ^ ODD[0]) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def _sketches(shingles: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The parity of the number of shingles that hash to each of so many bits: of 256, as four numbers, and of as many as the set needs."""
+    m = min(WIDEST, max(NARROW, 1 << max(0, len(shingles) - 1).bit_length()))
+    bits = np.bincount((mix64(shingles ^ ODD[0]) & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    wide = np.packbits(bits.astype(np.uint8)).view(np.int64)
+    return _folded(wide, NARROW // 64), wide.tobytes()
+
+
+def _folded(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set with fewer bits: halves meet by parity."""
+    while len(sketch) > size:
+        half = len(sketch) // 2
+        sketch = sketch[:half] ^ sketch[half:]
+    return sketch
 
 
 def _close(a: str, b: str, scheme: Scheme) -> Column:
@@ -203,9 +215,11 @@ def _close(a: str, b: str, scheme: Scheme) -> Column:
 
 
 def _prints(found: list[np.ndarray]) -> list[pa.Array]:
-    """Columns node, n_shingles and the sketch of sets."""
-    sketches = np.array([_sketch(s) for s in found], np.int64).reshape(-1, 4).T
-    return [pa.array(map(_fingerprint, found), pa.int64()), pa.array(map(len, found), pa.int64()), *(pa.array(np.ascontiguousarray(x)) for x in sketches)]
+    """Columns node, n_shingles, the sketch of 256 bits and the wide one of sets."""
+    both = [_sketches(s) for s in found]
+    narrow = np.array([x for x, _ in both], np.int64).reshape(-1, 4).T
+    head = [pa.array(map(_fingerprint, found), pa.int64()), pa.array(map(len, found), pa.int64())]
+    return [*head, *(pa.array(np.ascontiguousarray(x)) for x in narrow), pa.array([x for _, x in both], pa.binary())]
 
 
 class Once:
@@ -223,12 +237,12 @@ class Once:
 
 
 def sets(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
-    """(doc_id, text_key, node, n_shingles, s0 to s3, counter, met): a row without counter for each row of docs; text_key is a hash of the text.
+    """(doc_id, text_key, node, n_shingles, s0 to s3, wide, counter, met): a row without counter for each row of docs; text_key is a hash of the text.
 
     Further rows tell how many index keys of the whole corpus fall under each counter, task by task.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_key", "node", "n_shingles", *SKETCH, "counter", "met"]
+    names = ["doc_id", "text_key", "node", "n_shingles", *SKETCH, "wide", "counter", "met"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, once, counts, schema = Shingler(k), Once(), np.zeros(COUNTERS, np.int64), None
@@ -249,7 +263,7 @@ def sets(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in schema.types[:-2]), pa.array(at), pa.array(counts[at])], schema=schema)
 
     read = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return read.mapInArrow(run, f"doc_id {kind}, text_key long, node long, n_shingles long, s0 long, s1 long, s2 long, s3 long, counter long, met long")
+    return read.mapInArrow(run, f"doc_id {kind}, text_key long, node long, n_shingles long, s0 long, s1 long, s2 long, s3 long, wide binary, counter long, met long")
 
 
 def key_counts(named: DataFrame) -> np.ndarray:
@@ -377,6 +391,26 @@ def meeting_rows(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, node long, flags byte, hub long")
 
 
+def _plausible(pairs: DataFrame, named: DataFrame, scheme: Scheme) -> DataFrame:
+    """(a, b) of the pairs whose wide sketches differ in no more bits than similar sets may in shingles."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wide = named.select("node", F.struct("n_shingles", "wide").alias("of")).join(nodes, "node").groupBy("node").agg(F.first("of").alias("of"))
+    side = lambda c: wide.select(F.col("node").alias(c), F.col("of.n_shingles").alias(f"n_{c}"), F.col("of.wide").alias(f"wide_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                size = min(len(u), len(v))
+                far = int(np.bitwise_count(_folded(u, size) ^ _folded(v, size)).sum())
+                good.append(far * (scheme.den + scheme.num) <= (n + m) * (scheme.den - scheme.num))
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, scheme: Scheme, scratch: Scratch, name: str) -> DataFrame:
     """(a, b) of the pairs whose sets are similar, by their exact sizes and common shingles.
 
@@ -428,6 +462,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     named = scratch.write(sets(docs, k, scheme), "sets")
     counts = key_counts(named)
     named = named.where("counter IS NULL").drop("counter", "met")
+    candidates = lambda pairs: scratch.write(_plausible(scratch.write(pairs, "pairs"), named, scheme), "candidates")
     known = named.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("node")
     names = scratch.write(known.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in SKETCH]), "names")
     rows = scratch.write(meeting_rows(key_rows(docs, k, scheme, counts)), "met")
@@ -438,7 +473,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     tried = scratch.write(tried.distinct(), "tried")
     of = [names.select(F.col("node").alias(c), F.struct("n", *SKETCH).alias(f"of_{c}")) for c in "ab"]
     tried = tried.join(of[0], "a").join(of[1], "b").where(_close("of_a", "of_b", scheme)).select("a", "b")
-    tried = scratch.write(tried, "pairs")
+    tried = candidates(tried)
     scratch.drop("tried")
     links = _verified(tried, docs, names, k, scheme, scratch, "links")
     label = scratch.write(connected_components(links), "labels")
@@ -446,7 +481,10 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = rows.join(label, "node", "left").select("key", "node", "flags", "hub", F.coalesce("component", "node").alias("label"))
     rows = scratch.write(rows, "labelled")
     scratch.drop("met", "labels")
-    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    # All index rows but the hub of their look-ups are still to be met: a key with one of them is done.
+    own = F.when(has("flags", indexed), F.col("node"))
+    ends = rows.groupBy("key").agg(*(f(c).alias(f"{f.__name__}_{n}") for f in (F.min, F.max) for n, c in (("label", F.col("label")), ("index", own))))
+    mixed = ends.where("min_label <> max_label AND min_index <> max_index").select("key")
     rows = rows.join(scratch.write(mixed, "mixed"), "key").join(names.select("node", F.struct("n", *SKETCH).alias("of")), "node")
     rows = scratch.write(rows, "open")
     scratch.drop("labelled", "mixed")
@@ -459,7 +497,7 @@ def _components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     meet = meet & (F.col("label_a") != F.col("label_b")) & (F.col("node_b") != F.col("hub"))
     meet = meet & (F.col("of_b.n") <= F.col("of_a.n")) & (F.col("of_b.n") * den >= F.col("of_a.n") * num) & _close("of_a", "of_b", scheme)
     rest = y.join(x, (y["key"] == x["key"]) & meet).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    rest = scratch.write(rest, "pairs")
+    rest = candidates(rest)
     scratch.drop("open")
     more = _verified(rest, docs, names, k, scheme, scratch, "more")
     found = scratch.write(connected_components(links.union(more)).withColumnRenamed("component", "root"), "components")
