@@ -73,8 +73,11 @@ def classify_numbers(answer: Column, sources: Column, digits: int = 4) -> Column
 def claims(text: Column) -> Column:
     """Typed numeric claims: percents, durations and document numbers."""
     kinds = {"percent": r"\d+(?:[.,]\d+)?\s*%", "duration": r"(?i)\d+\s*(?:days?|hours?|minutes?|months?|years?|ngày|giờ|phút|tháng|năm)", "docref": r"\d+/\d{4}/[A-ZĐ\-]+", "money": r"(?i)\d[\d.,]*\s*(?:k|tr|triệu|tỷ|đ|đồng|vnd|usd|\$|€)(?!\p{L})"}
-    arrays = [F.transform(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(0)), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x.alias("claim"))) for k, p in kinds.items()]
-    return F.concat(*arrays)
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("claim")))
+
+    return F.concat(*[found(k, p) for k, p in kinds.items()])
 
 
 def effective_limit(system: Column, extra: Column, default: int = 1_000_000) -> Column:

@@ -86,13 +86,27 @@ def window_of(chunks: DataFrame, size: int, overlap: int) -> DataFrame:
     return w.groupBy("chunk_id").agg(F.max_by("w", F.struct(held, -F.col("w.start"))).alias("w")).select("chunk_id", "w.start", "w.end")
 
 
-def merge_orphans(chunks: DataFrame, short: int = 100) -> DataFrame:
-    """Short chunks joined to the next one that isn't short; short ones at the end stay together."""
+def merge_orphans(chunks: DataFrame, short: int = 100, most: int = 1024) -> DataFrame:
+    """(doc_id, chunk_index, merged, content): short chunks joined to the next one that isn't short, if the whole isn't longer than most.
+
+    Short chunks at the end join the chunk before them under the same bound; whatever doesn't fit stays as it was. A null content is empty.
+    """
     own = Window.partitionBy(DOC).orderBy("chunk_index")
-    full = (F.length("content") >= short).cast("int")
-    group = F.coalesce(F.sum(full).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = chunks.withColumn("g", group)
-    return rows.groupBy(DOC, "g").agg(F.min("chunk_index").alias("chunk_index"), F.count("*").alias("merged"), _ordered("chunk_index", "content", "\n").alias("content")).drop("g")
+    rows = chunks.select(DOC, "chunk_index", F.coalesce("content", F.lit("")).alias("content"))
+    full = F.length("content") >= short
+    rows = rows.withColumn("full", full).withColumn("g", F.coalesce(F.sum(full.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    group = Window.partitionBy(DOC, "g")
+    rows = rows.withColumn("size", F.sum(F.length("content") + 1).over(group) - 1).withColumn("whole", F.max("full").over(group))
+    fits = F.col("whole") & (F.col("size") <= most)
+    # Where a group is joined its rows get one name, else each keeps its own.
+    rows = rows.withColumn("name", F.when(fits, F.min("chunk_index").over(group)).otherwise(F.col("chunk_index")))
+    # The tail has no full chunk: it joins the last result before it.
+    before = F.last(F.when(F.col("whole"), F.struct("name", F.when(fits, F.col("size")).otherwise(F.length("content")).alias("size"))), ignorenulls=True)
+    rows = rows.withColumn("last", before.over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    joins = ~F.col("whole") & (F.col("last.size") + 1 + F.col("size") <= most)
+    rows = rows.withColumn("name", F.when(joins, F.col("last.name")).otherwise(F.col("name")))
+    out = rows.groupBy(DOC, "name").agg(F.count("*").alias("merged"), _ordered("chunk_index", "content", "\n").alias("content"))
+    return out.select(DOC, F.col("name").alias("chunk_index"), "merged", "content")
 
 
 def with_context(chunks: DataFrame, n: int = 1) -> DataFrame:
@@ -117,51 +131,115 @@ def forward_fill(rows: DataFrame, column: str, *keys: str, order: str) -> DataFr
     return rows.withColumn(column, F.last(value, ignorenulls=True).over(own))
 
 
+#: Words that begin a numbered part of a statute, lines that end a table of contents' entry, and signs of formulas, images and fences.
+PARTS = r"(?iU)^(?:chương|phần|mục|điều)\s+[ivxlcdm0-9]+"
+LEADER = r"(?:\.\s?){3,}\s*\d{1,4}\s*$"
+FORMULA = r"\$.*?\$|\\\(.*?\\\)|\\\[.*?\\\]"
+IMAGE = r"!\[.*?\]\(.*?\)|<img\s"
+CLAUSE = r"(?i)^(?:[a-zđ]\)|\([ivxlcdm]+\)|\d+\))\s"
+#: Lines looked at for a table of contents and for a table by commas, and the latter's bounds.
+TOC_LINES, CSV_LINES, COMMA_SHARE, END_SHARE, CSV_RUN = 30, 20, 0.6, 0.3, 5
+
+
+def table_line(line: Column) -> Column:
+    """Whether a trimmed line is a row of a table: pipes, tabs, a numbered row, or commas without the marks of a sentence or clause."""
+    has = lambda p: F.rlike(line, F.lit(p))
+    pipes = F.regexp_count(line, F.lit(r"\|"))
+    piped = (F.startswith(line, F.lit("|")) & F.endswith(line, F.lit("|")) & (pipes >= 2)) | has(r"^\|[\s\-:]+\|") | ((pipes >= 2) & has(r"^[A-ZÀ-Ỹa-zà-ỹ\s]+[|]"))
+    commas = F.contains(line, F.lit(",")) & ~F.contains(line, F.lit(". ")) & ~has(r"[.;:]$") & ~has(CLAUSE)
+    return piped | F.contains(line, F.lit("\t")) | has(r"^\d+\s*[|,]\s*\S") | commas
+
+
+def comma_table(text: Column) -> Column:
+    """Whether the first lines are a table by commas: most have one and few end a sentence, or enough in a row have as many."""
+
+    def judge(first: Column) -> Column:
+        counts = F.transform(first, lambda x: F.regexp_count(x, F.lit(",")))
+        n = F.size(first)
+        with_comma = F.size(F.filter(counts, lambda c: c >= 1))
+        ends = F.size(F.filter(first, lambda x: F.rlike(x, F.lit(r"[.!?]\s*$"))))
+        run = lambda i: (F.get(counts, i) >= 1) & (F.size(F.array_distinct(F.slice(counts, i + 1, CSV_RUN))) == 1)
+        alike = F.exists(F.sequence(F.lit(0), F.greatest(n - CSV_RUN, F.lit(0))), run) & (n >= CSV_RUN)
+        return (n >= 2) & (((with_comma >= COMMA_SHARE * n) & (ends <= END_SHARE * n)) | alike)
+
+    filled = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"\S")))
+    return F.get(F.transform(F.array(F.slice(filled, 1, CSV_LINES)), judge), F.lit(0))
+
+
 def profile(docs: DataFrame) -> DataFrame:
-    """One row of counters per document: words, lines, headings by level, tables, code, lists, mixed content."""
+    """One row of measures per document: headings, tables, words per text line, table of contents, table by commas, statute parts, formulas, images, code.
+
+    Each line is a heading (of level 1 to 3), a row of a table, blank or text. Rows of a table make one table until a text or blank line comes. Words count in text
+    lines only. A null text is empty.
+    """
     text = F.coalesce("text", F.lit(""))
-    ls = F.split(text, "\n", -1)
-    count = lambda p: F.size(F.filter(ls, lambda x: F.rlike(x, F.lit(p))))
-    body = F.filter(ls, lambda x: (F.trim(x) != "") & ~F.rlike(x, F.lit(r"^(#{1,6}\s|\s*\|)")))
-    chars = F.aggregate(body, F.lit(0), lambda s, x: s + F.length(x))
-    headings = [count(rf"^#{{{k}}}\s+\S").alias(f"h{k}") for k in range(1, 4)]
-    separators = count(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$")
-    return docs.select(
-        DOC, F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("total_words"), F.size(ls).alias("n_lines"), count(r"^#{1,6}\s+\S").alias("total_headings"), *headings, separators.alias("table_count"), count(r"^\s*\|.*\|\s*$").alias("pipe_lines"),
-        count(r"^\s*([-*+]|\d+[.)])\s+\S").alias("list_items"), F.floor(count(r"^\s*```") / 2).alias("code_blocks"), F.round(F.coalesce(F.try_divide(chars.cast("double"), F.size(body)), F.lit(0.0)), 6).alias("avg_text_length"),
-        F.rlike(text, F.lit(r"(?im)^(#+\s*)?(table of contents|contents|mục lục)\s*$")).alias("has_toc"),
+    bare = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    kind = lambda x: (
+        F.when(F.startswith(x, F.lit("### ")), "3").when(F.startswith(x, F.lit("## ")), "2").when(F.startswith(x, F.lit("# ")), "1").when(x == "", "b").when(table_line(x), "t").otherwise("x")
+    )
+    rows = docs.select(DOC, text.alias("text"), bare.alias("ls")).withColumn("kinds", F.transform("ls", kind))
+    codes = F.array_join("kinds", "")
+    count = lambda p: F.regexp_count(codes, F.lit(p))
+    prose = F.array_join(F.transform(F.filter(F.arrays_zip("ls", "kinds"), lambda z: z["kinds"] == "x"), lambda z: z["ls"]), " ")
+    head = F.slice("ls", 1, TOC_LINES)
+    toc = F.exists(head, lambda x: F.contains(F.lower(x), F.lit("mục lục")) | F.contains(F.lower(x), F.lit("table of contents")) | F.rlike(x, F.lit(LEADER)))
+    fences = F.size(F.filter("ls", lambda x: F.startswith(x, F.lit("```"))))
+    rows = rows.select(
+        DOC, count("1").alias("h1"), count("2").alias("h2"), count("3").alias("h3"), count("[123]").alias("total_headings"), F.regexp_count(F.regexp_replace(codes, "[123]", ""), F.lit("t+")).alias("table_count"),
+        count("x").alias("text_blocks"), F.size(F.filter(F.split(prose, r"\s+"), lambda w: w != "")).alias("total_words"), toc.alias("has_toc"), fences.alias("fences"), comma_table(F.col("text")).alias("is_csv_format"),
+        F.size(F.filter("ls", lambda x: F.rlike(x, F.lit(PARTS)))).alias("statute_parts"), F.regexp_count("text", F.lit(FORMULA)).alias("formula_count"), F.regexp_count("text", F.lit(IMAGE)).alias("image_count"),
+        F.floor(F.regexp_count("text", F.lit(r"(?m)^```")) / 2).cast("int").alias("code_block_count"),
     )
+    blocks = F.col("total_headings") + F.col("table_count") + F.col("text_blocks")
+    other = F.col("total_headings") + F.col("table_count") + F.col("formula_count") + F.col("image_count") + F.col("code_block_count")
+    rows = rows.withColumn("avg_text_length", F.col("total_words") / F.greatest(F.col("text_blocks"), F.lit(1)))
+    rows = rows.withColumn("mixed_content_score", (F.col("table_count") + F.col("fences")) / F.greatest(blocks, F.lit(1)))
+    return rows.withColumn("heading_ratio", F.round(F.col("total_headings") / F.greatest(other, F.lit(1)), 3)).drop("fences", "text_blocks")
 
 
 #: Weights of the strategies' signs.
 WEIGHTS = {
-    "hdt": {"headings": 0.40, "toc": 0.35, "h2": 0.15, "long": 0.10},
-    "semantic": {"length": 0.50, "few": 0.25, "no_tables": 0.15, "long": 0.10},
-    "recursive": {"base": 0.30, "tables": 0.35, "short": 0.20, "mixed": 0.15},
-    "hybrid": {"headings": 0.25, "mixed": 0.25, "long": 0.25, "length": 0.25},
-    "proposition": {"length": 0.40, "few": 0.25, "long": 0.20, "no_tables": 0.15},
+    "hdt": {"headings_norm": 0.40, "has_toc": 0.35, "has_h2_group": 0.15, "is_long_doc": 0.10},
+    "semantic": {"avg_len_norm": 0.50, "few_headings": 0.25, "no_tables": 0.15, "is_long_doc": 0.10},
+    "recursive": {"base": 0.30, "tables_norm": 0.35, "short_avg_len": 0.20, "mixed_content": 0.15},
+    "hybrid": {"headings_norm": 0.25, "mixed_content": 0.25, "is_long_doc": 0.25, "avg_len_norm": 0.25},
+    "proposition": {"avg_len_norm": 0.40, "few_headings": 0.20, "is_long_doc": 0.20, "no_tables": 0.20},
 }
+#: What the signs are measured against.
+HEADINGS_NORM = {"hdt": 8, "hybrid": 5}
+LONG_DOC = {"hdt": 500, "semantic": 1000, "hybrid": 2000, "proposition": 1500}
+FEW_HEADINGS = {"semantic": 3, "proposition": 2}
+MIXED = {"recursive": 0.2, "hybrid": 0.3}
+H2_GROUP, AVG_LEN, TABLES_NORM, SHORT_AVG_LEN, LEAST_SURE, SURE_PARTS = 3, 300, 3, 50, 0.45, 3
+
 
+def select_strategy(profiles: DataFrame) -> DataFrame:
+    """(doc_id, strategy, confidence): the chunking strategy of each profile.
 
-def select_strategy(profiles: DataFrame, least: float = 0.4, long_words: int = 2000) -> DataFrame:
-    """The chunking strategy with the highest weighted sum of its signs; of equal ones the first; recursive where none is sure enough."""
+    A table by commas without headings and statute parts is table_csv, enough headings and statute parts are hdt. Else the highest weighted sum of signs wins, of equal ones
+    the first; recursive where none is sure enough.
+    """
     yes = lambda c: F.when(c, 1.0).otherwise(0.0)
-    mixed = (F.col("table_count") > 0) & (F.col("total_headings") > 0)
-    sign = {
-        "headings": F.least(F.col("total_headings") / 10.0, F.lit(1.0)), "toc": yes(F.col("has_toc")), "h2": yes(F.col("h2") >= 3), "long": yes(F.col("total_words") > long_words), "length": F.least(F.col("avg_text_length") / 500.0, F.lit(1.0)),
-        "few": yes(F.col("total_headings") <= 2), "no_tables": yes(F.col("table_count") == 0), "base": F.lit(1.0), "tables": F.least(F.col("table_count") / 3.0, F.lit(1.0)), "short": yes(F.col("avg_text_length") < 200), "mixed": yes(mixed),
-    }
+    capped = lambda c, norm: F.least(F.col(c) / float(norm), F.lit(1.0))
     out = profiles
     for name, weights in WEIGHTS.items():
+        sign = {
+            "headings_norm": capped("total_headings", HEADINGS_NORM.get(name, 1)), "has_toc": yes(F.col("has_toc")), "has_h2_group": yes(F.col("h2") >= H2_GROUP), "is_long_doc": yes(F.col("total_words") > LONG_DOC.get(name, 0)),
+            "avg_len_norm": capped("avg_text_length", AVG_LEN), "few_headings": yes(F.col("total_headings") <= FEW_HEADINGS.get(name, 0)), "no_tables": yes(F.col("table_count") == 0), "base": F.lit(1.0),
+            "tables_norm": capped("table_count", TABLES_NORM), "short_avg_len": yes(F.col("avg_text_length") < SHORT_AVG_LEN), "mixed_content": yes(F.col("mixed_content_score") > MIXED.get(name, 0.0)),
+        }
         total = F.lit(0.0)
         for k, w in weights.items():
             total = total + sign[k] * w
-        out = out.withColumn(f"s_{name}", F.round(total, 6))
+        out = out.withColumn(f"s_{name}", F.round(total, 9))
     best = F.greatest(*[F.col(f"s_{n}") for n in WEIGHTS])
-    pick = F.when(best < least, "recursive")
+    table = F.col("is_csv_format") & (F.col("total_headings") == 0) & (F.col("statute_parts") == 0)
+    statute = F.col("total_headings") + F.col("statute_parts") >= SURE_PARTS
+    pick = F.when(table, "table_csv").when(statute, "hdt").when(best < LEAST_SURE, "recursive")
     for n in WEIGHTS:
         pick = pick.when(F.col(f"s_{n}") == best, n)
-    return out.select(DOC, pick.alias("strategy"), F.greatest(best, F.lit(least)).alias("confidence"))
+    sure = F.when(table | statute, 1.0).when(best < LEAST_SURE, LEAST_SURE).otherwise(F.round(best + 1e-9, 2))
+    return out.select(DOC, pick.alias("strategy"), sure.alias("confidence"))
 
 
 def coverage(spans: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import unicodedata
+from string import ascii_lowercase
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Marks that stand after the letter in decomposed texts.
+COMBINING = "".join(map(chr, range(0x300, 0x370)))
+
 #: Attributes that only name a row.
 IDENTITY = ("brand", "name", "aliases")
 #: Upper bounds of the price buckets.
 BUCKETS = (("under_500k", 500_000), ("under_1M", 1_000_000), ("under_2M", 2_000_000), ("under_5M", 5_000_000))
-#: Letters with marks and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿđ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyd"
+#: Latin letters with marks and what they fold to, by their decomposition; đ has none and folds to d.
+MARKED = "đ" + "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if c == c.lower() and unicodedata.normalize("NFD", c)[0] in ascii_lowercase)
+PLAIN = "d" + "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED[1:])
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without accents; a text in decomposed form loses its combining marks."""
+    return F.translate(F.lower(text), MARKED + COMBINING, PLAIN)
 
 
 def notation(text: Column) -> Column:

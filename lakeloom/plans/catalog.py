@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions import numbers, text
@@ -108,15 +108,15 @@ def quality_distribution(spark, sf):
 
 
 @query(f"""WITH {LOGS}, b AS (SELECT o_orderkey AS budget_id, CASE WHEN o_orderkey % 3 = 0 THEN 'tenant' WHEN o_orderkey % 3 = 1 THEN 'workspace' ELSE 'bot' END AS level, CASE WHEN o_orderkey % 2 = 0 THEN 'monthly' ELSE 'daily' END AS period,
-  CAST(round(o_totalprice) AS BIGINT) % 1000 AS token_limit, o_custkey AS bot FROM orders WHERE o_custkey < 150),
+  CAST(round(o_totalprice) AS BIGINT) % 1000 AS token_limit, o_custkey AS bot FROM orders),
   bb AS (SELECT budget_id, level, period, token_limit, tenant, CASE level WHEN 'tenant' THEN tenant WHEN 'workspace' THEN workspace ELSE CAST(bot AS VARCHAR) END AS scope FROM b JOIN bots USING (bot)),
   u AS (SELECT budget_id, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS used_tokens FROM bb LEFT JOIN logs ON bb.tenant = logs.tenant AND started_at <= TIMESTAMP '2024-01-20 12:00:00'
     AND started_at >= CASE period WHEN 'monthly' THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-20' END AND scope = CASE level WHEN 'tenant' THEN logs.tenant WHEN 'workspace' THEN logs.workspace ELSE CAST(logs.bot AS VARCHAR) END GROUP BY budget_id)
   SELECT budget_id, level, scope, period, token_limit, used_tokens, round(coalesce(used_tokens * 100.0 / nullif(token_limit, 0), 0), 4) AS pct, round(coalesce(used_tokens * 100.0 / nullif(token_limit, 0), 0), 4) >= 80 AS alerting FROM bb JOIN u USING (budget_id)""")
-def budget_status(spark, sf, customers="o_custkey < 150"):
+def budget_status(spark, sf):
     k = F.col("o_orderkey")
     level = F.when(k % 3 == 0, "tenant").when(k % 3 == 1, "workspace").otherwise("bot")
-    b = table(spark, sf, "orders").where(customers).select(k.alias("budget_id"), level.alias("level"), F.when(k % 2 == 0, "monthly").otherwise("daily").alias("period"), (F.round("o_totalprice").cast("long") % 1000).alias("token_limit"), F.col("o_custkey").alias("bot"))
+    b = table(spark, sf, "orders").select(k.alias("budget_id"), level.alias("level"), F.when(k % 2 == 0, "monthly").otherwise("daily").alias("period"), (F.round("o_totalprice").cast("long") % 1000).alias("token_limit"), F.col("o_custkey").alias("bot"))
     b = b.join(bots(spark, sf), "bot").withColumn("scope", F.when(F.col("level") == "tenant", F.col("tenant")).when(F.col("level") == "workspace", F.col("workspace")).otherwise(F.col("bot").cast("string")))
     return analytics.budget_status(b.withColumn("alert_at_pct", F.lit(None).cast("int")), request_logs(spark, sf), "2024-01-20 12:00:00")
 
@@ -302,9 +302,9 @@ def content_hash_dups(spark, sf):
     return structured.duplicate_groups(table(spark, sf, "documents"), text.content_hash(F.col("text")), "doc_id")
 
 
-@query(f"WITH {ENTITIES} SELECT name, count(DISTINCT size) AS prices, min(size) AS price FROM entities WHERE entity_id < 300 GROUP BY name HAVING count(DISTINCT size) = 1")
-def single_price_names(spark, sf, parts="entity_id < 300"):
-    return structured.single_price_names(entities(spark, sf).where(parts).withColumn("price_primary", F.col("size")))
+@query(f"WITH {ENTITIES} SELECT name, count(DISTINCT size) AS prices, min(size) AS price FROM entities GROUP BY name HAVING count(DISTINCT size) = 1")
+def single_price_names(spark, sf):
+    return structured.single_price_names(entities(spark, sf).withColumn("price_primary", F.col("size")))
 
 
 @query(f"WITH {ENTITIES}, {CHUNKS} SELECT entity_id, c.chunk_id AS record_chunk_id FROM entities e LEFT JOIN chunks c ON e.doc_id = c.doc_id AND e.chunk_index = c.chunk_index")
@@ -317,8 +317,6 @@ def entities_with_chunk(spark, sf):
 
 @query(f"WITH {CHUNKS} SELECT doc_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS rn FROM chunks) WHERE rn <= 3")
 def first_n_chunks_per_doc(spark, sf):
-    from pyspark.sql import Window
-
     own = Window.partitionBy("doc_id").orderBy("chunk_index")
     return chunks(spark, sf).withColumn("rn", F.row_number().over(own)).where("rn <= 3").select("doc_id", "chunk_index")
 
@@ -347,12 +345,12 @@ def neighbor_window(spark, sf):
     return ranking.neighbour_windows(seeds, 1).join(c, "doc_id").where("chunk_index BETWEEN lo AND hi").select("query_id", "chunk_id")
 
 
-@query("""WITH d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'O' THEN 'DRAFT' ELSE 'active' END AS state, o_orderdate AS updated_at FROM orders), x AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linestatus = 'O' THEN 'pending' ELSE 'sent' END AS status, l_shipdate AS created_at FROM lineitem WHERE l_linenumber = 1)
+@query("""WITH d AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus = 'O' THEN 'DRAFT' ELSE 'active' END AS state, o_orderdate AS updated_at FROM orders), x AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linestatus = 'O' THEN 'pending' ELSE 'sent' END AS status, l_shipdate AS created_at FROM lineitem)
   SELECT doc_id FROM d WHERE state = 'DRAFT' AND updated_at < TIMESTAMP '1998-01-01' - INTERVAL 3600 SECONDS AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = d.doc_id AND (status = 'pending' OR created_at > TIMESTAMP '1998-01-01' - INTERVAL 86400 SECONDS))""")
 def stuck_anti_join(spark, sf):
     o, i = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     docs = o.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderstatus") == "O", "DRAFT").otherwise("active").alias("state"), F.col("o_orderdate").cast("timestamp").alias("updated_at"))
-    out = i.where("l_linenumber = 1").select(F.to_json(F.struct(F.col("l_orderkey").alias("document_id"))).alias("payload"), F.when(F.col("l_linestatus") == "O", "pending").otherwise("sent").alias("status"), F.col("l_shipdate").cast("timestamp").alias("created_at"))
+    out = i.select(F.to_json(F.struct(F.col("l_orderkey").alias("document_id"))).alias("payload"), F.when(F.col("l_linestatus") == "O", "pending").otherwise("sent").alias("status"), F.col("l_shipdate").cast("timestamp").alias("created_at"))
     return history.stuck(docs, out, "1998-01-01", 3600, 86400).select("doc_id")
 
 
@@ -405,7 +403,7 @@ def vector_topk(spark, sf):
 
 
 TERMS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-zß-öø-ÿ]+')"
-BM25 = f"""ch AS (SELECT doc_id AS chunk_id, {TERMS.format('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM ch), wq AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark WHERE item_id < 20),
+BM25 = f"""ch AS (SELECT doc_id AS chunk_id, {TERMS.format('text')} AS t FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM ch), wq AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark),
   ps AS (SELECT chunk_id, term, count(*) AS tf, any_value(size) AS size FROM (SELECT chunk_id, len(t) AS size, unnest(t) AS term FROM ch) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM ps GROUP BY 1),
   sc AS (SELECT query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)))), 6) AS score FROM wq JOIN ps USING (term) JOIN df USING (term), st GROUP BY 1, 2),
   sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= {{k}})"""
@@ -415,21 +413,21 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
-def _bm25(spark, sf, k, items="item_id < 20"):
-    q = table(spark, sf, "benchmark").where(items).select(F.col("item_id").alias("query_id"), "text")
+def _bm25(spark, sf, k):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25_topk(q, _docs(spark, sf), k)
 
 
 @query(f"WITH {BM25.format(k=10)} SELECT * FROM sparse")
-def bm25_topk(spark, sf, items="item_id < 20"):
-    return _bm25(spark, sf, 10, items)
+def bm25_topk(spark, sf):
+    return _bm25(spark, sf, 10)
 
 
-@query(f"""WITH {BM25.format(k=20)}, qv AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 20), dn AS (SELECT q.query_id, c.vec_id AS chunk_id, {COS} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM qv q, embeddings c QUALIFY rank <= 20),
+@query(f"""WITH {BM25.format(k=20)}, qv AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)), dn AS (SELECT q.query_id, c.vec_id AS chunk_id, {COS} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY {COS} DESC, c.vec_id) AS rank FROM qv q, embeddings c QUALIFY rank <= 20),
   f AS (SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.chunk_id, s.chunk_id) AS chunk_id, d.rank AS dense_rank, s.rank AS sparse_rank, round(0.6 / (60 + coalesce(d.rank, 1000)) + 0.4 / (60 + coalesce(s.rank, 1000)), 12) AS score FROM dn d FULL JOIN sparse s ON d.query_id = s.query_id AND d.chunk_id = s.chunk_id)
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
-def hybrid_rrf_weighted(spark, sf, items="item_id < 20"):
-    q = table(spark, sf, "benchmark").where(items).select(F.col("item_id").alias("query_id"), "text")
+def hybrid_rrf_weighted(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     v = vectors(spark, sf)
     queries = q.join(v.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id", "left")
     both = v.select("chunk_id", "embedding").join(_docs(spark, sf), "chunk_id", "full")
@@ -442,8 +440,6 @@ FUSED = f"{LISTS}, g AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank +
 
 
 def _fused(spark, sf):
-    from pyspark.sql import Window
-
     d = _dense(spark, sf, 20)
     a = d.select("query_id", F.lit(0).alias("list_id"), (F.col("rank") - 1).alias("rank"), "chunk_id", "score")
     own = Window.partitionBy("query_id").orderBy("chunk_id")
@@ -524,7 +520,7 @@ def parent_substitution(spark, sf):
     return ranking.substitute_parents(rows, spark.createDataFrame([(f"p{i}",) for i in range(4)], "parent_id string"))
 
 
-@query(f"""WITH rq AS (SELECT vec_id AS query_id, 'h' || (vec_id % 40) AS hash, embedding FROM embeddings WHERE vec_id % 25 = 0), ca AS (SELECT vec_id AS entry_id, 'h' || (vec_id % 97) AS hash, embedding, TIMESTAMP '2024-01-01' + to_seconds(vec_id) AS created_at, TIMESTAMP '2024-01-01' + to_days(CAST(vec_id % 30 AS INTEGER)) AS expires_at FROM embeddings),
+@query(f"""WITH rq AS (SELECT vec_id AS query_id, 'h' || (vec_id % 40) AS hash, embedding FROM embeddings WHERE vec_id % 50 = 0), ca AS (SELECT vec_id AS entry_id, 'h' || (vec_id % 97) AS hash, embedding, TIMESTAMP '2024-01-01' + to_seconds(vec_id) AS created_at, TIMESTAMP '2024-01-01' + to_days(CAST(vec_id % 30 AS INTEGER)) AS expires_at FROM embeddings),
   al AS (SELECT * FROM ca WHERE expires_at > TIMESTAMP '2024-01-15'), ex AS (SELECT query_id, max_by(entry_id, created_at) AS e FROM rq JOIN al USING (hash) GROUP BY 1),
   nr AS (SELECT q.query_id, c.entry_id, {COS} AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY {COS} DESC, c.entry_id) AS rank FROM rq q, al c QUALIFY rank = 1)
   SELECT q.query_id, coalesce(e, CASE WHEN score >= 0.4 THEN entry_id END) AS entry_id, CASE WHEN e IS NOT NULL THEN 'exact' WHEN score >= 0.4 THEN 'near' ELSE 'miss' END AS kind, CASE WHEN e IS NOT NULL THEN 1.0 WHEN score >= 0.4 THEN score END AS similarity FROM rq q LEFT JOIN ex USING (query_id) LEFT JOIN nr ON nr.query_id = q.query_id""")
@@ -533,7 +529,7 @@ def semantic_cache_lookup(spark, sf):
     i = F.col("vec_id")
     name = lambda n: F.concat(F.lit("h"), (i % n).cast("string")).alias("hash")
     start = F.lit("2024-01-01").cast("timestamp")
-    requests = v.where("vec_id % 25 = 0").select(i.alias("query_id"), name(40), "embedding")
+    requests = v.where("vec_id % 50 = 0").select(i.alias("query_id"), name(40), "embedding")
     cache = v.select(i.alias("entry_id"), name(97), "embedding", (start + F.make_dt_interval(secs=i)).alias("created_at"), (start + F.make_dt_interval(days=(i % 30).cast("int"))).alias("expires_at"))
     return retrieval.cache_lookup(requests, cache, "2024-01-15", 0.4)
 
@@ -576,20 +572,6 @@ def jaccard_pairs(spark, sf):
     return dedup.jaccard_pairs(d, 0.8, 200)
 
 
-RE2 = {k: p for k, p in text.PII}
-
-
-def _pii_sql(e: str) -> str:
-    for kind, p in text.PII:
-        e = f"regexp_replace({e}, '{p}', '[{kind}]', 'g')"
-    return e
-
-
-@query(f"SELECT doc_id, {_pii_sql('text')} AS redacted FROM documents")
-def pii_redact(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.redact_pii(F.col("text")).alias("redacted"))
-
-
 @query(r"""WITH d AS (SELECT doc_id, text, length(text) AS n, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, length(regexp_replace(text, '[^\p{L}\p{N}_]', '', 'g')) AS an FROM documents),
   s AS (SELECT doc_id, CASE WHEN n < 50 OR n > 4000 THEN 0 WHEN n <= 800 THEN (n - 50) / CAST(750 AS DOUBLE) ELSE (4000 - n) / CAST(3200 AS DOUBLE) END AS l, CASE WHEN len(w) < 2 THEN 0 WHEN len(list_distinct(w)) / len(w) <= 0.2 THEN 0 WHEN len(list_distinct(w)) / len(w) >= 0.5 THEN 1 ELSE (len(list_distinct(w)) / len(w) - 0.2) / 0.3 END AS t,
   CASE WHEN regexp_matches(text, '\?{3,}|@{2,}|<0x[0-9A-Fa-f]{2,}>|\\u00[0-9A-Fa-f]{2}|\\x[0-9A-Fa-f]{2}|\x{FFFD}') OR an = 0 OR 1 - an / n > 0.5 THEN 0 ELSE 1 END AS c, trim(regexp_replace(text, '\s+', ' ', 'g')) = '' AS blank FROM d)
@@ -598,22 +580,18 @@ def quality_score(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(text.quality_score(F.col("text")) + 1e-9, 4).alias("score"))
 
 
-@query(rf"""WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), c AS (SELECT *, replace(' ' || lower(text) || ' ', ' ', '  ') AS sp FROM q)
-  SELECT conv_id, turn, round(greatest(length(text) - length(replace(text, ',', '')) - 1, 0) * 0.5 + len(regexp_extract_all(sp, ' (?:and|or|und|et|y) ')) * 0.4 + len(regexp_extract_all(text, '[0-9]+')) * 0.3 + greatest(length(text) - length(replace(text, '?', '')) - 1, 0) * 0.6 + len({W.format('text')}) / 20.0, 6) AS complexity FROM c""")
-def query_complexity(spark, sf):
-    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.round(text.query_complexity(F.col("text")), 6).alias("complexity"))
-
-
 def _overlaps(both):
     return both.select("doc_id", F.round(text.shingle_overlap(F.col("text"), F.col("main"), 3), 6).alias("overlap"))
 
 
-@query(rf"""WITH s AS (SELECT d.doc_id, {W.format('d.text')} AS a, {W.format('b.text')} AS b FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id WHERE d.doc_id < 200),
+@query(rf"""WITH s AS (SELECT d.doc_id, {W.format('d.text')} AS a, {W.format('b.text')} AS b FROM documents d JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS items FROM benchmark) b ON d.doc_id % b.items = b.place),
   g AS (SELECT doc_id, CASE WHEN len(a) >= 3 THEN list_distinct([list_aggregate(a[i:i+2], 'string_agg', ' ') for i in generate_series(1, len(a) - 2)]) ELSE [] END AS x, CASE WHEN len(b) >= 3 THEN list_distinct([list_aggregate(b[i:i+2], 'string_agg', ' ') for i in generate_series(1, len(b) - 2)]) ELSE [] END AS y FROM s)
   SELECT doc_id, round(CASE WHEN len(x) = 0 THEN 1.0 ELSE len(list_intersect(x, y)) / len(x) END, 6) AS overlap FROM g""")
 def shingle_overlap(spark, sf):
-    d, b = table(spark, sf, "documents").where("doc_id < 200"), table(spark, sf, "benchmark")
-    return _overlaps(d.join(b.select("item_id", F.col("text").alias("main")), F.col("doc_id") % 40 == F.col("item_id")))
+    """Every document against one item, and every item in turn; the items' places come from one window over the benchmark alone."""
+    b = table(spark, sf, "benchmark")
+    placed = b.select(F.col("text").alias("main"), (F.row_number().over(Window.orderBy("item_id")) - 1).alias("place")).crossJoin(F.broadcast(b.agg(F.count("*").alias("items"))))
+    return _overlaps(table(spark, sf, "documents").join(F.broadcast(placed), F.col("doc_id") % F.col("items") == F.col("place")))
 
 
 NUM = r"list_filter(regexp_extract_all(coalesce({0}, ''), '\d[\d.,]*\d|\d'), lambda t: length(regexp_replace(t, '[^0-9]', '', 'g')) >= 4)"
@@ -650,12 +628,6 @@ def csv_row_chunks(spark, sf):
     return chunking.csv_rows(table(spark, sf, "documents"))
 
 
-@query(f"""WITH {CHUNKS}, g AS (SELECT *, coalesce(sum(CASE WHEN length(content) >= 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM chunks)
-  SELECT doc_id, min(chunk_index) AS chunk_index, count(*) AS merged, string_agg(content, chr(10) ORDER BY chunk_index) AS content FROM g GROUP BY doc_id, g""")
-def orphan_merge(spark, sf):
-    return chunking.merge_orphans(chunks(spark, sf))
-
-
 @query(f"""WITH {CHUNKS} SELECT chunk_id, finding FROM (SELECT chunk_id, unnest(list_filter([CASE WHEN length(content) < 20 THEN 'short' END, CASE WHEN length(content) > 2000 THEN 'long' END, CASE WHEN content = lag(content) OVER (PARTITION BY doc_id ORDER BY chunk_index) THEN 'repeated' END], lambda x: x IS NOT NULL)) AS finding FROM chunks)""")
 def validate_chunks(spark, sf):
     return dedup.validate_chunks(chunks(spark, sf), 20, 2000)
@@ -668,20 +640,6 @@ def chunk_diff(spark, sf):
     return dedup.changed_chunks(c, c.where("chunk_index % 7 <> 6").withColumn("content", F.when(F.col("chunk_index") % 3 == 0, F.upper("content")).otherwise(F.col("content"))))
 
 
-@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), b AS (SELECT *, list_filter(l, lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(x, '^(#{1,6}\s|\s*\|)')) AS body FROM d)
-  SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS total_words, len(l) AS n_lines, round(coalesce(list_sum(list_transform(body, lambda x: length(x))) / nullif(len(body), 0), 0), 6) AS avg_text_length, len(list_filter(l, lambda x: regexp_matches(x, '^\s*([-*+]|\d+[.)])\s+\S'))) AS list_items FROM b""")
-def document_profile(spark, sf):
-    return chunking.profile(table(spark, sf, "documents")).select("doc_id", "total_words", "n_lines", "avg_text_length", "list_items")
-
-
-@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), b AS (SELECT *, list_filter(l, lambda x: trim(x, ' ') <> '' AND NOT regexp_matches(x, '^(#{1,6}\s|\s*\|)')) AS body FROM d),
-  p AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w, round(coalesce(list_sum(list_transform(body, lambda x: length(x))) / nullif(len(body), 0), 0), 6) AS a FROM b),
-  s AS (SELECT doc_id, round(CASE WHEN w > 2000 THEN 0.1 ELSE 0 END, 6) AS hdt, round(least(a / 500.0, 1) * 0.5 + 0.25 + 0.15 + CASE WHEN w > 2000 THEN 0.1 ELSE 0 END, 6) AS sem, round(0.3 + CASE WHEN a < 200 THEN 0.2 ELSE 0 END, 6) AS rec, round(CASE WHEN w > 2000 THEN 0.25 ELSE 0 END + least(a / 500.0, 1) * 0.25, 6) AS hyb, round(least(a / 500.0, 1) * 0.4 + 0.25 + CASE WHEN w > 2000 THEN 0.2 ELSE 0 END + 0.15, 6) AS prop FROM p), m AS (SELECT *, greatest(hdt, sem, rec, hyb, prop) AS best FROM s)
-  SELECT doc_id, CASE WHEN best < 0.4 THEN 'recursive' WHEN hdt = best THEN 'hdt' WHEN sem = best THEN 'semantic' WHEN rec = best THEN 'recursive' WHEN hyb = best THEN 'hybrid' ELSE 'proposition' END AS strategy, greatest(best, 0.4) AS confidence FROM m""")
-def strategy_select(spark, sf):
-    return chunking.select_strategy(chunking.profile(table(spark, sf, "documents")))
-
-
 @query(f"""WITH s AS (SELECT o_custkey AS doc_id, CAST(o_orderkey % 1000 AS BIGINT) AS start, CAST(o_orderkey % 1000 + 40 + o_orderkey % 30 AS BIGINT) AS "end" FROM orders), l AS (SELECT DISTINCT c_custkey AS doc_id, CAST(1200 AS BIGINT) AS length FROM customer),
   r AS (SELECT *, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM s), b AS (SELECT doc_id, sum(greatest("end" - greatest(start, reach), 0)) AS covered, count(*) FILTER (start > reach) AS g, max("end") AS last FROM r GROUP BY 1)
   SELECT doc_id, CAST(coalesce(covered, 0) AS BIGINT) AS covered, round(coalesce(covered, 0) / length, 6) AS ratio, coalesce(g, 0) + CASE WHEN coalesce(last, 0) < length THEN 1 ELSE 0 END AS gaps FROM l LEFT JOIN b USING (doc_id)""")

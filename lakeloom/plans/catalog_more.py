@@ -104,10 +104,11 @@ def feedback_attach(spark, sf):
     return history.latest_feedback(logs, a.union(b)).select("request_id", "feedback_score")
 
 
-@query("""WITH p AS (SELECT p_partkey AS rule_id, p_name AS pattern FROM part WHERE p_partkey < 100), t AS (SELECT p_partkey AS rule_id, p_brand AS pattern FROM part WHERE p_partkey >= 50 AND p_partkey < 150) SELECT rule_id, coalesce(t.pattern, p.pattern) AS pattern FROM p FULL JOIN t USING (rule_id)""")
+@query("""WITH p AS (SELECT p_partkey AS rule_id, p_name AS pattern FROM part WHERE p_partkey % 150 < 100), t AS (SELECT p_partkey AS rule_id, p_brand AS pattern FROM part WHERE p_partkey % 150 >= 50) SELECT rule_id, coalesce(t.pattern, p.pattern) AS pattern FROM p FULL JOIN t USING (rule_id)""")
 def rule_overlay(spark, sf):
     p = table(spark, sf, "part")
-    return dedup.overlay_rules(p.where("p_partkey < 100").select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("pattern")), p.where("p_partkey >= 50 AND p_partkey < 150").select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("pattern")))
+    rules = lambda some, name: p.where(some).select(F.col("p_partkey").alias("rule_id"), F.col(name).alias("pattern"))
+    return dedup.overlay_rules(rules("p_partkey % 150 < 100", "p_name"), rules("p_partkey % 150 >= 50", "p_brand"))
 
 
 @query("""SELECT c_custkey AS bot, coalesce(CASE WHEN c_custkey % 5 = 0 THEN '5' END, CASE WHEN c_custkey % 3 = 0 THEN '7' END, '9') AS top_k, CASE WHEN c_custkey % 5 = 0 THEN 0 WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS layer FROM customer""")
@@ -149,14 +150,15 @@ def staged_fallback(spark, sf):
     return ranking.staged(_dense(spark, sf, 10).select("query_id", (F.col("rank") % 3).cast("int").alias("stage"), "chunk_id", "score"), 0.33)
 
 
-@query(f"""WITH {CHUNKS}, s AS (SELECT doc_id % 5 AS query_id, chunk_id, doc_id, chunk_index, content, CAST(row_number() OVER (PARTITION BY doc_id % 5 ORDER BY doc_id) AS INTEGER) AS rank FROM chunks WHERE chunk_index = 2 AND doc_id < 20),
+@query(f"""WITH {CHUNKS}, s AS (SELECT doc_id // 20 * 5 + doc_id % 5 AS query_id, chunk_id, doc_id, chunk_index, content, CAST(row_number() OVER (PARTITION BY doc_id // 20 * 5 + doc_id % 5 ORDER BY doc_id) AS INTEGER) AS rank FROM chunks WHERE chunk_index = 2),
   w AS (SELECT query_id, doc_id, min(greatest(chunk_index - 1, 0)) AS lo, max(chunk_index + 1) AS hi FROM s GROUP BY 1, 2), a AS (SELECT w.query_id, c.chunk_id, c.doc_id, c.chunk_index, c.content, false AS seed, NULL AS rank FROM w JOIN chunks c ON w.doc_id = c.doc_id AND c.chunk_index BETWEEN lo AND hi WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.query_id = w.query_id AND s.chunk_id = c.chunk_id)),
   u AS (SELECT query_id, chunk_id, doc_id, chunk_index, content, true AS seed, rank FROM s UNION ALL SELECT * FROM a), v AS (SELECT *, row_number() OVER o AS place, sum(length(content) // 4) OVER (PARTITION BY query_id ORDER BY seed DESC, rank, doc_id, chunk_index, chunk_id ROWS UNBOUNDED PRECEDING) AS used FROM u WINDOW o AS (PARTITION BY query_id ORDER BY seed DESC, rank, doc_id, chunk_index, chunk_id))
   SELECT query_id, chunk_id, seed, place FROM v WHERE seed OR used <= 600""")
 def neighbour_expand(spark, sf):
+    """Four seeds a query: the queries grow with the documents, not the seeds of a query."""
     c = chunks(spark, sf)
     own = Window.partitionBy("query_id").orderBy("doc_id")
-    seeds = c.where("chunk_index = 2 AND doc_id < 20").withColumn("query_id", F.col("doc_id") % 5).withColumn("rank", F.row_number().over(own))
+    seeds = c.where("chunk_index = 2").withColumn("query_id", F.expr("doc_id DIV 20 * 5 + doc_id % 5")).withColumn("rank", F.row_number().over(own))
     return ranking.expand_neighbours(seeds, c, 1, 600).select("query_id", "chunk_id", "seed", "place")
 
 
@@ -166,17 +168,17 @@ def keyword_scan(spark, sf):
 
 
 @query(f"WITH {BM25.format(k=10)}, b AS (SELECT query_id, chunk_id, score + CASE WHEN contains(lower(text), 'license') THEN 1.0 ELSE 0.0 END AS score FROM sparse JOIN documents ON doc_id = chunk_id) SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b")
-def phrase_boost(spark, sf, items="item_id < 20"):
+def phrase_boost(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    out = retrieval.phrase_boost(_bm25(spark, sf, 10, items).drop("rank").join(d, "chunk_id"), "License")
+    out = retrieval.phrase_boost(_bm25(spark, sf, 10).drop("rank").join(d, "chunk_id"), "License")
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"WITH q AS (SELECT * FROM embeddings WHERE vec_id < 50), c AS (SELECT vec_id + 1 AS i, embedding FROM embeddings) SELECT q.vec_id, {COS} >= 0.1 AS kept FROM q JOIN c ON q.vec_id = c.i")
-def speculative_keep(spark, sf, answers="vec_id < 50"):
+@query(f"WITH q AS (SELECT * FROM embeddings), c AS (SELECT vec_id + 1 AS i, embedding FROM embeddings) SELECT q.vec_id, {COS} >= 0.1 AS kept FROM q JOIN c ON q.vec_id = c.i")
+def speculative_keep(spark, sf):
     v = table(spark, sf, "embeddings")
     c = v.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("e2"))
-    return v.where(answers).join(c, "vec_id").select("vec_id", (F.round(retrieval.cosine(F.col("embedding"), F.col("e2")), 9) >= 0.1).alias("kept"))
+    return v.join(c, "vec_id").select("vec_id", (F.round(retrieval.cosine(F.col("embedding"), F.col("e2")), 9) >= 0.1).alias("kept"))
 
 
 @query("SELECT doc_id % 20 AS answer_id, round(coalesce(count(*) FILTER (quality = 1) / nullif(count(quality), 0), 1), 6) AS faithfulness FROM labels GROUP BY 1")
@@ -238,13 +240,13 @@ def significant_numbers(spark, sf):
     return _docs(spark, sf).select("doc_id", numbers.significant(F.col("text")).alias("numbers"))
 
 
-@query("SELECT p_partkey, CAST(p_partkey % 900 AS BIGINT) * 1000 + 1000000 AS a, CAST(p_partkey AS BIGINT) * 1000000 AS b, CAST(p_partkey AS BIGINT) * 1000 AS c FROM part WHERE p_partkey BETWEEN 100 AND 999")
+@query("SELECT p_partkey, CAST(p_partkey % 900 AS BIGINT) * 1000 + 1000000 AS a, CAST(p_partkey AS BIGINT) * 1000000 AS b, CAST(p_partkey AS BIGINT) * 1000 AS c FROM part")
 def money_literals(spark, sf):
     k = F.col("p_partkey")
-    p = table(spark, sf, "part").where("p_partkey BETWEEN 100 AND 999")
+    p = table(spark, sf, "part")
     a = numbers.money(F.concat(F.lit("giá 1tr"), F.lpad((k % 900).cast("string"), 3, "0"), F.lit(" nhé")))
     b = numbers.money(F.concat(k.cast("string"), F.lit(" triệu")))
-    c = numbers.money(F.concat(k.cast("string"), F.lit(".000")))
+    c = numbers.money(F.translate(F.format_number(k * 1000, 0), ",", "."))
     return p.select("p_partkey", a.alias("a"), b.alias("b"), c.alias("c"))
 
 
@@ -301,7 +303,7 @@ def table_to_entities(spark, sf):
 @query()
 def char_capped_context(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return ranking.char_cap(_bm25(spark, sf, 10, "true").join(d, "chunk_id"), 4000).select("query_id", "chunk_id", "rank")
+    return ranking.char_cap(_bm25(spark, sf, 10).join(d, "chunk_id"), 4000).select("query_id", "chunk_id", "rank")
 
 
 @query()

@@ -62,14 +62,19 @@ def expire(rows: DataFrame, as_of: str, at: str = "expires_at") -> DataFrame:
     return rows.where(F.col(at).isNull() | (F.col(at) > F.lit(as_of).cast("timestamp")))
 
 
-def relay(events: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], DataFrame], dead_letters: str, max_attempts: int = 5, trigger: dict | None = None):
-    """Start a stream that hands each batch to handle(batch, batch_id) and writes the rows it returns as failed, with their attempts, to dead letters.
+def relay(events: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], DataFrame], dead_letters: str, max_attempts: int = 5, trigger: dict | None = None, retries: str | None = None):
+    """Start a stream that hands each batch to handle(batch, batch_id) and keeps the rows it returns as failed, with their attempts.
 
-    handle gives failed rows (payload, attempts); those with max_attempts attempts or more are dead. Files are named by batch, so a batch that runs again replaces its own.
+    handle gives failed rows (payload, attempts). Those with max_attempts attempts or more are dead letters; the others go to the folder retries (beside the dead letters where
+    it isn't given), from where they can be streamed in again. Files are named by batch, so a batch that runs again replaces its own.
     """
+    again = retries or f"{dead_letters.rstrip('/')}-retries"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        failed = handle(batch, batch_id)
-        failed.where(F.col("attempts") >= max_attempts).write.mode("overwrite").json(f"{dead_letters}/batch={batch_id}")
+        failed = handle(batch, batch_id).persist()
+        dead = F.coalesce(F.col("attempts") >= max_attempts, F.lit(True))
+        failed.where(dead).write.mode("overwrite").json(f"{dead_letters}/batch={batch_id}")
+        failed.where(~dead).write.mode("overwrite").json(f"{again}/batch={batch_id}")
+        failed.unpersist()
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
