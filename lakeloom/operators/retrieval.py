@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.ranking import C, Q, ranked, rrf_weighted
 
-#: Queries that are broadcast against all rows at once, about; more are dealt into blocks.
-MAX_QUERIES = 10_000
+#: Numbers of the query vectors that are sent to all tasks at once, about; more are dealt into blocks.
+MAX_NUMBERS = 4_000_000
 TERM = r"[a-zß-öø-ÿ]+"
+#: Letters by which keywords and names meet.
+KEY = 4
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -38,28 +43,64 @@ def _shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: the places and the rows of the vectors, in double precision; null vectors and those with null numbers are left out."""
+    by: dict[int, tuple[list[int], list]] = {}
+    for i, v in enumerate(column.to_pylist()):
+        if v is not None and None not in v:
+            places, rows = by.setdefault(len(v), ([], []))
+            places.append(i)
+            rows.append(v)
+    return {n: (np.array(places), np.array(rows, np.float64).reshape(len(rows), n)) for n, (places, rows) in by.items()}
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine for each query.
+    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine for each query; 0 for vectors of length zero and for null or different lengths.
 
-    Blocks of queries, by a hash of the id, are broadcast and written one at a time; the window keeps only k rows per query and task before it shuffles.
-    All rows of a query id fall into one block, so a block holds more where an id repeats.
+    Queries are dealt into blocks by a hash of the id, so many that a block's vectors stay within a bound. A block travels to all tasks as one matrix; a task multiplies it with
+    its chunks some thousand at a time and passes on what may be among the k best, ties included. All rows of a query id fall into one block.
     """
-    q = with_norm(queries.select(Q, "embedding")).select(Q, F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    c = with_norm(chunks.select(C, "embedding"))
-    dot = F.aggregate(F.zip_with("embedding", "qe", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    score = F.coalesce(F.try_divide(dot, F.col("norm") * F.col("qn")), F.lit(0.0))
+    spark = queries.sparkSession
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, Q), (chunks, C))]
+    count, longest = queries.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
+    n = max(1, -(-count * max(1, longest) // MAX_NUMBERS))
+    n = 2 * n if n > 1 else 1  # half full on the average, so that hardly a block exceeds the bound
 
     def block(part: DataFrame) -> DataFrame:
-        return ranked(c.crossJoin(F.broadcast(part)).select(Q, C, F.round(score, 9).alias("score")), k)
-
-    if queries.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
-        return block(q)
-    # Half full on the average, so that hardly a block exceeds the bound.
-    n = -(-2 * queries.count() // MAX_QUERIES)
-    spark = queries.sparkSession
+        asked = part.select(Q, "embedding").toArrow().combine_chunks()
+        ids = asked.column(0).combine_chunks() if asked.num_rows else pa.array([], pa.int64())
+        shared = spark.sparkContext.broadcast((ids, _matrix(asked.column(1))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, wanted = shared.value
+            step = max(64, 4_000_000 // max(1, len(names)))
+            for whole in batches:
+                for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                    if not len(names):
+                        continue
+                    score = np.zeros((len(names), b.num_rows))
+                    here = _matrix(b.column(1))
+                    for size, (at, q) in wanted.items():
+                        if size in here:
+                            to, x = here[size]
+                            norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None]
+                            dots = q @ x.T
+                            score[np.ix_(at, to)] = np.divide(dots, norms, out=np.zeros_like(dots), where=norms != 0)
+                    if b.num_rows > k:  # scores are rounded later on, so near ties stay
+                        least = np.partition(score, b.num_rows - k, axis=1)[:, b.num_rows - k]
+                        i, j = np.nonzero(score >= least[:, None] - 2e-9)
+                    else:
+                        i, j = np.divmod(np.arange(score.size), b.num_rows)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(score[i, j])], [Q, C, "score"])
+
+        near = chunks.select(C, "embedding").mapInArrow(run, f"{Q} {kinds[0]}, {C} {kinds[1]}, score double")
+        return ranked(near.withColumn("score", F.round("score", 9)), k)
+
+    if n == 1:
+        return block(queries)
     path = f"{_shared_dir(spark)}/lakeloom/dense-{uuid.uuid4().hex}"
     for i in range(n):
-        found = block(q.where(F.pmod(F.xxhash64(Q), F.lit(n)) == i))
+        found = block(queries.where(F.pmod(F.xxhash64(Q), F.lit(n)) == i))
         found.write.mode("append").parquet(path)
     return spark.read.schema(found.schema).parquet(path)
 
@@ -78,19 +119,21 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25 over the distinct terms of each query.
 
-    Corpus statistics come from all chunks; only the postings of query terms are scored.
+    Corpus statistics come from all chunks. Texts are read and split once: the postings of query terms are written, and what passes by is counted on the way.
     """
-    # The terms come before the explode, so they aren't taken anew for each of them.
-    split = chunks.select(C, terms(F.col("content")).alias("t"))
-    stats = split.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    spark, passing = queries.sparkSession, Observation()
+    split = chunks.select(C, terms(F.col("content")).alias("t")).select(C, "t", F.size("t").alias("size"))
+    split = split.observe(passing, F.count("*").alias("n"), F.sum("size").alias("words"))
     wanted = queries.select(Q, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    vocabulary = wanted.select("term").distinct()
-    rows = split.select(C, F.size("t").alias("size"), F.explode("t").alias("term"))
-    own = rows.join(vocabulary, "term", "left_semi").groupBy(C, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    rows = split.select(C, "size", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    path = f"{_shared_dir(spark)}/lakeloom/postings-{uuid.uuid4().hex}"
+    rows.groupBy(C, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size")).write.parquet(path)
+    own = spark.read.parquet(path)
+    n, mean = passing.get["n"], (passing.get["words"] or 0) / max(1, passing.get["n"])
     df = own.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    scored = own.join(df, "term").crossJoin(F.broadcast(stats)).select(C, "term", (idf * gain).alias("part"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(mean or 1.0)))
+    scored = own.join(df, "term").select(C, "term", (idf * gain).alias("part"))
     return ranked(wanted.join(scored, "term").groupBy(Q, C).agg(F.round(F.sum("part"), 6).alias("score")), k)
 
 
@@ -163,9 +206,19 @@ def graph_hops(edges: DataFrame, seeds: DataFrame, hops: int, per_hop: int = 50)
 
 
 def mention_seeds(queries: DataFrame, edges: DataFrame) -> DataFrame:
-    """(query_id, node): nodes of edges whose name holds a keyword of the query; queries(query_id, keyword) are broadcast, so they must be few."""
+    """(query_id, node): nodes of edges whose name holds a keyword of the query, by queries(query_id, keyword).
+
+    Names and keywords meet where they share their first KEY letters: the name at any place, so a name is sent once for each of its places and no pair is made that does not agree so
+    far. Shorter keywords meet by their own length.
+    """
     nodes = edges.select(F.col("subject").alias("node")).union(edges.select("object")).distinct()
-    return nodes.join(F.broadcast(queries), F.contains(F.lower("node"), F.lower("keyword"))).select(Q, "node").distinct()
+    low = F.lower("node")
+    asked = queries.select(Q, F.lower("keyword").alias("word")).where("word IS NOT NULL")
+    asked = asked.withColumn("size", F.least(F.length("word"), F.lit(KEY))).withColumn("part", F.expr("substring(word, 1, size)"))
+    places = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+    cut = F.flatten(F.transform(places, lambda i: F.transform(F.array(*[F.lit(x) for x in range(KEY + 1)]), lambda z: F.substring(low, i, z))))
+    parts = nodes.select("node", F.explode(F.array_distinct(cut)).alias("part"))
+    return parts.join(asked, "part").where(F.contains(F.lower("node"), F.col("word"))).select(Q, "node").distinct()
 
 
 def coherence(vectors: DataFrame, key: str) -> DataFrame:

@@ -16,6 +16,6 @@ def test_blocks_answer_every_query(spark, monkeypatch):
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     want, lookup = rows(retrieval.dense_topk(q, v, 3)), rows(catalog.QUERIES["semantic_cache_lookup"](spark, SF))
     assert len(want) == 51 * 3
-    monkeypatch.setattr(retrieval, "MAX_QUERIES", 14)
+    monkeypatch.setattr(retrieval, "MAX_NUMBERS", 14 * 64)
     assert rows(retrieval.dense_topk(q, v, 3)) == want
     assert rows(catalog.QUERIES["semantic_cache_lookup"](spark, SF)) == lookup
