@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,3 +255,129 @@ def coverage(spans: DataFrame, lengths: DataFrame) -> DataFrame:
     out = lengths.join(by, DOC, "left")
     gaps = F.coalesce("inner_gaps", F.lit(0)) + F.when(F.coalesce("last", F.lit(0)) < F.col("length"), 1).otherwise(0)
     return out.select(DOC, F.coalesce("covered", F.lit(0)).alias("covered"), F.round(F.coalesce(F.try_divide(F.coalesce("covered", F.lit(0)).cast("double"), "length"), F.lit(1.0)), 6).alias("ratio"), gaps.alias("gaps"))
+
+
+#: Weights of letters in order and of shared words in a likeness of sentences, the likeness below which a topic ends, words that join clauses, and the letters of a clause that stands alone.
+IN_ORDER, SHARED, TOPIC, CLAUSE_LENGTH = 0.6, 0.4, 0.3, 20
+JOINTS = r"(?:;\s*|\s*—\s*|,\s*(?:và|hoặc|nhưng|tuy nhiên|ngoài ra|đồng thời|bên cạnh đó)|,\s*(?:and|or|but|however|moreover|additionally))"
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """How alike two sentences are: letters in order and shared words, blended; 0 where one is empty or null."""
+
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    low_a, low_b = F.lower(a), F.lower(b)
+    words = lambda x: F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    common = F.size(F.array_intersect(words(low_a), words(low_b)))
+    shared = common / F.greatest(F.size(F.array_union(words(low_a), words(low_b))), F.lit(1))
+    blend = IN_ORDER * F.pandas_udf(run, "double")(low_a, low_b) + SHARED * shared
+    return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(F.least(blend, F.lit(1.0)))
+
+
+def packed(parts: Column, joint: str, size: int, carry: bool = False) -> Column:
+    """The parts of an array joined to texts: a new one begins where a part would lead beyond size; with carry it begins with the last part of the one before.
+
+    A part longer than size stands alone. A fold over the parts.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), none.alias("own"), F.lit(0).alias("n"))
+
+    def add(acc: Column, x: Column) -> Column:
+        full = (acc["n"] + F.length(x) > size) & (F.size(acc["own"]) > 0)
+        last = F.slice(acc["own"], -1, 1) if carry else none
+        kept = F.when(full, last).otherwise(acc["own"])
+        n = F.when(full, F.length(F.element_at(acc["own"], -1)) if carry else F.lit(0)).otherwise(acc["n"])
+        out = F.when(full, F.array_append(acc["out"], F.array_join(acc["own"], joint))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.array_append(kept, x).alias("own"), (n + F.length(x) + len(joint)).alias("n"))
+
+    done = lambda acc: F.when(F.size(acc["own"]) > 0, F.array_append(acc["out"], F.array_join(acc["own"], joint))).otherwise(acc["out"])
+    return F.aggregate(parts, start, add, done)
+
+
+def _numbered(docs: DataFrame, chunks: Column) -> DataFrame:
+    return docs.select(DOC, F.posexplode(chunks).alias("chunk_index", "content"))
+
+
+def by_topic(docs: DataFrame, size: int = 1024, least: float = TOPIC) -> DataFrame:
+    """(doc_id, chunk_index, content): runs of sentences, ended where a sentence is less like the next than least; longer runs are cut at blanks.
+
+    Sentences are compared with the one before by a window, so a document's likenesses are taken in parallel batches. Null and blank texts give no chunk.
+    """
+    rows = docs.select(DOC, F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("n", "s")).where(F.trim("s") != "")
+    own = Window.partitionBy(DOC).orderBy("n")
+    rows = rows.withColumn("before", F.lag("s").over(own))
+    rows = rows.withColumn("ends", (F.col("before").isNotNull() & (likeness(F.col("before"), F.col("s")) < least)).cast("int"))
+    rows = rows.withColumn("topic", F.sum("ends").over(own))
+    runs = rows.groupBy(DOC, "topic").agg(_ordered("n", "s", " ").alias("run"))
+    parts = F.when(F.length("run") <= size, F.array("run")).otherwise(packed(F.split("run", " "), " ", size))
+    flat = runs.select(DOC, "topic", F.posexplode(parts).alias("part", "content"))
+    return flat.withColumn("chunk_index", F.row_number().over(Window.partitionBy(DOC).orderBy("topic", "part")) - 1).select(DOC, "chunk_index", "content")
+
+
+def statements(text: Column) -> Column:
+    """The statements of a text: sentences cut where clauses are joined side by side; a short clause stays with the one before, or the next where it is the first."""
+    clauses = F.filter(F.flatten(F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.array_append(F.transform(F.split(s, JOINTS, -1), lambda c: F.trim(c)), F.lit("\u0001")))), lambda c: c != "")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("wait"))
+
+    def add(acc: Column, c: Column) -> Column:
+        end, some = c == "\u0001", F.size(acc["out"]) > 0
+        last = F.element_at(acc["out"], -1)
+        onto = F.array_append(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.concat(last, F.lit("; "), F.when(end, acc["wait"]).otherwise(c)))
+        whole = F.array_append(acc["out"], F.when(acc["wait"] != "", F.concat(acc["wait"], F.lit("; "), c)).otherwise(c))
+        # What waits at a sentence's end joins the statement before, or is one itself.
+        out = F.when(end, F.when(acc["wait"] == "", acc["out"]).otherwise(F.when(some, onto).otherwise(F.array_append(acc["out"], acc["wait"])))).when(F.length(c) > CLAUSE_LENGTH, whole).when(some, onto).otherwise(acc["out"])
+        wait = F.when(end | (F.length(c) > CLAUSE_LENGTH) | some, "").when(acc["wait"] != "", F.concat(acc["wait"], F.lit("; "), c)).otherwise(c)
+        return F.struct(out.alias("out"), wait.alias("wait"))
+
+    return F.aggregate(clauses, start, add, lambda acc: acc["out"])
+
+
+def by_statement(docs: DataFrame, size: int = 1024, overlap: int = 128) -> DataFrame:
+    """(doc_id, chunk_index, content): statements put together up to size; with an overlap a chunk begins with the last statement of the one before."""
+    return _numbered(docs, packed(statements(F.col("text")), ". ", size, overlap > 0))
+
+
+def by_lines(docs: DataFrame, size: int = 1024) -> DataFrame:
+    """(doc_id, chunk_index, content): a document's parts between first-level headings, each cut into tables, kept whole, and other lines packed up to size.
+
+    A table three times as long as size is cut by rows under its header. Lines longer than size are cut at blanks.
+    """
+    rows = lines(docs).withColumn("bare", F.regexp_replace("line", r"^\s+|\s+$", "")).where("bare <> ''")
+    own = Window.partitionBy(DOC).orderBy("line_no")
+    rows = rows.withColumn("table", table_line(F.col("bare")) & ~F.startswith(F.col("bare"), F.lit("#")))
+    new = F.startswith(F.col("bare"), F.lit("# ")) | (F.col("table") != F.coalesce(F.lag("table").over(own), ~F.col("table")))
+    rows = rows.withColumn("block", F.sum(new.cast("int")).over(own))
+    blocks = rows.groupBy(DOC, "block").agg(F.first("table").alias("table"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("ls"))
+    head = F.filter("ls", lambda x, i: (i < 2) | F.rlike(x, F.lit(r"^\s*[|][\s\-:]+[|]")))
+    data = F.filter("ls", lambda x, i: (i >= 2) & ~F.rlike(x, F.lit(r"^\s*[|][\s\-:]+[|]")))
+    whole, top = F.array_join("ls", "\n"), F.array_join(head, "\n")
+    groups = F.transform(packed(data, "\n", size), lambda g: F.concat(top, F.lit("\n"), g))
+    cut = F.flatten(F.transform("ls", lambda x: F.when(F.length(x) <= size, F.array(x)).otherwise(packed(F.split(x, " "), " ", size))))
+    parts = F.when(F.col("table"), F.when(F.length(whole) > 3 * size, groups).otherwise(F.array(whole))).otherwise(packed(cut, "\n", size))
+    flat = blocks.select(DOC, "block", F.posexplode(parts).alias("part", "content"))
+    return flat.withColumn("chunk_index", F.row_number().over(Window.partitionBy(DOC).orderBy("block", "part")) - 1).select(DOC, "chunk_index", "content")
+
+
+def by_sections(docs: DataFrame, size: int = 1024, words: int = 300) -> DataFrame:
+    """(doc_id, chunk_index, content): a chunk per heading's section under its headings in brackets; sections of more words are cut into statements."""
+    parts = by_headings(docs)
+    many = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != "")) > words
+    cut = F.when(many, packed(statements(F.col("content")), ". ", size, True)).otherwise(F.array("content"))
+    lead = F.when(F.col("breadcrumb") != "", F.concat(F.lit("["), "breadcrumb", F.lit("]\n"))).otherwise("")
+    flat = parts.select(DOC, F.col("chunk_index").alias("section"), lead.alias("lead"), F.posexplode(cut).alias("part", "text"))
+    flat = flat.withColumn("chunk_index", F.row_number().over(Window.partitionBy(DOC).orderBy("section", "part")) - 1)
+    return flat.select(DOC, "chunk_index", F.concat("lead", "text").alias("content"))
+
+
+def by_strategy(docs: DataFrame, size: int = 1024) -> DataFrame:
+    """(doc_id, strategy, chunk_index, content): each document cut by the strategy that its profile asks for."""
+    chosen = docs.select(DOC, "text").join(select_strategy(profile(docs)).select(DOC, "strategy"), DOC)
+    cutters = {"table_csv": csv_rows, "hdt": by_sections, "semantic": by_topic, "proposition": by_statement, "hybrid": by_sections, "recursive": by_lines}
+    parts = []
+    for name, cut in cutters.items():
+        own = chosen.where(F.col("strategy") == name).select(DOC, "text")
+        made = cut(own) if name == "table_csv" else cut(own, size)
+        parts.append(made.select(DOC, F.lit(name).alias("strategy"), F.col("chunk_index").cast("int").alias("chunk_index"), "content"))
+    return reduce(DataFrame.unionByName, parts)

@@ -259,3 +259,18 @@ def pii_redact(spark, sf):
 @query("SELECT doc_id, nfc_normalize(text) AS plain FROM documents")
 def nfc_normalise(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.nfc(F.col("text")).alias("plain"))
+
+
+@query()
+def topic_chunks(spark, sf):
+    return chunking.by_topic(table(spark, sf, "documents"))
+
+
+@query()
+def statement_chunks(spark, sf):
+    return chunking.by_statement(table(spark, sf, "documents"))
+
+
+@query()
+def strategy_chunks(spark, sf):
+    return chunking.by_strategy(shaped(spark, sf))
