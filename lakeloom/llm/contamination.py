@@ -118,7 +118,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     hits = places.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("spans"))
     n = F.size(words(F.col("d.text")))
     d = docs.alias("d")
-    h = hits.select(F.col("doc_id").alias("hit_id"), "text_key", covered(F.col("spans")).alias("n_hit")).alias("h")
+    # Written first, so its size is known before the join is planned: texts aren't shuffled for a handful of hits.
+    h = materialize(hits.select(F.col("doc_id").alias("hit_id"), "text_key", covered(F.col("spans")).alias("n_hit")), "hits").alias("h")
     on = (F.xxhash64("d.text") == F.col("h.text_key")) & F.col("d.doc_id").eqNullSafe(F.col("h.hit_id")) & (20 * F.col("h.n_hit") >= n)
     return d.join(h, on, "left_anti").select("d.*")
 
