@@ -9,6 +9,7 @@ transition table.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -25,8 +26,8 @@ from lakeloom.llm.common import pieces
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: A blank next to white space, or at an end: only then can a word reach over the blank before a chunk.
 TANGLED = re.compile(r"^ | $| \s|\s ")
-#: Entries of each cache in a task.
-CACHE = 250_000
+#: Entries of each half of a cache in a Python worker.
+CACHE = 350_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -45,12 +46,30 @@ def load(path: str) -> dict:
     spell = {t: bytes(letters[c] for c in t) for t in model["vocab"] if t not in special}
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     return {
+        "name": hashlib.sha256(repr(data).encode()).hexdigest(),
         "labels": {i: spell[t] for t, i in model["vocab"].items() if t in spell} | {i: s.encode() for s, i in special.items()},
         "merges": [(model["vocab"][a], model["vocab"][b], model["vocab"][a + b]) for a, b in merges],
         "special": special,
     }
 
 
+class Kept:
+    """What was encoded lately: when the new half is full it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self):
+        self.new: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
+
+    def __getitem__(self, key: str) -> tuple[str, bytes] | None:
+        return self.new.get(key) or self.old.get(key)
+
+    def put(self, key: str, found: tuple[str, bytes]) -> tuple[str, bytes]:
+        if len(self.new) >= CACHE:
+            self.new, self.old = {}, self.new
+        self.new[key] = found
+        return found
+
+
 class Automaton:
     """Compiled merges. encode(text) gives ids; label(ids) gives the bytes they spell."""
 
@@ -66,19 +85,17 @@ class Automaton:
         specials = set(self.special.values())
         self.arc_of = {s: i for i, s in self.labels.items() if i not in specials and (len(s) == 1 or self.born[i] >= 0)}
         self.longest = max(map(len, self.arc_of))
-        self.go: dict[int, int] = {}  # (node, byte) -> node, along the spelling of the arcs
-        self.arc_at = [-1]
-        for s, i in self.arc_of.items():
-            node = 0
-            for byte in s:
-                node = self.go.setdefault(node << 8 | byte, len(self.arc_at))
-                if node == len(self.arc_at):
-                    self.arc_at.append(-1)
-            self.arc_at[node] = i
+        # (arc or -1, {byte: node}) along the spelling of the arcs
+        self.start: dict[int, tuple] = {}
+        for s, i in sorted(self.arc_of.items(), key=lambda x: -len(x[0])):  # longer ones first, so a node's branches are there when it gets its arc
+            branch = self.start
+            for byte in s[:-1]:
+                branch = branch.setdefault(byte, (-1, {}))[1]
+            branch[s[-1]] = (i, branch[s[-1]][1] if s[-1] in branch else {})
+        self.sizes = {i: len(s) for s, i in self.arc_of.items()}
+        self.decimal = {i: str(i) for i in self.labels}
         self.table: dict[int, bool] = {}
-        self.words: dict[str, tuple[str, bytes]] = {}
-        self.chunks: dict[str, tuple[str, bytes]] = {}
-        self.heads: dict[str, tuple[str, bytes]] = {}
+        self.words, self.chunks, self.heads = Kept(), Kept(), Kept()
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     def _gadget(self, when: int, u: int, v: int, w: int) -> None:
@@ -117,63 +134,66 @@ class Automaton:
         whole = self.arc_of.get(s)
         if whole is not None:
             return [whole]
-        size, table, n, spelt = len(s), self.table, self.n, self.spelt
+        size, known, n, sizes, start, longest = len(s), self.table.get, self.n, self.sizes, self.start, self.longest
         path: list[int] = []
-        waiting: list[list[int]] = []  # for each place on the path: the arcs not yet tried there
-        starts: list[int] = []
+        waiting: list[tuple[int, list[int]]] = []  # for each place on the path: where it is, and the arcs not yet tried there
         dead: set[tuple[int, int]] = set()
-        at, arcs, last = 0, spelt(s, 0), -1
+        at, last = 0, -1
         while True:
-            while arcs:
-                arc = arcs.pop()
-                if last >= 0:
-                    ok = table.get(last * n + arc)
-                    if not (self.step(last, arc) if ok is None else ok):
+            arcs, branch = [], start  # the arcs that spell s from here on, shortest first, by the table of byte transitions
+            for byte in s[at : at + longest]:
+                node = branch.get(byte)
+                if node is None:
+                    break
+                arc, branch = node
+                if arc >= 0:
+                    arcs.append(arc)
+            while True:
+                while arcs:
+                    arc = arcs.pop()
+                    if last >= 0:
+                        ok = known(last * n + arc)
+                        if not (self.step(last, arc) if ok is None else ok):
+                            continue
+                    if dead and (at + sizes[arc], arc) in dead:
                         continue
-                end = at + len(self.labels[arc])
-                if dead and (end, arc) in dead:
+                    break
+                else:
+                    dead.add((at, last))
+                    path.pop()
+                    at, arcs = waiting.pop()
+                    last = path[-1] if path else -1
                     continue
-                path.append(arc)
-                if end == size:
-                    return path
-                waiting.append(arcs)
-                starts.append(at)
-                at, last, arcs = end, arc, spelt(s, end)
-                break
-            else:
-                dead.add((at, path.pop()))
-                arcs, at = waiting.pop(), starts.pop()
-                last = path[-1] if path else -1
-
-    def spelt(self, s: bytes, at: int) -> list[int]:
-        """The arcs that spell s from there on, shortest first, by the table of byte transitions."""
-        go, node, found = self.go, 0, []
-        for byte in s[at : at + self.longest]:
-            node = go.get(node << 8 | byte)
-            if node is None:
                 break
-            arc = self.arc_at[node]
-            if arc >= 0:
-                found.append(arc)
-        return found
+            path.append(arc)
+            waiting.append((at, arcs))
+            at += sizes[arc]
+            last = arc
+            if at == size:
+                return path
 
     def pieces(self, text: str) -> list[tuple[str, bytes]]:
-        get = self.words.get
+        get = self.words.new.get
         return [get(w) or self._word(w) for w in WORD.findall(text)]
 
-    def _word(self, w: str) -> tuple[str, bytes]:
+    def _spelt(self, w: str) -> tuple[str, bytes]:
         ids = self.word(w.encode())
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        found = self.words[w] = ",".join(map(str, ids)), self.label(ids)
-        return found
+        return ",".join([self.decimal[i] for i in ids]), self.label(ids)
 
-    def _keep(self, cache: dict, key: str, text: str) -> tuple[str, bytes]:
-        parts = self.pieces(text)
-        if len(cache) >= CACHE:
-            cache.clear()
-        found = cache[key] = parts[0] if len(parts) == 1 else (",".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
-        return found
+    def _word(self, w: str) -> tuple[str, bytes]:
+        if w[0] == " " and w[1:].isalpha():  # the same word as a chunk by itself
+            return self.chunks.new.get(w[1:]) or self._keep(self.chunks, w[1:], w)
+        return self.words.put(w, self.words[w] or self._spelt(w))
+
+    def _keep(self, cache: Kept, key: str, text: str) -> tuple[str, bytes]:
+        found = cache[key]
+        if found is None:
+            if key.isalpha():  # letters, with a blank before them or without, are one word
+                found = self._spelt(text)
+            else:
+                parts = self.pieces(text)
+                found = parts[0] if len(parts) == 1 else (",".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
+        return cache.put(key, found)
 
     def plain(self, text: str, out: list[tuple[str, bytes]]) -> None:
         """Chunks between single blanks don't reach into each other, so each is encoded once and kept; other texts go as a whole."""
@@ -184,8 +204,8 @@ class Automaton:
             return
         head, *rest = text.split(" ")
         if head:
-            out.append(self.heads.get(head) or self._keep(self.heads, head, head))
-        get, keep, chunks = self.chunks.get, self._keep, self.chunks
+            out.append(self.heads.new.get(head) or self._keep(self.heads, head, head))
+        get, keep, chunks = self.chunks.new.get, self._keep, self.chunks
         out += [get(c) or keep(chunks, c, " " + c) for c in rest]
 
     def encode(self, text: str) -> tuple[str, bytes]:
@@ -205,6 +225,10 @@ class Automaton:
         return self.label(ids).decode("utf-8", "replace")
 
 
+#: The automaton of this Python worker.
+MACHINES: dict[str, Automaton] = {}
+
+
 def encode_documents(docs: DataFrame, data: dict, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode every whole text: id_col, n_tokens, ids_sha256, decoded_sha256, and token_ids if asked for.
 
@@ -216,7 +240,12 @@ def encode_documents(docs: DataFrame, data: dict, id_col: str = "doc_id", text_c
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton(shared.value)
+        name = shared.value["name"]
+        if name not in MACHINES:  # a worker that goes from task to task keeps it
+            MACHINES.clear()
+            MACHINES[name] = Automaton(shared.value)
+            gc.freeze()  # its tables live as long as the worker; the collector need not go through them again and again
+        machine = MACHINES[name]
         for b in pieces(batches, 1):
             sizes, a, d, all_ids = [], [], [], []
             for text in b.column(1).to_pylist():
