@@ -516,5 +516,6 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFra
     Rows that share an id are judged by their own texts.
     """
     gone = _components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    gone = materialize(gone, "gone")
-    return docs.join(gone, (docs["doc_id"] == F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_key")), "left_anti")
+    gone = materialize(gone, "gone").alias("g")
+    same = (F.col("d.doc_id") == F.col("g.gone_id")) & (F.xxhash64("d.text") == F.col("g.gone_key"))
+    return docs.alias("d").join(gone, same, "left_anti").select("d.*")
