@@ -35,13 +35,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and read it back; a table of the same name goes once its successor is written."""
+    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write df with the writer's options and read it back; a table of the same name goes once its successor is written."""
         path = f"{shared_dir(self.spark)}/lakeloom/{name}-{uuid.uuid4().hex}"
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path)
+            df.write.parquet(path, **options)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         self.drop(name)
@@ -75,6 +75,22 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = PIECE_BYT
             start = stop
 
 
+#: Fixed value: A-Z become a-z, and every ASCII byte but digits and letters becomes a blank.
+WORD_BYTES = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
+
+
+def word_runs(text: bytes | None, most: int = PIECE_BYTES) -> Iterator[list[bytes]]:
+    """The words of a text in UTF-8, as lists that follow each other; a long text is split piece by piece, so its words are never all there at once."""
+    if not text:
+        return
+    bare, at = text.translate(WORD_BYTES), 0
+    while at < len(bare):
+        end = bare.find(b" ", min(len(bare), at + most))
+        end = len(bare) if end < 0 else end
+        yield bare[at:end].split()
+        at = end
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
