@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.operators.ranking import C, Q, ranked, rrf_weighted
+from lakeloom.sources.shared import new_path, written
 
 #: Numbers of the query vectors that are sent to all tasks at once, about; more are dealt into blocks.
 MAX_NUMBERS = 4_000_000
@@ -34,15 +33,6 @@ def with_norm(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn("norm", F.sqrt(square))
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where spark.checkpoint.dir is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = tempfile.mkdtemp(prefix="lakeloom-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
 def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: the places and the rows of the vectors, in double precision; null vectors and those with null numbers are left out."""
     by: dict[int, tuple[list[int], list]] = {}
@@ -98,11 +88,11 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
     if n == 1:
         return block(queries)
-    path = f"{_shared_dir(spark)}/lakeloom/dense-{uuid.uuid4().hex}"
-    for i in range(n):
+    path = new_path(spark, "dense")
+    for i in range(n):  # each block has a folder of its own, so a block that is tried again leaves nothing behind
         found = block(queries.where(F.pmod(F.xxhash64(Q), F.lit(n)) == i))
-        found.write.mode("append").parquet(path)
-    return spark.read.schema(found.schema).parquet(path)
+        found.write.mode("overwrite").parquet(f"{path}/{i}")
+    return spark.read.schema(found.schema).parquet(*(f"{path}/{i}" for i in range(n)))
 
 
 def terms(text: Column) -> Column:
@@ -119,17 +109,17 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25 over the distinct terms of each query.
 
-    Corpus statistics come from all chunks. Texts are read and split once: the postings of query terms are written, and what passes by is counted on the way.
+    Corpus statistics come from all chunks. Texts are read and split once: the postings of query terms are written, with one row without a term for each chunk that tells its length.
     """
-    spark, passing = queries.sparkSession, Observation()
-    split = chunks.select(C, terms(F.col("content")).alias("t")).select(C, "t", F.size("t").alias("size"))
-    split = split.observe(passing, F.count("*").alias("n"), F.sum("size").alias("words"))
+    split = chunks.select(C, terms(F.col("content")).alias("t"))
     wanted = queries.select(Q, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    rows = split.select(C, "size", F.explode("t").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    path = f"{_shared_dir(spark)}/lakeloom/postings-{uuid.uuid4().hex}"
-    rows.groupBy(C, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size")).write.parquet(path)
-    own = spark.read.parquet(path)
-    n, mean = passing.get["n"], (passing.get["words"] or 0) / max(1, passing.get["n"])
+    flat = split.select(C, F.size("t").alias("size"), F.explode(F.concat("t", F.array(F.lit(None).cast("string")))).alias("term"))
+    some = wanted.select("term").union(wanted.sparkSession.createDataFrame([(None,)], "term string")).distinct().withColumnRenamed("term", "asked")
+    rows = flat.join(some, flat["term"].eqNullSafe(some["asked"]), "left_semi")
+    own = written(rows.groupBy(C, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size")), "postings")
+    n, words = own.where("term IS NULL").agg(F.sum("tf"), F.sum(F.col("tf") * F.col("size"))).first()
+    n, mean = n or 0, (words or 0) / max(1, n or 0)
+    own = own.where("term IS NOT NULL")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(mean or 1.0)))
