@@ -41,7 +41,7 @@ class Scratch:
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            df.write.parquet(path, **options)
+            df.write.options(**options).parquet(path)
         finally:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         self.drop(name)

@@ -26,15 +26,18 @@ BUCKETS = 10_000
 #: Words of a feature at most; words of a document that may be drawn at least; per cent of these that are drawn.
 LONGEST, LEAST_WORDS, PERCENT = 3, 20, 5
 SEED = "42"
+#: Bytes of text of a block of the matrix, and of a row group of its file: a reader holds a row group whole, unpacked.
+BLOCK_BYTES, ROW_GROUP = 1 << 18, 8 << 20
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Numbers below 2^32 as four planes of bytes, most of them zero, so that the file's compression shrinks them."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers below 2^32 as four planes of bytes, most of them zero, compressed, so that a block is small wherever it is held."""
+    return pa.compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
+def _numbers(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
 
 
 def features(text: bytes | None, buckets: int = BUCKETS) -> tuple[int, np.ndarray, np.ndarray]:
@@ -68,7 +71,7 @@ def blocks(rows: DataFrame, key: str, scratch: Scratch, name: str, buckets: int
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, 1):
+        for b in pieces(batches, 1, BLOCK_BYTES):
             n_words, gaps, counts, starts = [], [], [], [0]
             for text in b.column(1).cast(pa.large_binary()).to_pylist():
                 n, at, times = features(text, buckets)
@@ -78,18 +81,19 @@ def blocks(rows: DataFrame, key: str, scratch: Scratch, name: str, buckets: int
                 starts.append(starts[-1] + len(at))
             one = lambda values, t: pa.array([values], t)
             docs = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(0))
-            data = [one(_planes(np.concatenate(x)), pa.binary()) for x in ([np.array(starts)], gaps, counts)]
+            data = [one(_packed(np.concatenate(x)), pa.binary()) for x in ([np.array(starts)], gaps, counts)]
             yield pa.RecordBatch.from_arrays([docs, one(n_words, pa.list_(pa.int64())), *data], ["docs", "n_words", "starts", "gaps", "counts"])
 
     made = rows.select(key, "text").mapInArrow(run, f"docs array<{kind}>, n_words array<long>, starts binary, gaps binary, counts binary")
-    return scratch.write(made, name, compression="zstd")
+    return scratch.write(made, name, **{"parquet.block.size": str(ROW_GROUP)})
 
 
-def _block(starts: bytes, gaps: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the rows, and the column of each entry."""
-    at, gap = _numbers(starts), _numbers(gaps)
+def _block(n_docs: int, starts: bytes, gaps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the rows; the column and the count of each entry."""
+    at = _numbers(starts, n_docs + 1)
+    gap, count = (_numbers(x, int(at[-1])) for x in (gaps, counts))
     ends = np.append(0, np.cumsum(gap))
-    return at, ends[1:] - np.repeat(ends[at[:-1]], np.diff(at))
+    return at, ends[1:] - np.repeat(ends[at[:-1]], np.diff(at)), count
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -98,12 +102,13 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for b in batches:
-            for starts, gaps, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                np.add.at(total, _block(starts, gaps)[1], _numbers(counts))
+            for i in range(b.num_rows):
+                _, columns, count = _block(*(c[i].as_py() for c in b.columns))
+                total += np.bincount(columns, count, buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    sums = matrix.select("starts", "gaps", "counts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    sums = matrix.select(F.size("n_words"), "starts", "gaps", "counts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(buckets, np.int64)
     for r in sums.collect():
         out[r["bucket"]] = r["n"]
@@ -125,11 +130,9 @@ def weights(matrix: DataFrame, gain: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                starts, gaps, counts = (b.column(j)[i].as_py() for j in (2, 3, 4))
-                at, columns = _block(starts, gaps)
-                sums = np.append(0, np.cumsum(shared.value[columns] * _numbers(counts)))
-                lists = b.slice(i, 1)
-                docs, n = (pc.list_flatten(lists.column(j)) for j in (0, 1))
+                docs, n = (pc.list_flatten(b.slice(i, 1).column(j)) for j in (0, 1))
+                at, columns, count = _block(len(docs), *(b.column(j)[i].as_py() for j in (2, 3, 4)))
+                sums = np.append(0, np.cumsum(shared.value[columns] * count))
                 yield pa.RecordBatch.from_arrays([docs, n, pa.array(np.diff(sums[at]))], ["doc_id", "n_words", "weight"])
 
     return matrix.mapInArrow(run, f"doc_id {kind}, n_words long, weight long")
