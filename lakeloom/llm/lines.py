@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.llm.common import materialize
 
-MIN_SITES = 10
-#: A line of more than so many words doesn't recur by chance: it is boilerplate on this many sites already, however the documents spread over them.
-LONG_WORDS, LONG_SITES = 50, 4
+#: A line on so many sites is boilerplate, whatever its length and however the documents spread over the sites.
+MIN_SITES = 4
 #: 2^12 buckets: a standard error of about 1.6 %.
 LOG_BUCKETS = 12
 #: Estimates within this share of the threshold, six standard errors, are counted exactly.
@@ -40,30 +39,25 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return split.select("doc_id", "source", "text_key", F.posexplode("lines").alias("pos", "line"))
 
 
-def _is_long(line: Column) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1 > LONG_WORDS
-
-
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, long_sites: int = LONG_SITES) -> DataFrame:
-    """(k, k2, n_sites, first) of the lines on min_sites sites or more, long ones on long_sites; first is their least (doc_id, text_key, line number).
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
+    """(k, k2, n_sites, first) of the lines on min_sites sites or more; first is their least (doc_id, text_key, line number).
 
     n_sites is exact near the bar and the sketch's estimate beyond it.
     """
     lines = _exploded(docs.where("source IS NOT NULL"))
     lines = lines.withColumn("line", _bare(F.col("line"))).where("line <> ''")
-    bar = F.when(_is_long(F.col("line")), F.lit(min(long_sites, min_sites))).otherwise(F.lit(min_sites))
-    lines = lines.select("doc_id", "text_key", "pos", "source", *_keys(F.col("line")), bar.alias("bar"))
+    lines = lines.select("doc_id", "text_key", "pos", "source", *_keys(F.col("line")))
     about = F.hll_sketch_estimate(F.hll_sketch_agg("source", LOG_BUCKETS))
-    sketched = lines.groupBy("k", "k2").agg(about.alias("about"), F.min(F.struct("doc_id", "text_key", "pos")).alias("first"), F.min("bar").alias("bar"))
+    sketched = lines.groupBy("k", "k2").agg(about.alias("about"), F.min(F.struct("doc_id", "text_key", "pos")).alias("first"))
     # A line needs two sites or more in any case: the bulk of the lines ends here.
-    spread = materialize(sketched.where(F.col("about") >= F.col("bar") * (1 - near)), "spread")
-    close = spread.where(F.col("about") <= F.col("bar") * (1 + near)).select("k", "k2")
+    spread = materialize(sketched.where(F.col("about") >= min_sites * (1 - near)), "spread")
+    close = spread.where(F.col("about") <= min_sites * (1 + near)).select("k", "k2")
     exact = lines.join(close, ["k", "k2"]).select("k", "k2", "source").distinct().groupBy("k", "k2").agg(F.count("*").alias("exact"))
     n_sites = F.coalesce("exact", "about")
-    return spread.join(exact, ["k", "k2"], "left").where(n_sites >= F.col("bar")).select("k", "k2", n_sites.alias("n_sites"), "first")
+    return spread.join(exact, ["k", "k2"], "left").where(n_sites >= min_sites).select("k", "k2", n_sites.alias("n_sites"), "first")
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, long_sites: int = LONG_SITES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
     """docs with the text freed from boilerplate lines, and n_lines and n_removed.
 
     The first occurrence of a boilerplate line, by doc_id, then text hash and place, stays. Blank lines and lines of rows without a source are
@@ -71,7 +65,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, near: float =
     empty table; columns other than doc_id, source and text pass unread, but for n_lines and n_removed, which are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    common = materialize(boilerplate(docs.select("doc_id", "source", "text"), min_sites, near, long_sites), "boilerplate")
+    common = materialize(boilerplate(docs.select("doc_id", "source", "text"), min_sites, near), "boilerplate")
     lines = _exploded(docs.where("source IS NOT NULL"))
     lines = lines.select("doc_id", "text_key", "pos", *_keys(_bare(F.col("line"))))
     # Written first: then the join reads plain exchanges on both sides, and a line on very many rows is split.
@@ -91,7 +85,7 @@ WITH l AS (
   SELECT doc_id, source, pos, line, regexp_replace(line, '^[ \t\r]+|[ \t\r]+$', '', 'g') AS bare
   FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
 ), b AS (
-  SELECT bare, min((doc_id, pos)) AS first FROM l WHERE bare <> '' AND source IS NOT NULL GROUP BY bare HAVING count(DISTINCT source) >= CASE WHEN length(bare) - length(replace(bare, ' ', '')) + 1 > 50 THEN 4 ELSE 10 END
+  SELECT bare, min((doc_id, pos)) AS first FROM l WHERE bare <> '' AND source IS NOT NULL GROUP BY bare HAVING count(DISTINCT source) >= 4
 ), k AS (
   SELECT l.doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (b.bare IS NULL OR l.source IS NULL OR (l.doc_id, l.pos) = b.first) AS text, count(*) AS n_lines,
     count(*) FILTER (NOT (b.bare IS NULL OR l.source IS NULL OR (l.doc_id, l.pos) = b.first)) AS n_removed
