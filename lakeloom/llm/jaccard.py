@@ -33,32 +33,44 @@ OFTEN, PARTNERS = 200, 2000
 INDEX, INDEX_DELETION, LOOK, LOOK_WIDE, LOOK_DELETION = 1, 2, 4, 8, 16
 ONLY_LOOKS = 1 << 60
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-#: The base of the words' polynomials and the number of each byte, alike for A-Z and a-z.
-BASE = 0x9E3779B97F4A7C15
-LETTER = mix64(np.array([x + 32 * (65 <= x <= 90) + 1 for x in range(256)], np.uint64) * ODD[0])
+#: A word is hashed by two polynomials of its bytes, A-Z as a-z, modulo two primes below 2^31 and with a base each. (Modulo a power of two, words such as the Thue-Morse
+#: sequence and its complement would share a hash whatever the base.)
+PRIMES, BASES = (2147483647, 2147483629), (1103515245, 1664525173)
+LETTER = np.array([x + 32 * (65 <= x <= 90) + 1 for x in range(256)], np.uint64)
+#: Bytes whose terms, each below 2^40, can be summed without overflow.
+SUMMED = 1 << 22
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 class Shingler:
     """Sorted distinct shingle hashes of texts: words are lower-cased (A-Z) runs without ASCII white space.
 
-    A word's hash is a polynomial of its bytes, read off running sums over many texts at once; a shingle's is a sum of its words' hashes, each
+    A word's hash joins two polynomials of its bytes, read off running sums over many texts at once; a shingle's is a sum of its words' hashes, each
     times a factor of its place.
     """
 
     def __init__(self, k: int):
         self.k = k
         self.factors = mix64(np.arange(1, k + 1, dtype=np.uint64) * ODD[0]) | np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up = [np.ones(1, np.uint64) for _ in PRIMES]
+        self.down = [np.ones(1, np.uint64) for _ in PRIMES]
 
     def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            step = np.full(n, BASE, np.uint64)
-            step[0] = 1
-            self.up = np.multiply.accumulate(step)
-            step[1:] = pow(BASE, -1, 1 << 64)
-            self.down = np.multiply.accumulate(step)
+        for powers, sign in ((self.up, 1), (self.down, -1)):
+            for i, (p, base) in enumerate(zip(PRIMES, BASES, strict=True)):
+                while len(powers[i]) < n:
+                    powers[i] = np.append(powers[i], powers[i] * np.uint64(pow(base, sign * len(powers[i]), p)) % np.uint64(p))
+
+    def _sums(self, terms: np.ndarray, p: int) -> np.ndarray:
+        """Running sums, from 0, that leave the right remainder modulo p."""
+        out = np.zeros(len(terms) + 1, np.uint64)
+        for at in range(0, len(terms), SUMMED):
+            part = out[at + 1 : at + 1 + SUMMED]
+            np.cumsum(terms[at : at + SUMMED], out=part)
+            part += out[at]
+            if len(terms) > SUMMED:
+                part %= np.uint64(p)
+        return out
 
     def _words(self, b: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the words in bytes that start and end at the cuts; how many words start before each cut."""
@@ -71,9 +83,11 @@ class Shingler:
         inner = cuts[(cuts > 0) & (cuts < n)]
         first[inner], last[inner - 1] = word[inner], word[inner - 1]
         start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(LETTER[b] * self.up[:n], out=sums[1:])
-        h = (sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64) * ODD[1]
+        letters, both = LETTER[b], []
+        for p, up, down in zip(PRIMES, self.up, self.down, strict=True):
+            q, sums = np.uint64(p), self._sums(letters * up[:n], p)
+            both.append((sums[end] + np.where(sums[end] < sums[start], q, np.uint64(0)) - sums[start]) % q * down[start] % q)
+        h = mix64(both[0] << np.uint64(31) | both[1]) + (end - start).astype(np.uint64) * ODD[1]
         return mix64(h), np.searchsorted(start, cuts)
 
     def _long(self, b: np.ndarray) -> np.ndarray:
@@ -186,6 +200,24 @@ def _fingerprint(shingles: np.ndarray) -> int:
     return int(mix64(np.array([np.sum(mix64(shingles + ODD[1]))], np.uint64) ^ np.uint64(len(shingles))).view(np.int64)[0]) or 1
 
 
+def same_shingles(a: bytes, b: bytes, k: int) -> tuple[int, int, int]:
+    """Sizes of the sets of both texts, and shingles in common, by the words themselves: words and longer and longer runs of them get numbers without any hash."""
+    texts = [t.lower().split() for t in (a, b)]
+    number: dict[bytes, int] = {}
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t)) for t in texts]
+    if min(map(len, texts)) < k:
+        same = texts[0] == texts[1]
+        sizes = [len({tuple(t[i : i + k]) for i in range(max(1, len(t) - k + 1))}) if t else 0 for t in texts]
+        return (*sizes, int(same and bool(texts[0])))
+    runs, n = ids, len(number)
+    for i in range(1, k):
+        keys = [r[: len(r) - 1] * n + w[i:] for r, w in zip(runs, ids, strict=True)]
+        _, both = np.unique(np.concatenate(keys), return_inverse=True)
+        runs = [both[: len(keys[0])], both[len(keys[0]) :]]
+    found = [np.unique(r) for r in runs]
+    return len(found[0]), len(found[1]), len(np.intersect1d(*found, assume_unique=True))
+
+
 SKETCH = ("s0", "s1", "s2", "s3")
 #: Bits of the wide sketch at least and at most; between them, as many as there are shingles.
 NARROW, WIDEST = 256, 1 << 16
@@ -412,7 +444,7 @@ def _plausible(pairs: DataFrame, named: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, scheme: Scheme, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar, by their exact sizes and common shingles.
+    """(a, b) of the pairs whose sets are similar, by their sizes and common shingles: first by hashes, and what these find by the words themselves.
 
     The texts of all a that were paired with one b follow the text of b through a task, so that of b travels once for each PARTNERS of them.
     """
@@ -425,19 +457,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, schem
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(asks) if small else asks, "doc_id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, group, there = Shingler(k), None, None
+        shingle, group, there, text = Shingler(k), None, None, b""
         for batch in pieces(batches, 4):
             found = []
+            texts = batch.column(4).cast(pa.large_binary())
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)), shingle.batch(batch.column(4)), strict=True)
-            for b, part, role, node, s in rows:
+            for i, (b, part, role, node, s) in enumerate(rows):
                 if (b, part) != group:
                     group, there = (b, part), None
                 if _fingerprint(s) != node:  # another row under the same id
                     continue
                 if role == 0:
-                    there = s
+                    there, text = s, texts[i].as_py()
                 elif there is not None and scheme.similar(len(np.intersect1d(s, there, True)), len(s), len(there)):
-                    found.append((node, b))
+                    n, m, common = same_shingles(texts[i].as_py(), text, k)
+                    if scheme.similar(common, n, m):
+                        found.append((node, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     ordered = texts.repartition("b", "part").sortWithinPartitions("b", "part", "role").select("b", "part", "role", "node", "text")

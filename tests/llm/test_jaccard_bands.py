@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lakeloom.llm import jaccard
@@ -39,3 +40,38 @@ def test_keys_that_many_sets_share_are_dealt_out(spark, monkeypatch):
     assert rows.agg({"count": "max"}).first()[0] < 60
     got = sorted(map(tuple, jaccard.components(df, 2, 4, 5).collect()), key=repr)
     assert got == want
+
+
+def test_words_whose_polynomials_meet_modulo_two_to_the_64(spark):
+    """The Thue-Morse sequence over two letters and its complement are different words; so are texts that differ in such a word only."""
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - b for b in bits]
+    rows, n = [], 0
+    for size in (512, 1024, 2048, 4096):
+        for letters in ("ab", "ba"):
+            rows.append((n, "".join(letters[b] for b in bits[:size])))
+            rows.append((n + 100, f"one two {rows[-1][1]} three four"))
+            n += 1
+    docs = spark.createDataFrame([*rows, (300, rows[0][1])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.components(docs, 3, 9, 10).collect()}
+    assert got == {i: i for i, _ in rows} | {300: 0}
+    assert jaccard.keep_one(docs).count() == len(rows)
+
+
+def test_pairs_are_verified_on_words():
+    rng = random.Random(7)
+    shingles = lambda t, k: {tuple(t[i : i + k]) for i in range(max(1, len(t) - k + 1))} if t else set()
+    for _ in range(500):
+        a, b = ([rng.choice("abC") for _ in range(rng.randint(0, 14))] for _ in range(2))
+        k = rng.randint(1, 5)
+        x, y = (shingles([w.lower() for w in t], k) for t in (a, b))
+        assert jaccard.same_shingles(" ".join(a).encode(), "  ".join(b).encode(), k) == (len(x), len(y), len(x & y))
+
+
+def test_long_words_and_texts_hash_alike_in_pieces():
+    word = "q" * 9_000_000
+    one = jaccard.Shingler(3)
+    assert len(one(f"x {word} y z")) == 2 and not set(one(f"x {word} y z").tolist()) & set(one(f"x {word}q y z").tolist())
+    text = " ".join(f"w{i}" for i in range(400_000))
+    assert set(one(text).tolist()) == set(jaccard.Shingler(3).batch(pa.array(["x", text]))[1].tolist())
