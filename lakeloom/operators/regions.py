@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: Commas and filled cells of a table's line at least; lines of a region at least; sampled rows of a chunk with surroundings; letters of a line that
 #: make surroundings worth a chunk; letters of such a chunk and of a group of rows at most.
@@ -49,7 +50,7 @@ def row_chunks(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "region", "row", F.concat_ws("\n", "header", "line").alias("content"))
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(ArrayType(IntegerType()))
 def packed(sizes: pd.Series, header: pd.Series, most: pd.Series) -> pd.Series:
     """For each row of a table the group that it falls into, in order, under so many letters; a last row alone joins the group before."""
 
