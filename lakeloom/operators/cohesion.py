@@ -72,7 +72,7 @@ def dissimilarity(vectors: DataFrame, apart: int = APART) -> DataFrame:
         w = F.coalesce((F.col("length") * F.col(f"n{k}")).cast("double"), F.lit(0.0))
         total, weight = total + F.coalesce(cosine(F.col("embedding"), F.col(f"v{k}")), F.lit(0.0)) * w, weight + w
     sums = rows.select("doc_id", total.alias("s"), weight.alias("w")).groupBy("doc_id").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
-    return sums.select("doc_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide("s", "w"))), 9).alias("dissimilarity"))
+    return sums.select("doc_id", F.when(F.col("w") > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide("s", "w"))), 9)).alias("dissimilarity"))
 
 
 def measures(docs: DataFrame, target: int = TARGET) -> DataFrame:

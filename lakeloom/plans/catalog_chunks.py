@@ -172,7 +172,7 @@ def vector_topic_chunks(spark, sf):
 
 
 @query(rf"""WITH {SENTENCES}, pairs AS (SELECT a.doc_id, {COSINE.format(a='a.embedding', b='b.embedding')} AS c, CAST(length(a.sentence) * length(b.sentence) AS DOUBLE) AS w FROM vec a JOIN vec b ON a.doc_id = b.doc_id AND b.i - a.i BETWEEN 1 AND 3)
-  SELECT d.doc_id, round(greatest(0, least(1, 1 - s / nullif(w, 0))), 9) AS dissimilarity FROM (SELECT DISTINCT doc_id FROM sen) d LEFT JOIN (SELECT doc_id, sum(c * w) AS s, sum(w) AS w FROM pairs GROUP BY doc_id) USING (doc_id)""")
+  SELECT d.doc_id, CASE WHEN w > 0 THEN round(greatest(0, least(1, 1 - s / w)), 9) END AS dissimilarity FROM (SELECT DISTINCT doc_id FROM sen) d LEFT JOIN (SELECT doc_id, sum(c * w) AS s, sum(w) AS w FROM pairs GROUP BY doc_id) USING (doc_id)""")
 def windowed_dissimilarity(spark, sf):
     v, n = _sentence_vectors(spark, sf)
     flat = table(spark, sf, "documents").select("doc_id", F.posexplode(cohesion.sentences(F.coalesce("text", F.lit("")))).alias("i", "sentence"))

@@ -33,7 +33,7 @@ class _Steps(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("step", "step string, at long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         step, at = self.state.get() if self.state.exists() else ("", 0)
         out = []
         for b in rows:
@@ -50,10 +50,10 @@ class _Steps(StatefulProcessor):
             self.handle.registerTimer(at + self.forget)
         yield pd.DataFrame(out, columns=["key", "at_ms", "before", "step", "accepted"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         step, _ = self.state.get()
         self.state.clear()
-        yield pd.DataFrame([(key[0], expired.getExpiryTimeInMs(), step, "", True)], columns=["key", "at_ms", "before", "step", "accepted"])
+        yield pd.DataFrame([(key[0], expiredTimerInfo.getExpiryTimeInMs(), step, "", True)], columns=["key", "at_ms", "before", "step", "accepted"])
 
     def close(self) -> None:
         pass
@@ -82,7 +82,7 @@ class _Pending(StatefulProcessor):
         if until is not None:
             self.handle.registerTimer(until)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out, until = [], None
         pending = self.state.get() if self.state.exists() else None
         for b in rows:
@@ -102,8 +102,8 @@ class _Pending(StatefulProcessor):
                 self._wait(until)
         yield pd.DataFrame(out, columns=["key", "at_ms", "payload", "deliveries", "what"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        (payload, n), at = self.state.get(), expired.getExpiryTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (payload, n), at = self.state.get(), expiredTimerInfo.getExpiryTimeInMs()
         if n >= self.most:
             self.state.clear()
             what = "dead"
@@ -148,7 +148,7 @@ class _Settled(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("settled", "name string, price double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         name, price = self.state.get() if self.state.exists() else (None, None)
         out, last = [], 0
         for b in rows:
@@ -164,7 +164,7 @@ class _Settled(StatefulProcessor):
         self.handle.registerTimer(last + self.forget)
         yield pd.DataFrame(out, columns=["key", "at_ms", "locked_name", "locked_price", "answer"])
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
         yield pd.DataFrame({c: [] for c in ("key", "at_ms", "locked_name", "locked_price", "answer")})
 
