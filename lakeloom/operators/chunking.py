@@ -8,8 +8,10 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
 from lakeloom.functions.text import sentences
+from lakeloom.sources.shared import written
 
 DOC = "doc_id"
 
@@ -262,6 +264,11 @@ IN_ORDER, SHARED, TOPIC, CLAUSE_LENGTH = 0.6, 0.4, 0.3, 20
 JOINTS = r"(?:;\s*|\s*—\s*|,\s*(?:và|hoặc|nhưng|tuy nhiên|ngoài ra|đồng thời|bên cạnh đó)|,\s*(?:and|or|but|however|moreover|additionally))"
 
 
+def _shared(a: Column, b: Column) -> Column:
+    words = lambda x: F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    return F.size(F.array_intersect(words(a), words(b))) / F.greatest(F.size(F.array_union(words(a), words(b))), F.lit(1))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """How alike two sentences are: letters in order and shared words, blended; 0 where one is empty or null."""
 
@@ -269,31 +276,60 @@ def likeness(a: Column, b: Column) -> Column:
         return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(left, right, strict=True)], dtype="float64")
 
     low_a, low_b = F.lower(a), F.lower(b)
-    words = lambda x: F.array_distinct(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
-    common = F.size(F.array_intersect(words(low_a), words(low_b)))
-    shared = common / F.greatest(F.size(F.array_union(words(low_a), words(low_b))), F.lit(1))
-    blend = IN_ORDER * F.pandas_udf(run, "double")(low_a, low_b) + SHARED * shared
+    blend = IN_ORDER * F.pandas_udf(run, DoubleType())(low_a, low_b) + SHARED * _shared(low_a, low_b)
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(F.least(blend, F.lit(1.0)))
 
 
+def unlike(a: Column, b: Column, least: float) -> Column:
+    """Whether the likeness of two sentences is below least. Letters are put in order only where shared words, lengths and counts of letters leave it open."""
+
+    def run(left: pd.Series, right: pd.Series, shared: pd.Series) -> pd.Series:
+        out = []
+        for x, y, s in zip(left, right, shared, strict=True):
+            if not x or not y:
+                out.append(least > 0)
+                continue
+            below = lambda ratio: min(IN_ORDER * ratio + SHARED * s, 1.0) < least  # noqa: B023, E731
+            match = SequenceMatcher(None, x, y)
+            # Each bound is cheaper than the next; the ratio itself lies between nothing and all of them.
+            out.append(below(0.0) and (below(match.real_quick_ratio()) or below(match.quick_ratio()) or below(match.ratio())))
+        return pd.Series(out, dtype="bool")
+
+    low_a, low_b = F.lower(a), F.lower(b)
+    return F.pandas_udf(run, BooleanType())(low_a, low_b, _shared(low_a, low_b))
+
+
+def _pack(parts: list[str], joint: str, size: int, carry: bool) -> list[str]:
+    out, own, n = [], [], 0
+    for x in parts:
+        if own and n + len(x) > size:
+            out.append(joint.join(own))
+            own = own[-1:] if carry else []
+            n = len(own[0]) if own else 0
+        own.append(x)
+        n += len(x) + len(joint)
+    return [*out, joint.join(own)] if own else out
+
+
 def packed(parts: Column, joint: str, size: int, carry: bool = False) -> Column:
     """The parts of an array joined to texts: a new one begins where a part would lead beyond size; with carry it begins with the last part of the one before.
 
-    A part longer than size stands alone. A fold over the parts.
+    A part longer than size stands alone. One pass over the parts of a row.
     """
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("out"), none.alias("own"), F.lit(0).alias("n"))
 
-    def add(acc: Column, x: Column) -> Column:
-        full = (acc["n"] + F.length(x) > size) & (F.size(acc["own"]) > 0)
-        last = F.slice(acc["own"], -1, 1) if carry else none
-        kept = F.when(full, last).otherwise(acc["own"])
-        n = F.when(full, F.length(F.element_at(acc["own"], -1)) if carry else F.lit(0)).otherwise(acc["n"])
-        out = F.when(full, F.array_append(acc["out"], F.array_join(acc["own"], joint))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.array_append(kept, x).alias("own"), (n + F.length(x) + len(joint)).alias("n"))
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else _pack(list(r), joint, size, carry) for r in rows], dtype="object")
+
+    return F.pandas_udf(run, ArrayType(StringType()))(parts)
+
 
-    done = lambda acc: F.when(F.size(acc["own"]) > 0, F.array_append(acc["out"], F.array_join(acc["own"], joint))).otherwise(acc["out"])
-    return F.aggregate(parts, start, add, done)
+def lines_cut(ls: Column, size: int) -> Column:
+    """Lines, those longer than size cut at blanks."""
+
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([[p for x in r for p in ([x] if len(x) <= size else _pack(x.split(" "), " ", size, False))] for r in rows], dtype="object")
+
+    return F.pandas_udf(run, ArrayType(StringType()))(ls)
 
 
 def _numbered(docs: DataFrame, chunks: Column) -> DataFrame:
@@ -308,7 +344,7 @@ def by_topic(docs: DataFrame, size: int = 1024, least: float = TOPIC) -> DataFra
     rows = docs.select(DOC, F.posexplode(sentences(F.coalesce("text", F.lit("")))).alias("n", "s")).where(F.trim("s") != "")
     own = Window.partitionBy(DOC).orderBy("n")
     rows = rows.withColumn("before", F.lag("s").over(own))
-    rows = rows.withColumn("ends", (F.col("before").isNotNull() & (likeness(F.col("before"), F.col("s")) < least)).cast("int"))
+    rows = rows.withColumn("ends", (F.col("before").isNotNull() & unlike(F.col("before"), F.col("s"), least)).cast("int"))
     rows = rows.withColumn("topic", F.sum("ends").over(own))
     runs = rows.groupBy(DOC, "topic").agg(_ordered("n", "s", " ").alias("run"))
     parts = F.when(F.length("run") <= size, F.array("run")).otherwise(packed(F.split("run", " "), " ", size))
@@ -318,20 +354,26 @@ def by_topic(docs: DataFrame, size: int = 1024, least: float = TOPIC) -> DataFra
 
 def statements(text: Column) -> Column:
     """The statements of a text: sentences cut where clauses are joined side by side; a short clause stays with the one before, or the next where it is the first."""
-    clauses = F.filter(F.flatten(F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.array_append(F.transform(F.split(s, JOINTS, -1), lambda c: F.trim(c)), F.lit("\u0001")))), lambda c: c != "")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("wait"))
 
-    def add(acc: Column, c: Column) -> Column:
-        end, some = c == "\u0001", F.size(acc["out"]) > 0
-        last = F.element_at(acc["out"], -1)
-        onto = F.array_append(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.concat(last, F.lit("; "), F.when(end, acc["wait"]).otherwise(c)))
-        whole = F.array_append(acc["out"], F.when(acc["wait"] != "", F.concat(acc["wait"], F.lit("; "), c)).otherwise(c))
-        # What waits at a sentence's end joins the statement before, or is one itself.
-        out = F.when(end, F.when(acc["wait"] == "", acc["out"]).otherwise(F.when(some, onto).otherwise(F.array_append(acc["out"], acc["wait"])))).when(F.length(c) > CLAUSE_LENGTH, whole).when(some, onto).otherwise(acc["out"])
-        wait = F.when(end | (F.length(c) > CLAUSE_LENGTH) | some, "").when(acc["wait"] != "", F.concat(acc["wait"], F.lit("; "), c)).otherwise(c)
-        return F.struct(out.alias("out"), wait.alias("wait"))
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([_statements(r) for r in rows], dtype="object")
+
+    clauses = F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.filter(F.transform(F.split(s, JOINTS, -1), lambda c: F.trim(c)), lambda c: c != ""))
+    return F.pandas_udf(run, ArrayType(StringType()))(clauses)
+
 
-    return F.aggregate(clauses, start, add, lambda acc: acc["out"])
+def _statements(sentences_: list[list[str]]) -> list[str]:
+    """A statement begins with each long clause, and with the first clause, to which the first long one of its own sentence still belongs if it is short."""
+    out: list[list[str]] = []
+    for clauses in sentences_:
+        leading = not out
+        for c in clauses:
+            long = len(c) > CLAUSE_LENGTH
+            if not out or (long and not leading):
+                out.append([])
+            leading = leading and not long
+            out[-1].append(c)
+    return ["; ".join(x) for x in out]
 
 
 def by_statement(docs: DataFrame, size: int = 1024, overlap: int = 128) -> DataFrame:
@@ -354,8 +396,7 @@ def by_lines(docs: DataFrame, size: int = 1024) -> DataFrame:
     data = F.filter("ls", lambda x, i: (i >= 2) & ~F.rlike(x, F.lit(r"^\s*[|][\s\-:]+[|]")))
     whole, top = F.array_join("ls", "\n"), F.array_join(head, "\n")
     groups = F.transform(packed(data, "\n", size), lambda g: F.concat(top, F.lit("\n"), g))
-    cut = F.flatten(F.transform("ls", lambda x: F.when(F.length(x) <= size, F.array(x)).otherwise(packed(F.split(x, " "), " ", size))))
-    parts = F.when(F.col("table"), F.when(F.length(whole) > 3 * size, groups).otherwise(F.array(whole))).otherwise(packed(cut, "\n", size))
+    parts = F.when(F.col("table"), F.when(F.length(whole) > 3 * size, groups).otherwise(F.array(whole))).otherwise(packed(lines_cut(F.col("ls"), size), "\n", size))
     flat = blocks.select(DOC, "block", F.posexplode(parts).alias("part", "content"))
     return flat.withColumn("chunk_index", F.row_number().over(Window.partitionBy(DOC).orderBy("block", "part")) - 1).select(DOC, "chunk_index", "content")
 
@@ -373,7 +414,8 @@ def by_sections(docs: DataFrame, size: int = 1024, words: int = 300) -> DataFram
 
 def by_strategy(docs: DataFrame, size: int = 1024) -> DataFrame:
     """(doc_id, strategy, chunk_index, content): each document cut by the strategy that its profile asks for."""
-    chosen = docs.select(DOC, "text").join(select_strategy(profile(docs)).select(DOC, "strategy"), DOC)
+    # Written once: each way of cutting reads its own documents and not the profiles of all.
+    chosen = written(docs.select(DOC, "text").join(select_strategy(profile(docs)).select(DOC, "strategy"), DOC), "strategies")
     cutters = {"table_csv": csv_rows, "hdt": by_sections, "semantic": by_topic, "proposition": by_statement, "hybrid": by_sections, "recursive": by_lines}
     parts = []
     for name, cut in cutters.items():
