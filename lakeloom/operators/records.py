@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,19 +118,25 @@ def unique_match(wanted: DataFrame, rows: DataFrame, *keys: str, key: str) -> Da
 def chained(rows: DataFrame, tenant: str, order: str, content: str) -> DataFrame:
     """Each tenant's rows in order with hash and prev_hash: a row's hash is over the previous hash and its content, so no row can change unseen.
 
-    One hash needs the one before, so a tenant's rows are folded in order; only their contents' hashes are gathered, 64 letters a row.
+    One hash needs the one before, so a tenant's rows pass through one task, sorted, with the last hash as all that is kept of them.
     """
-    short = rows.select(tenant, F.struct(F.col(order).alias("at"), F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256).alias("body")).alias("x"))
-    folded = short.groupBy(tenant).agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    start = F.array(F.struct(F.lit(None).cast(rows.schema[order].dataType).alias("at"), F.lit("").alias("hash"), F.lit("").alias("prev_hash")))
-
-    def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)["hash"]
-        return F.array_append(acc, F.struct(x["at"].alias("at"), F.sha2(F.concat(last, x["body"]).cast("binary"), 256).alias("hash"), last.alias("prev_hash")))
-
-    chain = F.aggregate("xs", start, add)
-    links = folded.select(tenant, F.explode(F.slice(chain, 2, F.greatest(F.size(chain) - 1, F.lit(1)))).alias("c"))
-    return links.select(tenant, F.col("c.at").alias(order), "c.hash", "c.prev_hash")
+    kinds = [rows.schema[c].dataType.simpleString() for c in (tenant, order)]
+    body = F.sha2(F.coalesce(F.col(content), F.lit("")).cast("binary"), 256).alias("body")
+    ordered = rows.select(tenant, order, body).repartition(F.col(tenant)).sortWithinPartitions(tenant, order, "body")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = object(), ""
+        for b in batches:
+            before, after = [], []
+            for t, body in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                last = last if t == own else ""
+                own = t
+                before.append(last)
+                last = hashlib.sha256((last + body).encode()).hexdigest()
+                after.append(last)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(after, pa.string()), pa.array(before, pa.string())], [tenant, order, "hash", "prev_hash"])
+
+    return ordered.mapInArrow(link, f"{tenant} {kinds[0]}, {order} {kinds[1]}, hash string, prev_hash string")
 
 
 def audit_page(rows: DataFrame, actor: str | None = None, since: str | None = None, limit: int = 50) -> DataFrame:

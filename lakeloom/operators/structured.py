@@ -118,9 +118,10 @@ def dedup_newest(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFra
 
 
 def duplicate_groups(rows: DataFrame, key: Column, item: str) -> DataFrame:
-    """Keys that several rows share, with the sorted items and the first of them."""
-    by = rows.groupBy(key.alias("content_hash")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(item)).alias("items"))
-    return by.where("n > 1").withColumn("first_item", F.element_at("items", 1))
+    """(content_hash, item, first_item, n): each row of a key that several rows share, with the first of them and their number. No group is gathered."""
+    own = rows.select(key.alias("content_hash"), F.col(item).alias("item"))
+    by = own.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("item").alias("first_item")).where("n > 1")
+    return own.join(by, "content_hash").select("content_hash", "item", "first_item", "n")
 
 
 def single_price_names(rows: DataFrame) -> DataFrame:

@@ -297,7 +297,7 @@ def dedup_keep_newest(spark, sf):
     return structured.dedup_newest(entities(spark, sf), ["name", "brand"], "size", "entity_id").select("name", "brand", "entity_id")
 
 
-@query("""WITH h AS (SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS content_hash FROM documents) SELECT content_hash, count(*) AS n, list_sort(list(doc_id)) AS items, min(doc_id) AS first_item FROM h GROUP BY 1 HAVING count(*) > 1""")
+@query("""WITH h AS (SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS content_hash FROM documents) SELECT content_hash, doc_id AS item, min(doc_id) OVER w AS first_item, count(*) OVER w AS n FROM h WINDOW w AS (PARTITION BY content_hash) QUALIFY n > 1""")
 def content_hash_dups(spark, sf):
     return structured.duplicate_groups(table(spark, sf, "documents"), text.content_hash(F.col("text")), "doc_id")
 
@@ -683,5 +683,5 @@ def parent_child_chunks(spark, sf):
 @query()
 def table_entities(spark, sf):
     row = F.concat(F.lit("\n| "), "p_name", F.lit(" | "), "p_type", F.lit(" | "), (F.col("p_retailprice") * 1000).cast("long").cast("string"), F.lit(" |"))
-    p = table(spark, sf, "part").groupBy((F.col("p_partkey") % 50).alias("doc_id")).agg(F.concat(F.lit("| Name | Type | Price |\n|---|---|---|"), F.array_join(F.array_sort(F.collect_list(row)), "")).alias("text"))
+    p = table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 50).cast("long").alias("doc_id")).agg(F.concat(F.lit("| Name | Type | Price |\n|---|---|---|"), F.array_join(F.array_sort(F.collect_list(row)), "")).alias("text"))
     return tables.entities(tables.pipe_rows(p))

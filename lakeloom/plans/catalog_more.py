@@ -292,10 +292,10 @@ def forward_fill(spark, sf):
     return chunking.forward_fill(c, "content", "doc_id", order="chunk_index").select("chunk_id", "content")
 
 
-@query("SELECT p_partkey % 50 AS doc_id, p_partkey, p_name AS name, p_type AS category, CAST(p_retailprice * 1000 AS BIGINT) AS price FROM part")
+@query("SELECT p_partkey // 50 AS doc_id, p_partkey, p_name AS name, p_type AS category, CAST(p_retailprice * 1000 AS BIGINT) AS price FROM part")
 def table_to_entities(spark, sf):
     row = F.concat(F.lit("\n| "), F.lpad("p_partkey", 9, "0"), F.lit(" | "), "p_name", F.lit(" | "), "p_type", F.lit(" | "), F.floor(F.round(F.col("p_retailprice") * 1000)).cast("string"), F.lit(" |"))
-    p = table(spark, sf, "part").groupBy((F.col("p_partkey") % 50).alias("doc_id")).agg(F.concat(F.lit("| Code | Name | Type | Price |\n|---|---|---|---|"), F.array_join(F.array_sort(F.collect_list(row)), "")).alias("text"))
+    p = table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 50).cast("long").alias("doc_id")).agg(F.concat(F.lit("| Code | Name | Type | Price |\n|---|---|---|---|"), F.array_join(F.array_sort(F.collect_list(row)), "")).alias("text"))
     e = tables.entities(tables.pipe_rows(p))
     return e.select("doc_id", F.element_at("attributes", "Code").cast("long").alias("p_partkey"), "name", "category", F.col("price_primary").alias("price"))
 

@@ -130,10 +130,12 @@ def unique_bot_lookup(spark, sf):
     return records.unique_match(wanted, rows, "c_nationkey", "c_mktsegment", key="bot").select("event_id", "bot")
 
 
-@query("""WITH RECURSIVE r AS (SELECT n_regionkey AS t, n_nationkey AS k, sha256(n_name) AS body, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation),
-  h AS (SELECT t, k, n, sha256(body) AS hash, '' AS prev_hash FROM r WHERE n = 1 UNION ALL SELECT r.t, r.k, r.n, sha256(h.hash || r.body), h.hash FROM h JOIN r ON r.t = h.t AND r.n = h.n + 1) SELECT t AS n_regionkey, k AS n_nationkey, hash, prev_hash FROM h""")
+@query("""WITH RECURSIVE r AS (SELECT o_custkey AS t, o_orderkey AS k, sha256(o_orderstatus || o_orderpriority) AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+  h AS (SELECT t, k, n, sha256(body) AS hash, '' AS prev_hash FROM r WHERE n = 1
+    UNION ALL SELECT r.t, r.k, r.n, sha256(h.hash || r.body), h.hash FROM h JOIN r ON r.t = h.t AND r.n = h.n + 1) SELECT t AS o_custkey, k AS o_orderkey, hash, prev_hash FROM h""")
 def audit_chain_append(spark, sf):
-    return records.chained(table(spark, sf, "nation"), "n_regionkey", "n_nationkey", "n_name")
+    rows = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.concat("o_orderstatus", "o_orderpriority").alias("said"))
+    return records.chained(rows, "o_custkey", "o_orderkey", "said")
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id LIMIT 50")
