@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from lakeloom.plans import catalog, catalog_chunks, catalog_language, catalog_lexical, catalog_more, catalog_records, catalog_text  # noqa: F401
+from lakeloom.plans import catalog, catalog_chunks, catalog_language, catalog_lexical, catalog_more, catalog_records, catalog_shapes, catalog_text  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
