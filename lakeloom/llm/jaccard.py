@@ -22,8 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import PIECE_BYTES, Scratch, connected_components, materialize, mix64, pieces
+from lakeloom.llm.common import Scratch, connected_components, materialize, mix64, pieces
 
+#: Bytes of text that are hashed at once: some ten arrays of eight bytes a letter stand beside them.
+PIECE = 1 << 18
 #: Counters of the cost table: its size does not depend on the corpus.
 COUNTERS = 1 << 17
 #: Rows (id and hash) that may be broadcast to pick texts; beyond it they are joined.
@@ -94,7 +96,7 @@ class Shingler:
         """Hashes of the words of one text, piece by piece."""
         out, at = [], 0
         while at < len(b):
-            end = min(len(b), at + PIECE_BYTES)
+            end = min(len(b), at + PIECE)
             while end < len(b) and not SPACE[b[end]]:  # on to the end of the word
                 gap = np.flatnonzero(SPACE[b[end : end + 4096]])
                 end = end + int(gap[0]) if len(gap) else min(len(b), end + 4096)
@@ -278,7 +280,7 @@ def sets(docs: DataFrame, k: int, scheme: Scheme) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, once, counts, schema = Shingler(k), Once(), np.zeros(COUNTERS, np.int64), None
-        for b in pieces(batches, 2):
+        for b in pieces(batches, 2, PIECE):
             found = shingle.batch(b.column(2))
             prints = _prints(found)
             has_id = b.column(0).is_valid().to_pylist()
@@ -369,7 +371,7 @@ def key_rows(docs: DataFrame, k: int, scheme: Scheme, counts: np.ndarray) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         shingle, once, deal = Shingler(k), Once(), Often(1 + task.partitionId(), often)
-        for b in pieces(batches, 0):
+        for b in pieces(batches, 0, PIECE):
             out: list[tuple[np.ndarray, ...]] = []
             for s in shingle.batch(b.column(0)):
                 if len(s) and once(node := _fingerprint(s)):
@@ -458,7 +460,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, k: int, schem
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, group, there, text = Shingler(k), None, None, b""
-        for batch in pieces(batches, 4):
+        for batch in pieces(batches, 4, PIECE):
             found = []
             texts = batch.column(4).cast(pa.large_binary())
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)), shingle.batch(batch.column(4)), strict=True)
