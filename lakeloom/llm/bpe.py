@@ -27,7 +27,7 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 #: A blank next to white space, or at an end: only then can a word reach over the blank before a chunk.
 TANGLED = re.compile(r"^ | $| \s|\s ")
 #: Entries of each half of a cache in a Python worker.
-CACHE = 350_000
+CACHE = 200_000
 
 
 def byte_letters() -> dict[str, int]:
