@@ -24,15 +24,26 @@ PHRASES = r"""trimmed AS (SELECT side, id, text, list_transform(string_split_reg
   matches AS (SELECT id AS query_id, CAST(row_number() OVER (PARTITION BY id ORDER BY n, at_word, phrase) AS INTEGER) AS place, CAST(at_word AS INTEGER) AS "at", CAST(n AS INTEGER) AS n, phrase, source, expansions FROM met QUALIFY place <= 10)"""
 
 
+#: Letters with one capital, though their upper case by full mapping has several.
+ONE_SMALL = "ß" + "".join(c for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > 1 and c.title() != c and len(c.title()) == 1)
+ONE_LARGE = "ẞ" + "".join(c.title() for c in ONE_SMALL[1:])
+
+
 def _asked(spark, sf):
     return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text").where("trim(coalesce(text, '')) <> ''")
 
 
+def _upper(text):
+    """Upper case letter by letter, as the SQL has it: a letter that Spark would spell out in several, such as ß, becomes its one capital or stays."""
+    one = F.translate(text, ONE_SMALL, ONE_LARGE)
+    return F.array_join(F.transform(F.split(one, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+
+
 def _vocabulary(spark, sf):
     some = language.phrases(table(spark, sf, "benchmark").select("item_id", "text"), "item_id").select("phrase").distinct()
     code = F.conv(F.substring(F.md5(F.col("phrase").cast("binary")), 1, 2), 16, 10).cast("int")
     source = F.when(F.length("phrase") % 2 == 0, "generic").otherwise("bot_custom")
-    return some.where(code % 3 != 0).select("phrase", source.alias("source"), F.array(F.concat(F.upper("phrase"), F.lit("!")), F.concat(F.lit("about $ "), "phrase")).alias("expansions"))
+    return some.where(code % 3 != 0).select("phrase", source.alias("source"), F.array(F.concat(_upper("phrase"), F.lit("!")), F.concat(F.lit("about $ "), "phrase")).alias("expansions"))
 
 
 NEGATIONS = ["in", "the", "de"]
