@@ -12,9 +12,13 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFra
     Queries without ranked rows score 0; queries without relevant rows are left out.
     """
     good = relevant.select("query_id", "chunk_id").distinct()
-    found = ranked.where(F.col("rank") <= k).join(good, ["query_id", "chunk_id"], "left_semi")
-    by = found.groupBy("query_id").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.min("rank").alias("first"))
-    size = good.groupBy("query_id").agg(F.count("*").alias("n"))
+    found = ranked.join(good, ["query_id", "chunk_id"], "left_semi")
+    return metrics_of_found(found, good.groupBy("query_id").agg(F.count("*").alias("n")), k)
+
+
+def metrics_of_found(found: DataFrame, size: DataFrame, k: int) -> DataFrame:
+    """retrieval_metrics by the ranked rows that are relevant, found(query_id, chunk_id, rank), and size(query_id, n), how many are: relevance may be by a class, so no pairs are made."""
+    by = found.where(F.col("rank") <= k).groupBy("query_id").agg(F.count("*").alias("found"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"), F.min("rank").alias("first"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     out = size.join(by, "query_id", "left")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)

@@ -4,6 +4,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from lakeloom.operators import evaluate
 from lakeloom.plans import catalog, catalog_chunks, catalog_language, catalog_lexical, catalog_more, catalog_text  # noqa: F401
 from tests.test_catalog import plain
 
@@ -25,3 +26,36 @@ def test_capitals_of_single_letters(spark, tmp_path):
     conversations = {"conv_id": pa.array([1, 2], pa.int64()), "turn": pa.array([0, 1], pa.int64()), "role": ["user", "user"], "text": [" ".join(words[:6]), " ".join(words[6:])]}
     got, want = both(spark, tmp_path, "vocabulary_matches", conversations=conversations, benchmark={"item_id": pa.array([0], pa.int64()), "text": [" ".join(words)]})
     assert any("ẞ" in r[-1] for r in want) and got == want
+
+
+def test_a_task_passes_on_k_rows_a_query(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lakeloom.operators import retrieval
+
+    chunks = spark.range(5000).select(F.col("id").alias("chunk_id"), F.array(F.lit(1.0), (F.col("id") % 7).cast("double"), F.when(F.col("id") == 4321, float("nan")).otherwise(0.0)).alias("embedding")).coalesce(1)
+    asked = chunks.where("chunk_id < 4").withColumnRenamed("chunk_id", "query_id")
+    passed = []
+    plain_ranked, retrieval.ranked = retrieval.ranked, lambda rows, k=None: passed.append(rows.count()) or plain_ranked(rows, k)
+    try:
+        got = [tuple(r) for r in retrieval.dense_topk(asked, chunks, 3).select("query_id", "chunk_id", "rank").orderBy("query_id", "rank").collect()]
+    finally:
+        retrieval.ranked = plain_ranked
+    assert passed == [12]  # equal scores of copies are told apart by their ids where they are found
+    assert got == [(q, c, i + 1) for q in range(4) for i, c in enumerate([4321, q, q + 7])]
+
+
+def test_relevance_by_label_makes_no_pairs(spark, tmp_path, monkeypatch):
+    n = 400
+    vectors = [[float((i * 7 + j * j) % 13 - 6) for j in range(8)] for i in range(n)]
+    table = {"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([i % 3 for i in range(n)], pa.int32())}
+    passed = []
+
+    def counting(f):
+        return lambda *a: passed.extend(x.count() for x in a if hasattr(x, "count") and hasattr(x, "rdd")) or f(*a)
+
+    for name in ("retrieval_metrics", "metrics_of_found"):
+        monkeypatch.setattr(evaluate, name, counting(getattr(evaluate, name, None)), raising=False)
+    got, want = both(spark, tmp_path, "hit_at_k_ndcg_mrr", embeddings=table)
+    assert got == want and len(got) == 8
+    assert max(passed) <= 8 * 20  # not the 1,067 pairs of a query and a vector of its label
