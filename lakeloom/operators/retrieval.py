@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +45,62 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {n: (np.array(places), np.array(rows, np.float64).reshape(len(rows), n)) for n, (places, rows) in by.items()}
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; rows of length zero stay."""
+    norms = np.sqrt((x * x).sum(axis=1))[:, None]
+    return np.divide(x, norms, out=np.zeros_like(x), where=norms != 0)
+
+
+class Top:
+    """The k best chunks of each of n queries over a task's batches: highest scores first, rounded, then least chunk ids. It holds k rows a query, however many batches come."""
+
+    def __init__(self, n: int, k: int, digits: int):
+        self.k, self.unit, self.least, self.held = k, 10.0**digits, np.full(n, -np.inf), None
+        self.full = False
+
+    def add(self, score: np.ndarray, ids: pa.Array, above: float = -np.inf) -> None:
+        """score: one row a query, one column a chunk; only scores over above count. What is no number stands first, as in Spark's order."""
+        if not score.size:
+            return
+        if np.isnan(score.sum()):
+            score[np.isnan(score)] = np.inf
+        least = self.least
+        if score.shape[1] > self.k and not self.full:
+            least = np.maximum(least, np.partition(score, score.shape[1] - self.k, axis=1)[:, score.shape[1] - self.k])
+        i, j = np.nonzero((score >= least[:, None] - 2 / self.unit) & (score > above))
+        if not len(i):
+            return
+        found = score[i, j]
+        found = np.copysign(np.floor(np.abs(found) * self.unit + 0.5) / self.unit, found) + 0.0
+        stay = found >= self.least[i]
+        i, j, found = i[stay], j[stay], found[stay]
+        both, rest = pa.table({"i": i, "score": found, "id": ids.take(pa.array(j))}), []
+        if self.held is not None:  # only the queries that gain a chunk are sorted again
+            gains = np.zeros(len(self.least), bool)
+            gains[i] = True
+            again = gains[self.held.column("i").to_numpy()]
+            both, rest = pa.concat_tables([self.held.filter(pa.array(again)), both]), [self.held.filter(pa.array(~again))]
+        both = both.take(pc.sort_indices(both, sort_keys=[("i", "ascending"), ("score", "descending"), ("id", "ascending")]))
+        at = both.column("i").to_numpy()
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+        self.held = pa.concat_tables([*rest, both.filter(pa.array(place < self.k))]).combine_chunks()
+        last = np.flatnonzero(place == self.k - 1)
+        self.least[at[last]] = both.column("score").to_numpy()[last]
+        self.full = self.full or bool(np.isfinite(self.least).all())
+
+    def batches(self, names: pa.Array) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            for b in self.held.to_batches(max_chunksize=10_000):
+                score = b.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([names.take(b.column(0)), b.column(2), pa.array(np.where(score == np.inf, np.nan, score))], [Q, C, "score"])
+
+
 def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest chunks by cosine for each query; 0 for vectors of length zero and for null or different lengths.
 
     Queries are dealt into blocks by a hash of the id, so many that a block's vectors stay within a bound. A block travels to all tasks as one matrix; a task multiplies it with
-    its chunks some thousand at a time and passes on what may be among the k best, ties included. All rows of a query id fall into one block.
+    its chunks some thousand at a time and passes on the k best of all its chunks. All rows of a query id fall into one block.
     """
     spark = queries.sparkSession
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, Q), (chunks, C))]
@@ -59,32 +111,27 @@ def dense_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     def block(part: DataFrame) -> DataFrame:
         asked = part.select(Q, "embedding").toArrow().combine_chunks()
         ids = asked.column(0).combine_chunks() if asked.num_rows else pa.array([], pa.int64())
-        shared = spark.sparkContext.broadcast((ids, _matrix(asked.column(1))))
+        shared = spark.sparkContext.broadcast((ids, {size: (at, _unit(q)) for size, (at, q) in _matrix(asked.column(1)).items()}))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, wanted = shared.value
-            step = max(64, 4_000_000 // max(1, len(names)))
-            for whole in batches:
+            step = max(64, 2_000_000 // max(1, len(names)))
+            top = Top(len(names), k, 9)
+            for whole in batches if len(names) else ():
                 for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-                    if not len(names):
-                        continue
-                    score = np.zeros((len(names), b.num_rows))
                     here = _matrix(b.column(1))
-                    for size, (at, q) in wanted.items():
-                        if size in here:
-                            to, x = here[size]
-                            norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None]
-                            dots = q @ x.T
-                            score[np.ix_(at, to)] = np.divide(dots, norms, out=np.zeros_like(dots), where=norms != 0)
-                    if b.num_rows > k:  # scores are rounded later on, so near ties stay
-                        least = np.partition(score, b.num_rows - k, axis=1)[:, b.num_rows - k]
-                        i, j = np.nonzero(score >= least[:, None] - 2e-9)
+                    if len(wanted) == 1 and all(size in wanted and len(to) == b.num_rows and len(wanted[size][0]) == len(names) for size, (to, _) in here.items()):
+                        score = np.concatenate([wanted[size][1] @ _unit(x).T for size, (_, x) in here.items()], axis=1)
                     else:
-                        i, j = np.divmod(np.arange(score.size), b.num_rows)
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), b.column(0).take(pa.array(j)), pa.array(score[i, j])], [Q, C, "score"])
+                        score = np.zeros((len(names), b.num_rows))
+                        for size, (at, q) in wanted.items():
+                            if size in here:
+                                score[np.ix_(at, here[size][0])] = q @ _unit(here[size][1]).T
+                    top.add(score, b.column(0))
+            yield from top.batches(names)
 
         near = chunks.select(C, "embedding").mapInArrow(run, f"{Q} {kinds[0]}, {C} {kinds[1]}, score double")
-        return ranked(near.withColumn("score", F.round("score", 9)), k)
+        return ranked(near, k)
 
     if n == 1:
         return block(queries)
