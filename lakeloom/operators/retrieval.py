@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +17,8 @@ from lakeloom.sources.shared import new_path, written
 
 #: Numbers of the query vectors that are sent to all tasks at once, about; more are dealt into blocks.
 MAX_NUMBERS = 4_000_000
+#: Terms of the queries of a block of a lexical search, and cells of its matrix of terms by queries, about.
+MAX_TERMS, MAX_CELLS = 20_000, 16_000_000
 TERM = r"[a-zß-öø-ÿ]+"
 #: Letters by which keywords and names meet.
 KEY = 4
@@ -156,22 +160,79 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, chunk_id, score, rank) by BM25 over the distinct terms of each query.
 
-    Corpus statistics come from all chunks. Texts are read and split once: the postings of query terms are written, with one row without a term for each chunk that tells its length.
+    Corpus statistics come from all chunks. Texts are read and split once: what stands of the queries' terms in each chunk is written, as one row with the numbers of the terms. Queries are
+    dealt into blocks by a hash of the id; a block's terms and queries travel to all tasks, and a task multiplies its chunks' gains with them some hundred chunks at a time and
+    passes on the k best of all its chunks.
     """
+    spark = queries.sparkSession
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, Q), (chunks, C))]
+    wanted = written(queries.select(Q, F.explode(F.array_distinct(terms(F.col("text")))).alias("term")).distinct(), "asked")
+    count, most = wanted.groupBy(Q).count().agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    n_blocks = max(1, -(-most // MAX_TERMS), math.ceil(math.sqrt(most * count / MAX_CELLS)))
+    found = []
+    for i in range(n_blocks):
+        part = wanted.where(F.pmod(F.xxhash64(Q), F.lit(n_blocks)) == i)
+        found.append(_bm25_block(spark, part, chunks, kinds, k, k1, b))
+        if n_blocks > 1:
+            found[-1] = written(found[-1], "sparse")
+    return functools.reduce(DataFrame.union, found)
+
+
+def _bm25_block(spark, wanted: DataFrame, chunks: DataFrame, kinds: list[str], k: int, k1: float, b: float) -> DataFrame:
+    asked = wanted.toArrow().combine_chunks()
+    names, known = (pc.unique(asked.column(c)) for c in (Q, "term"))
+    if isinstance(names, pa.ChunkedArray):
+        names, known = names.combine_chunks(), known.combine_chunks()
+    at = tuple(pc.index_in(asked.column(c), value_set=v).to_numpy() for c, v in ((Q, names), ("term", known)))
+    shared = spark.sparkContext.broadcast((names, known, at))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value[1]
+        for whole in batches:
+            for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+                lists = batch.column(1)
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                term = pc.index_in(lists.flatten(), value_set=known)
+                there = term.is_valid().to_numpy(zero_copy_only=False)
+                key, tf = np.unique(row[there] * max(1, len(known)) + term.drop_null().to_numpy(), return_counts=True)
+                rows, numbers = np.divmod(key, max(1, len(known)))
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=len(sizes)))), pa.int32())
+                columns = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (numbers, tf)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *columns], [C, "size", "terms", "tfs"])
+
     split = chunks.select(C, terms(F.col("content")).alias("t"))
-    wanted = queries.select(Q, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    flat = split.select(C, F.size("t").alias("size"), F.explode(F.concat("t", F.array(F.lit(None).cast("string")))).alias("term"))
-    some = wanted.select("term").union(wanted.sparkSession.createDataFrame([(None,)], "term string")).distinct().withColumnRenamed("term", "asked")
-    rows = flat.join(some, flat["term"].eqNullSafe(some["asked"]), "left_semi")
-    own = written(rows.groupBy(C, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size")), "postings")
-    n, words = own.where("term IS NULL").agg(F.sum("tf"), F.sum(F.col("tf") * F.col("size"))).first()
-    n, mean = n or 0, (words or 0) / max(1, n or 0)
-    own = own.where("term IS NOT NULL")
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(mean or 1.0)))
-    scored = own.join(df, "term").select(C, "term", (idf * gain).alias("part"))
-    return ranked(wanted.join(scored, "term").groupBy(Q, C).agg(F.round(F.sum("part"), 6).alias("score")), k)
+    own = written(split.mapInArrow(count, f"{C} {kinds[1]}, size long, terms array<int>, tfs array<int>"), "postings")
+    n, words = own.agg(F.count("*"), F.sum("size")).first()
+    mean = (words or 0) / max(1, n) or 1.0
+    once = own.groupBy(C).agg(F.first("size").alias("size"), F.flatten(F.collect_list("terms")).alias("terms"), F.flatten(F.collect_list("tfs")).alias("tfs")) if _repeated(own) else own
+    df = np.zeros(len(known))
+    for term, held in once.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count().collect():
+        df[term] = held
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, known, (query, term) = shared.value
+        holds = np.zeros((len(known), len(names)))
+        holds[term, query] = idf[term]
+        top = Top(len(names), k, 6)
+        step = max(16, 2_000_000 // max(1, len(known), len(names)))
+        for whole in batches:
+            for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                sizes, lists = batch.column(1).to_numpy(), batch.column(2)
+                row = np.repeat(np.arange(len(sizes)), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+                tf = np.zeros((len(sizes), len(known)))
+                np.add.at(tf, (row, lists.flatten().to_numpy()), batch.column(3).flatten().to_numpy())
+                gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes / mean)[:, None])
+                top.add(np.ascontiguousarray((gain @ holds).T), batch.column(0), 0.0)
+        yield from top.batches(names)
+
+    return ranked(once.mapInArrow(score, f"{Q} {kinds[0]}, {C} {kinds[1]}, score double"), k)
+
+
+def _repeated(rows: DataFrame) -> bool:
+    """Whether any chunk id stands in several rows."""
+    return not rows.groupBy(C).count().where("count > 1").isEmpty()
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, k: int, w_dense: float = 0.6, w_sparse: float = 0.4) -> DataFrame:

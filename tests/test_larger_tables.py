@@ -59,3 +59,19 @@ def test_relevance_by_label_makes_no_pairs(spark, tmp_path, monkeypatch):
     got, want = both(spark, tmp_path, "hit_at_k_ndcg_mrr", embeddings=table)
     assert got == want and len(got) == 8
     assert max(passed) <= 8 * 20  # not the 1,067 pairs of a query and a vector of its label
+
+
+def test_lexical_search_passes_on_k_rows_a_query(spark, tmp_path, monkeypatch):
+    from lakeloom.operators import retrieval
+
+    texts = [f"der haus {'baum ' * (i % 5)} w{'abc'[i % 3]} {'der' if i % 2 else 'die'}" for i in range(500)]
+    documents = {"doc_id": pa.array([i if i < 490 else i - 10 for i in range(500)], pa.int64()), "text": [None if i == 7 else t for i, t in enumerate(texts)]}  # ten ids stand twice
+    benchmark = {"item_id": pa.array(range(4), pa.int64()), "text": ["der baum", "die die wa", None, "haus wb unbekannt"]}
+    passed = []
+    plain_ranked = retrieval.ranked
+    monkeypatch.setattr(retrieval, "ranked", lambda rows, k=None: passed.append((rows.count(), rows.rdd.getNumPartitions())) or plain_ranked(rows, k))
+    got, want = both(spark, tmp_path, "bm25_topk", documents=documents, benchmark=benchmark)
+    assert got == want and len(got) == 30
+    assert all(n <= 30 * parts for n, parts in passed)  # and not every chunk that holds a frequent word
+    monkeypatch.setattr(retrieval, "MAX_TERMS", 3)
+    assert both(spark, tmp_path, "bm25_topk", documents=documents, benchmark=benchmark)[0] == want
