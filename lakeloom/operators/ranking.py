@@ -111,13 +111,13 @@ def token_budget(rows: DataFrame, budget: int, tokens: str = "tokens") -> DataFr
     return rows.withColumn("used", used).where((F.col("used") <= budget) | (F.col("rank") == 1))
 
 
-def char_cap(rows: DataFrame, cap: int, text: str = "content") -> DataFrame:
+def char_cap(rows: DataFrame, cap: int, text: str = "content", size: str | None = None) -> DataFrame:
     """Rows by rank while their texts fit; one that doesn't fit is left out and shorter ones after it may stay. The first always stays.
 
-    What fits depends on all before it: a fold over each query's short list of (rank, length).
+    What fits depends on all before it: a fold over each query's short list of (rank, length). size names a column of lengths, where rows come without their texts.
     """
     others = [c for c in rows.columns if c not in (Q, "rank")]
-    items = F.array_sort(F.collect_list(F.struct("rank", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n"), F.struct(*others).alias("row"))))
+    items = F.array_sort(F.collect_list(F.struct("rank", F.coalesce(F.col(size) if size else F.length(text), F.lit(0)).cast("long").alias("n"), F.struct(*others).alias("row"))))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ranks"))
 
     def step(a: Column, x: Column) -> Column:

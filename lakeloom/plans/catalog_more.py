@@ -169,7 +169,8 @@ def keyword_scan(spark, sf):
 
 @query(f"WITH {BM25.format(k=10)}, b AS (SELECT query_id, chunk_id, score + CASE WHEN contains(lower(text), 'license') THEN 1.0 ELSE 0.0 END AS score FROM sparse JOIN documents ON doc_id = chunk_id) SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM b")
 def phrase_boost(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    held = F.when(F.contains(F.lower("text"), F.lit("license")), "license").otherwise("")  # looked up where the texts are read, so no text is shuffled
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), held.alias("content"))
     out = retrieval.phrase_boost(_bm25(spark, sf, 10).drop("rank").join(d, "chunk_id"), "License")
     return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -302,8 +303,8 @@ def table_to_entities(spark, sf):
 
 @query()
 def char_capped_context(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return ranking.char_cap(_bm25(spark, sf, 10).join(d, "chunk_id"), 4000).select("query_id", "chunk_id", "rank")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.length("text").alias("n_chars"))
+    return ranking.char_cap(_bm25(spark, sf, 10).join(d, "chunk_id"), 4000, size="n_chars").select("query_id", "chunk_id", "rank")
 
 
 @query()

@@ -1,8 +1,11 @@
 """Cases that only larger or odder tables bring: letters, copies, frequent words; queries against their SQL on tables made here."""
 
+import re
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from lakeloom.operators import evaluate
 from lakeloom.plans import catalog, catalog_chunks, catalog_language, catalog_lexical, catalog_more, catalog_text  # noqa: F401
@@ -75,3 +78,9 @@ def test_lexical_search_passes_on_k_rows_a_query(spark, tmp_path, monkeypatch):
     assert all(n <= 30 * parts for n, parts in passed)  # and not every chunk that holds a frequent word
     monkeypatch.setattr(retrieval, "MAX_TERMS", 3)
     assert both(spark, tmp_path, "bm25_topk", documents=documents, benchmark=benchmark)[0] == want
+
+
+@pytest.mark.parametrize("name", ["phrase_boost", "char_capped_context"])
+def test_texts_are_not_joined(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not re.search(r"text#\d+ AS content#\d+", plan)
