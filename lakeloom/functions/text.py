@@ -55,6 +55,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_union(a, b)))), F.lit(0.0))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once a row, however often f names it and within whatever lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def char_ngrams(text: Column, n: int = 3) -> Column:
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
     return F.when(F.length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
@@ -72,8 +77,8 @@ def shingles(text: Column, n: int) -> Column:
 
 def shingle_overlap(draft: Column, main: Column, n: int) -> Column:
     """Share of the draft's shingles that main has; an empty draft is fully covered."""
-    a, b = shingles(draft, n), shingles(main, n)
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    share = lambda a: F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, shingles(main, n))) / F.size(a))
+    return bound(shingles(draft, n), share)
 
 
 def leaks(answer: Column, known: list[str], n: int, least: int) -> Column:
@@ -90,13 +95,15 @@ def clean_line_breaks(text: Column) -> Column:
 
 def drop_repeated_lines(text: Column, times: int = 3, shorter: int = 100, more_than: int = 10) -> Column:
     """Without the lines that stand in a long text several times and are short: running heads and feet."""
-    lines = F.split(text, "\n", -1)
-    bare = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) < shorter))
-    # A line is repeated if it is left after one of each kind, and again one of each kind, is taken from the sorted lines.
-    ordered = F.array_sort(bare)
-    often = F.array_distinct(F.filter(ordered, lambda x, i: (i >= times - 1) & (F.get(ordered, i - (times - 1)) == x)))
-    kept = F.filter(lines, lambda x: ~F.array_contains(often, F.trim(x)))
-    return F.when(F.size(lines) > more_than, F.array_join(kept, "\n")).otherwise(text)
+
+    def clean(lines: Column) -> Column:
+        bare = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) < shorter))
+        # In the sorted lines, one that stands as often has its like so many places before it.
+        often = bound(F.array_sort(bare), lambda o: F.array_distinct(F.filter(o, lambda x, i: (i >= times - 1) & (F.get(o, i - (times - 1)) == x))))
+        kept = bound(often, lambda o: F.filter(lines, lambda x: ~F.array_contains(o, F.trim(x))))
+        return F.when(F.size(lines) > more_than, F.array_join(kept, "\n")).otherwise(text)
+
+    return bound(F.split(text, "\n", -1), clean)
 
 
 #: Phrases that try to override instructions.

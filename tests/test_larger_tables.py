@@ -84,3 +84,15 @@ def test_lexical_search_passes_on_k_rows_a_query(spark, tmp_path, monkeypatch):
 def test_texts_are_not_joined(spark, sf_dir, name):
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" in plan and not re.search(r"text#\d+ AS content#\d+", plan)
+
+
+def test_values_within_lambdas_are_worked_out_once(spark, tmp_path):
+    texts = ["\n".join(f" line {i % 700} " if i % 3 else f"own {i}" for i in range(4000)), "a\n" * 12, "a\n" * 5, "", None]
+    documents = {"doc_id": pa.array(range(5), pa.int64()), "text": texts}
+    got, want = both(spark, tmp_path, "repeated_line_cleaning", documents={k: v[:4] for k, v in documents.items()})
+    assert got == want
+    pq.write_table(pa.table(documents), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([0], pa.int64()), "text": ["a b c d"]}), tmp_path / "benchmark.parquet")
+    plans = {n: catalog.QUERIES[n](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString() for n in ("repeated_line_cleaning", "shingle_overlap")}
+    assert plans["repeated_line_cleaning"].count("array_sort(") == 1 and plans["repeated_line_cleaning"].count("split(") == 1
+    assert plans["shingle_overlap"].count("split(") == 2
