@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,10 @@ SYMBOL_BOOST, PLACE_WEIGHT = 1.0, 0.1
 LOG_LENGTH, LENGTH, DISTANCE, DISTINCT, LOG_DISTINCT, SCALED = 1, 2, 4, 8, 16, 32
 
 
+#: Terms of all queries that are held against each chunk where it is read; different patterns that each text is held against.
+HELD, PATTERNS = 20_000, 200
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TERM})"), 1)
 
@@ -154,6 +159,83 @@ def websearch(queries: DataFrame, index: DataFrame, flags: int = LOG_LENGTH | DI
     return literals.join(places, [Q, C]).select(Q, C, "literals", "entries", "size", "n_terms").mapInArrow(rank, f"{Q} {kinds[0]}, {C} {kinds[1]}, score double")
 
 
+def websearch_texts(queries: DataFrame, chunks: DataFrame, flags: int = LOG_LENGTH | DISTANCE, held: int = HELD) -> DataFrame:
+    """websearch of chunks(chunk_id, content) without an index: each chunk is read once and held against all queries where it is read, so neither places nor hits are shuffled.
+
+    Presence of words decides first, for all queries at once. Queries of more than held terms in all go by the index.
+    """
+    asked = written(parsed(queries), "parsed")
+    if asked.count() > held:
+        return websearch(queries, positional_index(chunks), flags)
+    rows = asked.collect()
+    known = sorted({r["term"] for r in rows})
+    number = {t: i for i, t in enumerate(known)}
+    # By query and alternative: its literals as {place in the phrase: term}, those that must stand and those that must not.
+    literals: dict = {}
+    for r in rows:
+        literals.setdefault((r[Q], r["grp"]), {}).setdefault((r["negated"], r["lit"]), {})[r["at"]] = number[r["term"]]
+    groups = [(q, [x for (no, _), x in own.items() if not no], [x for (no, _), x in own.items() if no]) for (q, _), own in literals.items()]
+    groups = [g for g in groups if g[1]]
+    terms_of: dict = {}
+    for r in rows:
+        terms_of.setdefault(r[Q], set()).add(number[r["term"]])
+    kinds = [t.schema[c].dataType.simpleString() for t, c in ((queries, Q), (chunks, C))]
+    query_type = pa.array([r[Q] for r in rows[:1]]).type if rows else pa.int64()
+
+    def starts(literal: dict[int, int], places: dict[int, list[int]]) -> list[int]:
+        if len(literal) == 1:
+            return [p - at for at, t in literal.items() for p in places.get(t, ())]
+        common = set.intersection(*({p - at for p in places.get(t, ())} for at, t in literal.items()))
+        return sorted(common)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        must = np.zeros((len(known), len(groups)), np.float32)
+        for k, (_, whole, _) in enumerate(groups):
+            must[[t for x in whole for t in x.values()], k] = 1
+        least, value_set = must.sum(axis=0), pa.array(known, pa.string())
+        for whole in batches:
+            for low in range(0, whole.num_rows, 500):
+                b = whole.slice(low, 500)
+                lists = b.column(1)
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = pc.dictionary_encode(lists.flatten())
+                if not len(words):
+                    continue
+                to = pc.fill_null(pc.index_in(words.dictionary, value_set=value_set), -1).to_numpy()
+                code = words.indices.to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+                n_terms = np.bincount(np.unique(row * len(words.dictionary) + code) // len(words.dictionary), minlength=len(sizes)) if flags & (DISTINCT | LOG_DISTINCT) else sizes
+                term = to[code]
+                some = term >= 0
+                term, at, place = term[some], row[some], place[some]
+                present = np.zeros((len(sizes), len(known)), np.float32)
+                present[at, term] = 1
+                met = np.argwhere(present @ must == least)
+                order = np.lexsort((place, term, at))
+                term, at, place = term[order], at[order], place[order]
+                cuts = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (np.diff(term) != 0)))
+                ends, by_row = np.append(cuts[1:], len(at)), np.searchsorted(at[cuts], np.arange(len(sizes) + 1))
+                out: tuple[list, list, list] = ([], [], [])
+                for i, of in groupby(met.tolist(), key=lambda x: x[0]):
+                    places = {int(term[cuts[j]]): place[cuts[j] : ends[j]].tolist() for j in range(by_row[i], by_row[i + 1])}
+                    good: dict = {}
+                    for _, k in of:
+                        q, stand, denied = groups[k]
+                        found = [(len(x), starts(x, places)) for x in stand]
+                        if all(s for _, s in found) and not any(starts(x, places) for x in denied):
+                            good.setdefault(q, []).append(found)
+                    for q, found in good.items():
+                        entries = sorted({p for t in terms_of[q] for p in places.get(t, ())})
+                        out[0].append(q)
+                        out[1].append(i)
+                        out[2].append(cover_score(found, entries, int(sizes[i]), int(n_terms[i]), flags))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], query_type), b.column(0).take(pa.array(out[1], pa.int64())), pa.array(out[2], pa.float64())], [Q, C, "score"])
+
+    split = chunks.select(C, terms(F.col("content")).alias("t")).where(F.size("t") > 0)
+    return split.mapInArrow(search, f"{Q} {kinds[0]}, {C} {kinds[1]}, score double")
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k best, equal scores by chunk_id."""
     own = Window.partitionBy(Q).orderBy(F.desc("score"), C)
@@ -179,8 +261,14 @@ def anchored(found: DataFrame, chunks: DataFrame, patterns: DataFrame) -> DataFr
 
     A query whose anchors match none of its chunks keeps them all, so an anchor that doesn't exist empties no answer.
     """
-    text = chunks.select(C, "content")
-    hit = found.join(patterns, Q).join(text, C).where("content LIKE pattern").select(Q, C).distinct()
+    found = written(found, "found")
+    text, wanted = chunks.select(C, "content"), patterns.select("pattern").distinct()
+    if wanted.count() <= PATTERNS:
+        # Each text is held against all patterns where it is read, and only the names of what matches go on.
+        fits = text.join(F.broadcast(wanted), F.expr("content LIKE pattern")).select(C, "pattern")
+        hit = found.join(patterns, Q).join(fits, [C, "pattern"]).select(Q, C).distinct()
+    else:
+        hit = found.join(patterns, Q).join(text, C).where("content LIKE pattern").select(Q, C).distinct()
     hit = written(hit, "anchored")
     named = found.join(hit, [Q, C], "left_semi")
     return named.unionByName(found.join(hit.select(Q).distinct(), Q, "left_anti"))

@@ -107,3 +107,20 @@ def test_anchors_that_match_nothing_keep_all(spark):
     found = lexical.websearch(q, lexical.positional_index(chunks))
     got = lexical.anchored(found, chunks, spark.createDataFrame([(1, "%Chapter 3%"), (2, "%Chapter 99%")], "query_id long, pattern string"))
     assert {(r.query_id, r.chunk_id) for r in got.collect()} == {(1, 2), (2, 1), (2, 2)}
+
+
+def test_texts_held_against_queries_find_what_the_index_finds(spark):
+    """All flags; phrases with a repeated word, alternatives, forbidden phrases, a null query and null text; nothing is shuffled."""
+    import random
+
+    rnd = random.Random(5)
+    docs = [(i, " ".join(rnd.choice(["a", "b", "c", "dd", "e1"]) for _ in range(rnd.randrange(1, 25)))) for i in range(80)] + [(90, None), (91, "..")]
+    asks = [(1, '"a b" c'), (2, 'a -b or "c dd" e1'), (3, '"a a" -"b c"'), (4, "-a"), (5, None), (6, "e1(a) or dd -c"), (7, "zz or b b")]
+    chunks, queries = spark.createDataFrame(docs, "chunk_id long, content string"), spark.createDataFrame(asks, "query_id long, text string")
+    for flags in (lexical.LOG_LENGTH | lexical.DISTANCE, 63):
+        got = lexical.websearch_texts(queries, chunks, flags)
+        want = {(r.query_id, r.chunk_id): round(r.score, 12) for r in lexical.websearch(queries, lexical.positional_index(chunks), flags).collect()}
+        assert want and {(r.query_id, r.chunk_id): round(r.score, 12) for r in got.collect()} == want
+        assert {(r.query_id, r.chunk_id): round(r.score, 12) for r in lexical.websearch_texts(queries, chunks, flags, held=1).collect()} == want
+        plan = got._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "Join" not in plan
