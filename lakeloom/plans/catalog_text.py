@@ -9,6 +9,7 @@ from lakeloom.functions import numbers, pii, query_text, text
 from lakeloom.operators import chunking, dedup, scope, tables
 from lakeloom.plans.catalog import query
 from lakeloom.plans.relations import CHUNKS, LOGS, chunks, request_logs, table
+from lakeloom.sources.shared import written
 
 # ---- texts with headings, tables, statute parts and code, made of the documents ----
 
@@ -89,6 +90,10 @@ def query_complexity(spark, sf):
     return rows.select("conv_id", "turn", F.round("score", 6).alias("complexity"), text.query_is_complex(F.col("score")).alias("verdict"))
 
 
+#: Different questions to a part, and the most parts.
+QUESTIONS, MOST_PARTS = 2000, 2000
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """A question about each part; what it asks for follows from the part's number."""
     k, name = F.col("p_partkey"), F.col("p_name")
@@ -109,8 +114,12 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 1 THEN n * 1000 WHEN 2 THEN n * 1000 WHEN 3 THEN n * 1000000 - n * 100000 END AS price_min, CASE p_partkey % 8 WHEN 0 THEN n * 1000000 WHEN 2 THEN n * 1000000 WHEN 3 THEN n * 1000000 + n * 100000 END AS price_max,
   CASE p_partkey % 8 WHEN 0 THEN 'filter' WHEN 1 THEN 'list' WHEN 2 THEN 'count' WHEN 3 THEN 'list' WHEN 4 THEN CASE WHEN p_partkey % 16 = 4 THEN 'max' ELSE 'min' END END AS operation FROM (SELECT p_partkey, CAST(p_partkey % 90 + 10 AS BIGINT) AS n FROM part)""")
 def question_price_ranges(spark, sf):
-    r = query_text.price_range(F.col("question"))
-    rows = questions(spark, sf).select("p_partkey", r.alias("r"))
+    """Each different question is read once, in parts of so many however small its table's file is."""
+    asked = questions(spark, sf)
+    once = written(asked.select("question").distinct(), "questions")
+    once = once.repartition(max(1, min(MOST_PARTS, once.count() // QUESTIONS)))
+    read = written(once.select("question", query_text.price_range(F.col("question")).alias("r")), "readings")
+    rows = asked.join(read, asked["question"].eqNullSafe(read["question"]), "left")
     return rows.select("p_partkey", "r.price_min", "r.price_max", "r.operation")
 
 
