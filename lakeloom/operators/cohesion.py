@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,14 +67,37 @@ def dissimilarity(vectors: DataFrame, apart: int = APART) -> DataFrame:
 
     vectors: (doc_id, i, length, embedding), i from 0 on without gaps. Documents of one chunk, or without a weight, give null.
     """
-    own = Window.partitionBy("doc_id").orderBy("i")
-    rows, total, weight = vectors, F.lit(0.0), F.lit(0.0)
-    for k in range(1, apart + 1):
-        rows = rows.withColumn(f"v{k}", F.lead("embedding", k).over(own)).withColumn(f"n{k}", F.lead("length", k).over(own))
-    for k in range(1, apart + 1):
-        w = F.coalesce((F.col("length") * F.col(f"n{k}")).cast("double"), F.lit(0.0))
-        total, weight = total + F.coalesce(cosine(F.col("embedding"), F.col(f"v{k}")), F.lit(0.0)) * w, weight + w
-    sums = rows.select("doc_id", total.alias("s"), weight.alias("w")).groupBy("doc_id").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
+    kind = vectors.schema["doc_id"].dataType.simpleString()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None
+        for b in batches:
+            old = last.num_rows if last else 0
+            b = pa.concat_batches([last, b]) if last else b
+            last = b.slice(max(0, b.num_rows - apart))
+            docs, n, lists = pc.dictionary_encode(b.column(0), null_encoding="encode").indices.to_numpy(), b.column(1).to_numpy().astype(float), b.column(2)
+            # Vectors as rows, with zeros behind shorter ones; one that is null or holds a null has a cosine of 0 with all.
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            v = np.zeros((len(sizes), max(1, int(sizes.max(initial=0)))))
+            v[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = pc.fill_null(flat, 0).to_numpy().astype(float)
+            norm = np.sqrt((v * v).sum(axis=1))
+            norm[row[flat.is_null().to_numpy(zero_copy_only=False)]] = 0
+            s, w = np.zeros(len(sizes)), np.zeros(len(sizes))
+            for k in range(1, min(apart, len(sizes) - 1) + 1):
+                # What both stand in the batch before was counted with it.
+                same = (docs[k:] == docs[:-k]) & (np.arange(k, len(docs)) >= old)
+                both = np.where(same, n[k:] * n[:-k], 0.0)
+                scale = np.where((sizes[k:] == sizes[:-k]) & same, norm[k:] * norm[:-k], 0.0)
+                dot = (v[k:] * v[:-k]).sum(axis=1)
+                s[:-k] += np.divide(dot, scale, out=np.zeros(len(dot)), where=scale != 0) * both
+                w[:-k] += both
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array(w)], ["doc_id", "s", "w"])
+
+    # A document's chunks stand together in order, so neighbours meet in a task without a copy of any vector.
+    rows = vectors.repartition("doc_id").sortWithinPartitions("doc_id", "i").select("doc_id", "length", "embedding")
+    sums = rows.mapInArrow(near, f"doc_id {kind}, s double, w double").groupBy("doc_id").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))
     return sums.select("doc_id", F.when(F.col("w") > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide("s", "w"))), 9)).alias("dissimilarity"))
 
 
