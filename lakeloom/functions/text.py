@@ -68,7 +68,7 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
 def shingles(text: Column, n: int) -> Column:
     """Distinct runs of n words; none for shorter texts."""
     def runs(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", *(F.get(w, i + (k - 1)) for k in range(n))))
         return F.when(F.size(w) >= n, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
     # Bound to a variable, so the text is split once and not once a run.
@@ -77,7 +77,12 @@ def shingles(text: Column, n: int) -> Column:
 
 def shingle_overlap(draft: Column, main: Column, n: int) -> Column:
     """Share of the draft's shingles that main has; an empty draft is fully covered."""
-    share = lambda a: F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, shingles(main, n))) / F.size(a))
+    return shingles_held(draft, shingles(main, n), n)
+
+
+def shingles_held(draft: Column, held: Column, n: int) -> Column:
+    """shingle_overlap with the main text's shingles, which many drafts may share."""
+    share = lambda a: F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.array_intersect(a, held)) / F.size(a))
     return bound(shingles(draft, n), share)
 
 
