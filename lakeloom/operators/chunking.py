@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
@@ -14,6 +16,8 @@ from lakeloom.functions.text import sentences
 from lakeloom.sources.shared import written
 
 DOC = "doc_id"
+#: Documents of a batch that are Python objects at once.
+AT_ONCE = 100
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -352,14 +356,17 @@ def by_topic(docs: DataFrame, size: int = 1024, least: float = TOPIC) -> DataFra
     return flat.withColumn("chunk_index", F.row_number().over(Window.partitionBy(DOC).orderBy("topic", "part")) - 1).select(DOC, "chunk_index", "content")
 
 
+def _clauses(text: Column) -> Column:
+    return F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.filter(F.transform(F.split(s, JOINTS, -1), lambda c: F.trim(c)), lambda c: c != ""))
+
+
 def statements(text: Column) -> Column:
     """The statements of a text: sentences cut where clauses are joined side by side; a short clause stays with the one before, or the next where it is the first."""
 
     def run(rows: pd.Series) -> pd.Series:
         return pd.Series([_statements(r) for r in rows], dtype="object")
 
-    clauses = F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.filter(F.transform(F.split(s, JOINTS, -1), lambda c: F.trim(c)), lambda c: c != ""))
-    return F.pandas_udf(run, ArrayType(StringType()))(clauses)
+    return F.pandas_udf(run, ArrayType(StringType()))(_clauses(text))
 
 
 def _statements(sentences_: list[list[str]]) -> list[str]:
@@ -378,7 +385,18 @@ def _statements(sentences_: list[list[str]]) -> list[str]:
 
 def by_statement(docs: DataFrame, size: int = 1024, overlap: int = 128) -> DataFrame:
     """(doc_id, chunk_index, content): statements put together up to size; with an overlap a chunk begins with the last statement of the one before."""
-    return _numbered(docs, packed(statements(F.col("text")), ". ", size, overlap > 0))
+    kind = docs.schema[DOC].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            # A few documents at once are Python's, and their chunks go on before the next ones come.
+            for low in range(0, whole.num_rows, AT_ONCE):
+                b = whole.slice(low, AT_ONCE)
+                made = [_pack(_statements(r), ". ", size, overlap > 0) for r in b.column(1).to_pylist()]
+                rows = [i for i, m in enumerate(made) for _ in m]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([k for m in made for k in range(len(m))], pa.int32()), pa.array([x for m in made for x in m], pa.string())], [DOC, "chunk_index", "content"])
+
+    return docs.select(DOC, _clauses(F.col("text")).alias("clauses")).mapInArrow(cut, f"{DOC} {kind}, chunk_index int, content string")
 
 
 def by_lines(docs: DataFrame, size: int = 1024) -> DataFrame:

@@ -4,7 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import cohesion
+from lakeloom.functions import text
+from lakeloom.operators import chunking, cohesion
 from lakeloom.plans import catalog, catalog_text
 
 
@@ -42,3 +43,21 @@ def test_neighbours_meet_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_statements_are_packed_a_few_documents_at_once(spark, sf_dir, monkeypatch):
+    """The chunks of the whole column at once; few rows are Python objects at a time; null and empty texts give none."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, " ")], "doc_id long, text string"))
+    want = chunking._numbered(docs, chunking.packed(chunking.statements(F.col("text")), ". ", 1024, True))
+    assert chunking.AT_ONCE <= 200
+    got = chunking.by_statement(docs)
+    assert got.schema["chunk_index"].dataType == want.schema["chunk_index"].dataType
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_shingles_of_an_item_are_made_once_an_item(spark, sf_dir):
+    """Two splits in the plan, and the item's stands below the join."""
+    plan = catalog.QUERIES["shingle_overlap"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 and plan.index("Join") < plan.rindex("split(")
+    row = spark.createDataFrame([("a b c d", "b c d e")], "x string, y string").select(text.shingle_overlap(F.col("x"), F.col("y"), 3)).first()
+    assert row[0] == 0.5
