@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -284,6 +284,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == ""), 0.0).otherwise(F.least(blend, F.lit(1.0)))
 
 
+def _ratio_is(below: Callable[[float], bool], match: SequenceMatcher, n: int, m: int) -> bool:
+    """below(match.ratio()) for a bar below, as soon as what is matched, or what can still be, decides it."""
+    todo, sure, open_ = [(0, n, 0, m)], 0, min(n, m)
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        open_ -= min(a1 - a0, b1 - b0)
+        i, j, k = match.find_longest_match(a0, a1, b0, b1)
+        if k:
+            sure += k
+            for part in ((a0, i, b0, j), (i + k, a1, j + k, b1)):
+                if part[0] < part[1] and part[2] < part[3]:
+                    todo.append(part)
+                    open_ += min(part[1] - part[0], part[3] - part[2])
+        if not below(2.0 * sure / (n + m)):
+            return False
+        if below(2.0 * (sure + open_) / (n + m)):
+            return True
+    return below(2.0 * sure / (n + m))
+
+
 def unlike(a: Column, b: Column, least: float) -> Column:
     """Whether the likeness of two sentences is below least. Letters are put in order only where shared words, lengths and counts of letters leave it open."""
 
@@ -296,7 +316,7 @@ def unlike(a: Column, b: Column, least: float) -> Column:
             below = lambda ratio: min(IN_ORDER * ratio + SHARED * s, 1.0) < least  # noqa: B023, E731
             match = SequenceMatcher(None, x, y)
             # Each bound is cheaper than the next; the ratio itself lies between nothing and all of them.
-            out.append(below(0.0) and (below(match.real_quick_ratio()) or below(match.quick_ratio()) or below(match.ratio())))
+            out.append(below(0.0) and (below(match.real_quick_ratio()) or below(match.quick_ratio()) or _ratio_is(below, match, len(x), len(y))))
         return pd.Series(out, dtype="bool")
 
     low_a, low_b = F.lower(a), F.lower(b)

@@ -61,3 +61,24 @@ def test_shingles_of_an_item_are_made_once_an_item(spark, sf_dir):
     assert plan.count("split(") == 2 and plan.index("Join") < plan.rindex("split(")
     row = spark.createDataFrame([("a b c d", "b c d e")], "x string, y string").select(text.shingle_overlap(F.col("x"), F.col("y"), 3)).first()
     assert row[0] == 0.5
+
+
+def test_a_likeness_is_decided_as_its_bounds_decide_it(monkeypatch):
+    """The same side of the bar as the whole ratio, with fewer matches sought."""
+    import random
+    from difflib import SequenceMatcher
+
+    rnd, sought = random.Random(2), []
+    real = SequenceMatcher.find_longest_match
+    monkeypatch.setattr(SequenceMatcher, "find_longest_match", lambda self, *a: sought.append(1) or real(self, *a))
+    whole = part = 0
+    for _ in range(400):
+        x, y = ("".join(rnd.choice("abcde fgh") for _ in range(rnd.randrange(1, 260))) for _ in "xy")
+        bar = rnd.choice([0.1, 0.4, 0.5, 0.6])
+        sought.clear()
+        want = SequenceMatcher(None, x, y).ratio() < bar
+        whole += len(sought)
+        sought.clear()
+        assert chunking._ratio_is(lambda r, bar=bar: r < bar, SequenceMatcher(None, x, y), len(x), len(y)) == want
+        part += len(sought)
+    assert part < whole / 2
