@@ -15,11 +15,15 @@ from lakeloom.operators.retrieval import cosine
 
 #: Cosine of neighbouring sentences below which a topic ends; places apart that are compared; letters of a chunk.
 TOPIC, APART, TARGET = 0.65, 3, 1024
+#: Texts whose tokens are counted at once.
+AT_ONCE = 200
 #: Fixed values of the measures: tokens of a gist, letters of a token at least, shares of the target size between which a chunk's size is good.
 GIST, TOKEN, LOW, HIGH = 50, 2, 0.5, 2.0
 #: Bars of the measures, and how sure the balanced choice is.
 BARS = {"bi": 0.6, "rc": 0.8, "dcc": 0.5, "sc": 0.7}
 BALANCED = 0.8
+#: White space as a regular expression's \\s has it.
+BLANK = " \t\n\v\f\r"
 #: References within a text.
 REFERENCES = (
     r"(?i)\b(?:see|cf\.|xem|tham\s+khảo)\s+(?:section|mục|chapter|chương)\s+\d",
@@ -34,7 +38,7 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def _filled(parts: Column) -> Column:
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
 
 
 def sentences(text: Column) -> Column:
@@ -43,7 +47,7 @@ def sentences(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda t: F.length(t) >= TOKEN)
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"([\p{{L}}\p{{N}}_]{{{TOKEN},}})"), 1)
 
 
 def vector_topics(docs: DataFrame, vectors: DataFrame, key: Callable[[Column], Column], threshold: float = TOPIC, size: int = TARGET) -> DataFrame:
@@ -101,52 +105,83 @@ def dissimilarity(vectors: DataFrame, apart: int = APART) -> DataFrame:
     return sums.select("doc_id", F.when(F.col("w") > 0, F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide("s", "w"))), 9)).alias("dissimilarity"))
 
 
+def _told(target: int) -> Column:
+    """bi and sc of a text, and the references that it makes."""
+    marks = F.concat(*(F.regexp_extract_all("text", F.lit(f"({p})".replace("((?i)", "(?i)(")), 1) for p in REFERENCES))
+    n, rest = F.ceil(F.length("text") / target), F.length("text") % target
+    good = n - ((rest > 0) & ((rest < int(target * LOW)) | (rest > int(target * HIGH)))).cast("int")
+    bi = F.size(F.filter("blocks", lambda b: F.length(b) <= target)) / F.size("blocks")
+    sc = F.when(n > 0, good / n).otherwise(1.0)
+    return F.struct(bi.cast("double").alias("bi"), sc.cast("double").alias("sc"), F.transform(marks, lambda m: F.lower(F.btrim(m, F.lit(BLANK)))).alias("marks"))
+
+
+def _kept(marks: list[str], blocks: list[str]) -> float | None:
+    """Share of the references that some block has twice; each different one is looked for once."""
+    twice = {m: any(b.count(m) > 1 for b in blocks) for m in set(marks)}
+    return sum(twice[m] for m in marks) / len(marks) if marks else None
+
+
+def _alike(b: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, rc, icc, dcc, bi, sc) of (doc_id, told, low, tokens): a text's blocks, their sentences and their tokens, counted for all texts at once."""
+    docs, blocks = b.num_rows, b.column(3).flatten()
+    parts = blocks.flatten()
+    flat = parts.flatten().dictionary_encode()
+    many = lambda lists: pc.list_value_length(lists).to_numpy().astype(np.int64)
+    code, most = flat.indices.to_numpy().astype(np.int64), max(1, len(flat.dictionary))
+    doc_of = np.repeat(np.arange(docs), many(b.column(3)))
+    block_of = np.repeat(np.arange(len(blocks)), many(blocks))
+    part = np.repeat(np.arange(len(parts)), many(parts))
+    block = block_of[part]
+
+    # The tokens of a text by how often they stand there, equal ones by their first place.
+    key, first, which, n = np.unique(doc_of[block] * most + code, return_index=True, return_inverse=True, return_counts=True)
+    own = key // most
+    order = np.lexsort((first, -n, own))
+    gist = np.zeros(len(key), bool)
+    gist[order] = np.arange(len(key)) - np.searchsorted(own, own) < GIST
+    size = np.bincount(own, gist, docs)
+    key, at = np.unique(block * most + code, return_index=True)
+    filled = np.bincount(key // most, minlength=len(blocks)) > 0
+    of = doc_of[filled]
+    dcc, blocks_of = np.bincount(of, np.bincount(key // most, gist[which[at]], len(blocks))[filled] / size[of], docs), np.bincount(of, minlength=docs)
+
+    # A token of a sentence and of the next one: keys that lie one sentence apart.
+    key = np.unique(part * most + code)
+    n = np.bincount(key // most, minlength=len(parts))
+    near = np.searchsorted(key, key + most)
+    met = key[near < len(key)][key[near[near < len(key)]] == key[near < len(key)] + most]
+    both = np.bincount(met // most, minlength=len(parts))[:-1]
+    pairs = block_of[1:] == block_of[:-1]
+    union = n[1:] + n[:-1] - both
+    of = doc_of[block_of[:-1][pairs]]
+    icc, pairs_of = np.bincount(of, np.divide(both, union, out=np.zeros(len(both)), where=union > 0)[pairs], docs), np.bincount(of, minlength=docs)
+    mean = lambda s, n: pa.array(np.divide(s, n, out=np.zeros(docs), where=n > 0), mask=n == 0)
+    bi, sc, marks = b.column(1).flatten()
+    rc = pa.array([_kept(*r) for r in zip(marks.to_pylist(), b.column(2).to_pylist(), strict=True)], pa.float64())
+    return pa.RecordBatch.from_arrays([b.column(0), rc, mean(icc, pairs_of), mean(dcc, blocks_of), bi, sc], ["doc_id", "rc", "icc", "dcc", "bi", "sc"])
+
+
 def measures(docs: DataFrame, target: int = TARGET) -> DataFrame:
-    """(doc_id, rc, icc, dcc, bi, sc) of texts whose blocks stand between blank lines.
+    """(doc_id, rc, icc, dcc, bi, sc) of texts(doc_id, text), a text a doc_id, whose blocks stand between blank lines.
 
     rc: references that stand twice in some block; icc: mean Jaccard similarity of neighbouring sentences within blocks; dcc: mean share of the gist, the
     document's most frequent tokens, in its blocks; bi: blocks no longer than the target; sc: equal pieces whose size is good. Each is 1 where there is nothing to
-    measure.
+    measure. A text is measured where it is read: nothing is shuffled.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = _let(_filled(F.split("text", r"\n\s*\n", -1)), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(F.col("text"))))
-    blocks = docs.select("doc_id", F.posexplode(parts).alias("b", "block"))
-
-    def alike(sets: Column) -> Column:
-        def pair(i: Column) -> Column:
-            a, b = F.get(sets, i - 1), F.get(sets, i)
-            return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
-
-        return F.when(F.size(sets) > 1, F.transform(F.sequence(F.lit(1), F.size(sets) - 1), pair)).otherwise(F.array().cast("array<double>"))
+    rows = docs.withColumn("blocks", parts).select("doc_id", _told(target).alias("told"), F.transform("blocks", F.lower).alias("low"))
+    # Ends of sentences and blocks part tokens, so those of the sentences are those of the blocks and of the text.
+    rows = rows.withColumn("tokens", F.transform("low", lambda b: F.transform(sentences(b), tokens)))
 
-    near = _let(F.transform(sentences(F.col("block")), lambda s: F.array_distinct(tokens(s))), alike)
-    held = blocks.select("doc_id", "b", near.alias("near"), (F.length("block") <= target).alias("whole"), F.array_distinct(tokens(F.col("block"))).alias("t"))
-    total = F.aggregate("near", F.lit(0.0), lambda a, x: a + x)
-    by_doc = held.groupBy("doc_id").agg(F.sum(total).alias("s"), F.sum(F.size("near")).alias("n"), F.avg(F.col("whole").cast("double")).alias("bi"))
-
-    words = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("i", "token"))
-    often = words.groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.min("i").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    gist = often.withColumn("rank", rank).where(F.col("rank") <= GIST).select("doc_id", "token")
-    size = gist.groupBy("doc_id").agg(F.count("*").alias("size"))
-    flat = held.where(F.size("t") > 0).select("doc_id", "b", F.explode("t").alias("token"))
-    common = flat.join(gist.withColumn("in", F.lit(1)), ["doc_id", "token"], "left").groupBy("doc_id", "b").agg(F.sum(F.coalesce("in", F.lit(0))).alias("c"))
-    dcc = common.join(size, "doc_id").groupBy("doc_id").agg(F.avg(F.col("c") / F.col("size")).alias("dcc"))
-
-    marks = F.concat(*(F.regexp_extract_all("text", F.lit(f"({p})".replace("((?i)", "(?i)(")), 1) for p in REFERENCES))
-    asked = docs.select("doc_id", F.posexplode(F.transform(marks, lambda m: F.lower(F.regexp_replace(m, r"^\s+|\s+$", "")))).alias("k", "mark"))
-    low = F.lower("block")
-    twice = F.length(low) - F.length(F.replace(low, F.col("mark"), F.lit(""))) >= 2 * F.length("mark")
-    kept = asked.join(blocks, "doc_id").groupBy("doc_id", "k").agg(F.max(twice.cast("double")).alias("kept"))
-    rc = kept.groupBy("doc_id").agg(F.avg("kept").alias("rc"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, AT_ONCE):
+                yield _alike(b.slice(i, AT_ONCE))
 
-    n, rest = F.ceil(F.length("text") / target), F.length("text") % target
-    good = n - ((rest > 0) & ((rest < int(target * LOW)) | (rest > int(target * HIGH)))).cast("int")
-    sc = docs.select("doc_id", F.when(n > 0, good / n).otherwise(1.0).alias("sc"))
-    one = F.lit(1.0)
-    both = sc.join(by_doc, "doc_id").join(rc, "doc_id", "left").join(dcc, "doc_id", "left")
-    r = lambda c: F.round(F.coalesce(c, one), 9)
-    return both.select("doc_id", r(F.col("rc")).alias("rc"), r(F.try_divide("s", "n")).alias("icc"), r(F.col("dcc")).alias("dcc"), r(F.col("bi")).alias("bi"), r(F.col("sc")).alias("sc"))
+    found = rows.mapInArrow(run, f"doc_id {kind}, rc double, icc double, dcc double, bi double, sc double")
+    return found.select("doc_id", *(F.round(F.coalesce(c, F.lit(1.0)), 9).alias(c) for c in ("rc", "icc", "dcc", "bi", "sc")))
 
 
 def choose(found: DataFrame, bars: dict[str, float] = BARS) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakeloom.functions.text import char_ngrams
 from lakeloom.operators import blocks, cohesion, firstcome, regions
 from lakeloom.plans.catalog import query
-from lakeloom.plans.relations import table
+from lakeloom.plans.relations import relined, table
 
 # ---- table regions ----
 
@@ -204,8 +204,7 @@ MEASURES = r"""refs AS (SELECT doc_id, string_agg(REFER, chr(10) ORDER BY i) AS
 
 
 def referring(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x")).select("doc_id", "i", F.expr(REFER).alias("line"))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return relined(spark, sf, REFER)
 
 
 @query("WITH " + MEASURES.replace("REFER", REFER))

@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def relined(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
+    """(doc_id, text) of documents, each line x of number i replaced by an expression; rows of one doc_id are one text, by the numbers of their lines."""
+    lines = F.expr(f"transform(split(text, '\n', -1), (x, i) -> struct(i, {line} AS line))")
+    found = table(spark, sf_dir, "documents").where("text IS NOT NULL").groupBy("doc_id").agg(F.flatten(F.collect_list(lines)).alias("lines"))
+    return found.select("doc_id", F.array_join(F.transform(F.array_sort("lines"), lambda x: x["line"]), "\n").alias("text"))
+
+
 def bots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer as bots, nation as workspace, region as tenant."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))

@@ -1,6 +1,8 @@
 """What is worked out once, where it is read."""
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -82,3 +84,33 @@ def test_a_likeness_is_decided_as_its_bounds_decide_it(monkeypatch):
         assert chunking._ratio_is(lambda r, bar=bar: r < bar, SequenceMatcher(None, x, y), len(x), len(y)) == want
         part += len(sought)
     assert part < whole / 2
+
+
+def test_a_text_is_measured_where_it_is_read(spark, monkeypatch):
+    """Several texts at once, against a loop; nothing is joined or shuffled; texts without a key have no row."""
+    texts = [
+        "One cat sat. A cat sat. The dog? See section 4\n\nSee section 4 and see section 4. Dogs, dogs!  Cats", "", None, " \n\n ", "a. b. c", "...\n \n? !", "İstanbul ΑΣ. ΑΣΑ! x2 ½½\n\n\v\n(see me) (See ME)",
+        " ".join(f"w{i} w{i}" for i in range(60)) + ". w59 w3\n\nw1 w58.\tw1", "[ref 1] [1] [ 1]\n\n" + "y" * 1100,
+    ]
+
+    def words(t):
+        return [w for w in re.findall(r"\w+", t.lower().replace("̇", " ")) if len(w) >= 2]
+
+    def want(t):
+        blocks = [b for b in (b.strip() for b in re.split(r"\n\s*\n", t)) if b] or [t]
+        near, parts = [], [[set(words(s)) for s in re.split(r"(?<=[.!?])\s+", b) if s.strip()] for b in blocks]
+        for p in parts:
+            near += [len(x & y) / len(x | y) if x | y else 0.0 for x, y in zip(p, p[1:], strict=False)]
+        gist = {w for w, _ in Counter(words(t)).most_common(50)}
+        inside = [len(gist & set(words(b))) / len(gist) for b in blocks if words(b)]
+        marks = [m.lower().strip() for r in cohesion.REFERENCES for m in re.findall(r, t)]
+        twice = [any(b.lower().count(m) > 1 for b in blocks) for m in marks]
+        return [sum(x) / len(x) if x else 1.0 for x in (twice, near, inside, [len(b) <= 1024 for b in blocks])]
+
+    docs = spark.createDataFrame([*enumerate(texts), (None, "no key")], "doc_id long, text string")
+    monkeypatch.setattr(cohesion, "AT_ONCE", 4)
+    out = cohesion.measures(docs)
+    got = {r.doc_id: [r.rc, r.icc, r.dcc, r.bi] for r in out.collect()}
+    assert got == {i: [round(x, 9) for x in want(t or "")] for i, t in enumerate(texts)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Aggregate", "Window", "Generate"))
