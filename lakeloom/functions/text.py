@@ -16,6 +16,10 @@ from lakeloom.functions import pii
 from lakeloom.operators.structured import COMBINING, MARKED, PLAIN
 
 
+#: White space as \\s has it.
+BLANK = " \t\n\v\f\r"
+
+
 def _mapped(column: Column, f: Callable[[str], str]) -> Column:
     """An Arrow-batched string function; nulls stay. Made when called, as types need a session."""
 

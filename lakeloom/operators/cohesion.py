@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions.text import BLANK
 from lakeloom.operators.blocks import pieces
 from lakeloom.operators.retrieval import cosine
 
@@ -22,8 +23,6 @@ GIST, TOKEN, LOW, HIGH = 50, 2, 0.5, 2.0
 #: Bars of the measures, and how sure the balanced choice is.
 BARS = {"bi": 0.6, "rc": 0.8, "dcc": 0.5, "sc": 0.7}
 BALANCED = 0.8
-#: White space as a regular expression's \\s has it.
-BLANK = " \t\n\v\f\r"
 #: References within a text.
 REFERENCES = (
     r"(?i)\b(?:see|cf\.|xem|tham\s+khảo)\s+(?:section|mục|chapter|chương)\s+\d",

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.sources.shared import written
+from lakeloom.functions.text import BLANK, bound
 
 #: Tokens of a phrase at most; tokens before a phrase that may deny it; phrases of a question and expansions of a phrase at most.
 WORDS, BACK, MATCHES, EXPANSIONS = 3, 2, 10, 5
@@ -13,6 +17,8 @@ WORDS, BACK, MATCHES, EXPANSIONS = 3, 2, 10, 5
 MARKS = ".,!?;:'\"()[]{}/\\"
 #: Letters that a text is cut down to, and the score of a sentence that stays.
 LETTERS, TELLING = 500, 0.15
+#: Signs and words of money.
+MONEY = ("$", "€", "₫", "vnd", "usd", "triệu", "tỷ", "nghìn")
 #: Best items of a superlative.
 TOP = 5
 #: The words that ask for a superlative, by what they ask for, in order.
@@ -82,56 +88,88 @@ def vocabulary_variants(texts: DataFrame, matches: DataFrame, key: str = "query_
 # ---- compression ----
 
 
+def _without(text: Column, pattern: str, new: str, *needs: str) -> Column:
+    """text with a pattern replaced; only a text that holds one of needs can match."""
+    return bound(text, lambda t: F.when(_holds(t, needs), F.regexp_replace(t, pattern, new)).otherwise(t))
+
+
+def _holds(text: Column, needs: Iterable[str]) -> Column:
+    return reduce(or_, (F.contains(text, F.lit(n)) for n in needs))
+
+
 def plain(text: Column, boilerplate: list[str] = ()) -> Column:
     """A text without boilerplate, marks of markdown, links and needless white space."""
 
     def tidy(t: Column) -> Column:
-        t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+\n", "\n"), r"[ \t]{2,}", " ")
-        return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+        t = _without(_without(t, r"[ \t]+\n", "\n", " \n", "\t\n"), r"[ \t]{2,}", " ", "  ", " \t", "\t ", "\t\t")
+        return F.btrim(_without(t, r"\n{3,}", "\n\n", "\n\n\n"), F.lit(BLANK))
 
     out = tidy(F.coalesce(text, F.lit("")))
     for p in boilerplate:
         out = F.regexp_replace(out, p, "")
     out = tidy(out) if boilerplate else out
-    out = F.regexp_replace(out, r"\[([^\]]*)\]\([^\)]*\)", "$1")
-    out = F.regexp_replace(out, r"\*{1,3}|_{1,3}|~{2}", "")
-    return tidy(F.regexp_replace(out, r"(?m)^#{1,6}\s+", ""))
+    out = _without(out, r"\[([^\]]*)\]\([^\)]*\)", "$1", "](")
+    for mark in ("~~", "*", "_"):
+        out = F.replace(out, F.lit(mark), F.lit(""))
+    return tidy(_without(out, r"(?m)^#{1,6}\s+", "", "#"))
 
 
 def telling(sentence: Column, stopwords: list[str], negations: list[str]) -> Column:
     """Share of a sentence's words that say something, more for numbers, money, dates, shares and negations; 1 at most."""
-    low = F.lower(sentence)
-    words = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), 1)
     stop = F.array(*[F.lit(w) for w in stopwords if w not in negations]).cast("array<string>")
-    base = F.try_divide(F.size(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))), F.size(words))
+    no = F.array(*[F.lit(w) for w in negations]).cast("array<string>")
     has = lambda p, gain: F.when(F.rlike(sentence, F.lit(p)), gain).otherwise(0.0)
-    gain = has(r"\d", 0.1) + has(r"(?i)[$€₫]|\bVND\b|\bUSD\b|\btriệu\b|\btỷ\b|\bnghìn\b", 0.15) + has(r"\d{1,2}[/.\-]\d{1,2}|\d{4}", 0.1) + has(r"\d+\s*%", 0.1)
-    denied = F.arrays_overlap(words, F.array(*[F.lit(w) for w in negations]).cast("array<string>"))
-    return F.when(F.size(words) == 0, 0.0).otherwise(F.least(F.lit(1.0), base + gain + F.when(F.coalesce(denied, F.lit(False)), 0.2).otherwise(0.0)))
+    # Dates and shares are looked for only where a digit stands.
+    number = F.when(F.rlike(sentence, F.lit(r"\d")), 0.1 + has(r"\d{1,2}[/.\-]\d{1,2}|\d{4}", 0.1) + has(r"\d+\s*%", 0.1)).otherwise(0.0)
+    low = F.lower(sentence)
+    gain = number + F.when(_holds(low, MONEY), has(rf"(?i)[$€₫]|\b(?:{'|'.join(MONEY[3:])})\b", 0.15)).otherwise(0.0)
+
+    def score(words: Column) -> Column:
+        base = F.size(F.filter(words, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))) / F.size(words)
+        denied = F.when(F.coalesce(F.arrays_overlap(words, no), F.lit(False)), 0.2).otherwise(0.0)
+        return F.when(F.size(words) == 0, 0.0).otherwise(F.least(F.lit(1.0), base + gain + denied))
+
+    return bound(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)"), 1), score)
+
+
+def _chosen(scored: Column, least: float) -> Column:
+    """The sentences that stay, in their order, of scored: (score, i, s) each."""
+    told = lambda rows: F.transform(rows, lambda x: x["s"])
+    best = F.array_sort(F.transform(scored, lambda x: F.struct((-x["score"]).alias("down"), x["i"].alias("i"), x["s"].alias("s"))))
+    half = F.slice(best, 1, F.greatest(F.lit(1), F.floor(F.size(scored) / 2).cast("int")))
+    half = F.array_sort(F.transform(half, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+    good = bound(F.filter(scored, lambda x: x["score"] >= least), lambda g: F.when(F.size(g) > 0, told(g)).otherwise(told(half)))
+    return F.when(F.size(scored) == 1, told(scored)).otherwise(good)
+
+
+def _cut(kept: Column, most: int) -> Column:
+    """As many sentences as fit into so many letters, to the last end of one; if the first doesn't, its first letters."""
+    # Each has a letter and a blank, so those behind these can't fit. One without a mark at its end runs into the next one.
+    some, n = F.slice(kept, 1, most // 2 + 2), F.size(kept)
+
+    def step(a: Column, s: Column) -> Column:
+        at = a["at"] + F.when(a["i"] > 0, 1).otherwise(0) + F.length(s)
+        fits = (at <= most) & (F.rlike(s, F.lit(r"[.!?;]$")) | (a["i"] + 1 == n))
+        return F.struct(at.alias("at"), (a["i"] + 1).alias("i"), F.when(fits, at).otherwise(a["end"]).alias("end"))
+
+    zero = F.lit(0)
+    end = F.aggregate(some, F.struct(zero.alias("at"), zero.alias("i"), zero.alias("end")), step, lambda a: F.when(a["end"] > 0, a["end"]).otherwise(most))
+    return F.substring(F.array_join(some, " "), F.lit(1), end)
 
 
 def compressed(texts: DataFrame, key: str, stopwords: list[str], negations: list[str], most: int = LETTERS, least: float = TELLING, boilerplate: list[str] = ()) -> DataFrame:
     """(key, text): texts(key, text) in so many letters at most: in a longer one the sentences that tell something, in their order, as many as fit.
 
     If none tells enough, the better half does. What is put together is cut at the ends of its sentences; a first sentence that is too long is cut itself.
+    A text is cut where it is read: nothing is shuffled. Long ones without any sentence give no row.
     """
     bare = texts.select(key, plain(F.col("text"), list(boilerplate)).alias("text"))
-    short = bare.where(F.length("text") <= most)
-    parts = F.filter(F.transform(F.split(F.regexp_replace("text", r"([.!?;])\s+|\n+", "$1\u0001"), "\u0001+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    flat = written(bare.where(F.length("text") > most).select(key, F.posexplode(parts).alias("i", "s")).withColumn("score", F.round(telling(F.col("s"), stopwords, negations), 9)), "sentences")
-    own, ordered = Window.partitionBy(key), Window.partitionBy(key).orderBy("i")
-    marked = flat.withColumn("n", F.count("*").over(own)).withColumn("good", F.max((F.col("score") >= least).cast("int")).over(own))
-    marked = marked.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "i")))
-    stays = F.when(F.col("n") == 1, True).when(F.col("good") == 1, F.col("score") >= least).otherwise(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / 2)))
-    kept = marked.where(stays)
-    # Sentences without a mark at their end run into the next one when they are put together.
-    ends = F.coalesce(F.sum(F.rlike("s", F.lit(r"[.!?;]$")).cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    units = kept.withColumn("u", ends).groupBy(key, "u").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ").alias("s"))
-    by = Window.partitionBy(key).orderBy("u")
-    used = units.withColumn("used", F.sum(F.length("s") + 1).over(by) - 1).withColumn("k", F.row_number().over(by))
-    fits = used.where((F.col("used") <= most) | (F.col("k") == 1)).withColumn("s", F.when(F.col("used") > most, F.substring("s", 1, most)).otherwise(F.col("s")))
-    long = fits.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("u", "s"))), lambda x: x["s"]), " ").alias("text"))
-    return short.unionByName(long)
+    parts = F.filter(F.transform(F.split(F.regexp_replace("text", r"([.!?;])\s+|\n+", "$1\u0001"), "\u0001"), lambda s: F.btrim(s, F.lit(BLANK))), lambda s: s != "")
+    scored = F.transform(parts, lambda s, i: F.struct(F.round(telling(s, stopwords, negations), 9).alias("score"), i.alias("i"), s.alias("s")))
+    none = F.array().cast("array<string>")
+    long = bound(scored, lambda p: F.when(F.size(p) > 0, F.array(bound(_chosen(p, least), lambda k: _cut(k, most)))).otherwise(none))
+    # An array that is written out, and no filter: a filter would work the text out a second time.
+    return bare.select(key, F.explode(F.when(F.length("text") <= most, F.array("text")).otherwise(long)).alias("text"))
 
 
 # ---- superlatives ----

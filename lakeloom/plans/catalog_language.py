@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.operators import language
 from lakeloom.plans.catalog import query
-from lakeloom.plans.relations import table
+from lakeloom.plans.relations import relined, table
 from lakeloom.sources import surface
 from lakeloom.sources.shared import new_path
 from lakeloom.streaming import stateful
@@ -69,8 +69,7 @@ MARKED = """CASE i % 6 WHEN 1 THEN '## **' || x || '**' WHEN 2 THEN '[' || x ||
 
 
 def marked(spark, sf):
-    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "x")).select("doc_id", "i", F.expr(MARKED).alias("line"))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return relined(spark, sf, MARKED)
 
 
 TIDY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]+\n', chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""

@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text
-from lakeloom.operators import chunking, cohesion
+from lakeloom.operators import chunking, cohesion, language
 from lakeloom.plans import catalog, catalog_text
 
 
@@ -114,3 +114,44 @@ def test_a_text_is_measured_where_it_is_read(spark, monkeypatch):
     assert got == {i: [round(x, 9) for x in want(t or "")] for i, t in enumerate(texts)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Join", "Aggregate", "Window", "Generate"))
+
+
+def test_a_text_is_compressed_where_it_is_read(spark):
+    """Odd marks, blanks and money against the plain patterns in order; nothing is shuffled, and the text is worked out once."""
+    filler = "of the to of the to"
+    rows = [
+        "a~*~b ~~~c *d*_e_ **f**", "x \t\n\n \n\n\ny  z\t\tw", "# h\n#no\n####### seven\n## [l](u) [m] (n)", "Page 1 of 2\nrest [a](b)[c](d", None, "\u0001" * 40, " \u0001\n" * 40,
+        f"{filler}; {filler} of. 5 TỶ of the to! 7 usd of the to? {filler}\n{filler} VNDx. {filler}: 3 Triệu of the.", f"{filler} " * 4 + "not. " + f"{filler}. " * 4, "word " * 12 + "\n" + "k " * 9,
+    ]
+
+    def tidy(t):
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]+\n", "\n", t))).strip(" \t\n\v\f\r")
+
+    def want(t):
+        t = tidy(re.sub(r"(?m)^Page \d+ of \d+$", "", tidy(t or "")))
+        t = re.sub(r"\*{1,3}|_{1,3}|~{2}", "", re.sub(r"\[([^\]]*)\]\([^\)]*\)", r"\1", t))
+        t = tidy(re.sub(r"(?m)^#{1,6}\s+", "", t))
+        if len(t) <= 30:
+            return [t]
+        parts = [p for p in (p.strip(" \t\n\v\f\r") for p in re.split("\u0001+", re.sub(r"([.!?;])\s+|\n+", "\\1\u0001", t))) if p]
+
+        def score(p):
+            w = re.findall(r"\w+", p.lower())
+            gain = [0.1 * bool(re.search(r"\d", p)), 0.15 * bool(re.search(r"(?ia)[$€₫]|\bVND\b|\bUSD\b|\btriệu\b|\btỷ\b|\bnghìn\b", p)), 0.1 * bool(re.search(r"\d{1,2}[/.\-]\d{1,2}|\d{4}", p)), 0.1 * bool(re.search(r"\d+\s*%", p)), 0.2 * ("not" in w)]
+            return round(min(1.0, sum(len(x) > 1 and x not in ("of", "the", "to") for x in w) / len(w) + sum(gain)), 9) if w else 0.0
+
+        kept = [p for p in parts if score(p) >= 0.2] or [parts[i] for i in sorted(sorted(range(len(parts)), key=lambda i: (-score(parts[i]), i))[: max(1, len(parts) // 2)])]
+        kept = parts if len(parts) == 1 else kept
+        units = [""]
+        for p in kept:
+            units[-1] = f"{units[-1]} {p}".strip(" ")
+            units += [""] * (p[-1] in ".!?;")
+        units = [u for u in units if u]
+        fits = [" ".join(units[: k + 1]) for k in range(len(units)) if len(" ".join(units[: k + 1])) <= 30]
+        return [fits[-1] if fits else units[0][:30]] if units else []
+
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    out = language.compressed(df, "id", ["of", "the", "to"], ["not"], 30, 0.2, [r"(?m)^Page \d+ of \d+$"])
+    assert sorted(map(tuple, out.collect())) == [(i, t) for i, row in enumerate(rows) for t in want(row)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Aggregate", "Window", "Filter")) and plan.count("Page") == 1
