@@ -85,8 +85,7 @@ def table_group_chunks(spark, sf):
     UNION ALL SELECT e.doc_id, region, 'after', header || chr(10) || tail || chr(10) || said FROM ends e JOIN said s ON e.doc_id = s.doc_id AND gap = region AND longest > 30)
   SELECT * FROM sides WHERE length(content) <= 1500""")
 def table_surroundings(spark, sf):
-    lines = regions.table_lines(sheets(spark, sf))
-    return regions.surrounding_chunks(lines, regions.data_rows(lines))
+    return regions.surroundings(sheets(spark, sf))
 
 
 # ---- blocks that stay whole ----

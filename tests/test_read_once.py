@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from lakeloom.functions import text
-from lakeloom.operators import chunking, cohesion, language
+from lakeloom.operators import chunking, cohesion, language, regions
 from lakeloom.plans import catalog, catalog_text
 
 
@@ -155,3 +155,23 @@ def test_a_text_is_compressed_where_it_is_read(spark):
     assert sorted(map(tuple, out.collect())) == [(i, t) for i, row in enumerate(rows) for t in want(row)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any(x in plan for x in ("Join", "Aggregate", "Window", "Filter")) and plan.count("Page") == 1
+
+
+def test_tables_are_read_where_their_document_is(spark):
+    """Surroundings as from lines and rows; neither windows, joins nor shuffles; documents without a key have none."""
+    long = "A line that is long enough to tell something about the table"
+    texts = [
+        f"{long}\na,b\n1,2\n3,4\n5,6\n7,8\n{long}", None, "", f"a,b\n{long}\n1,2,3\n4,5,6\n,,x\n\n \t\n7,8,9\nshort\n{long}é", f"h,k\nh,k\n, ,\n{long}", f"{long}\n1,2\n3,4\n5,6,7\n8,9,0\n{long}",
+        f"{long}\n" * 30 + "a,b\nc,d\ne,f", "x, \ny, \na,b,\nc,d,",
+    ]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    lines = regions.table_lines(docs)
+    got = regions.surroundings(docs)
+    want = regions.surrounding_chunks(lines, regions.data_rows(lines))
+    assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and [r[:3] for r in rows] == [(0, 1, "after"), (0, 1, "before"), (3, 1, "after"), (3, 1, "before"), (5, 1, "before"), (5, 2, "after")]
+    assert rows[0][3] == f"a,b\n3,4\n5,6\n7,8\n{long}" and rows[2][3] == f"a,b\n1,2,3\n4,5,6\n,,x\n7,8,9\nshort\n{long}é"
+    for df in (got, regions.data_rows(lines)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Join", "Aggregate", "Window", "Sort"))
