@@ -27,13 +27,15 @@ def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
 
     A query with one list keeps its scores. Equal fused scores are ordered by first appearance: list, then rank.
     """
-    first = F.min(F.struct("list_id", "rank")).alias("first")
-    score = F.sum(F.lit(1.0) / (k + F.col("rank") + 1))
-    fused = lists.groupBy(Q, C).agg(F.round(score, 12).alias("fused"), first, F.max("score").alias("own"))
-    single = lists.groupBy(Q).agg((F.countDistinct("list_id") == 1).alias("single"))
-    out = fused.join(single, Q).withColumn("score", F.when(F.col("single"), F.col("own")).otherwise(F.col("fused")))
+    # A union of lists that are dealt by query claims their partitions, but adaptive execution may cut those of each list differently. A key of both ids, made here, is dealt anew.
+    rows = lists.where(F.col(Q).isNotNull()).select(F.struct(Q, C).alias("key"), "list_id", "rank", "score")
+    score = F.round(F.sum(F.lit(1.0) / (k + F.col("rank") + 1)), 12).alias("fused")
+    ends = (F.min("list_id").alias("low"), F.max("list_id").alias("high"))
+    fused = rows.groupBy("key").agg(score, F.min(F.struct("list_id", "rank")).alias("first"), F.max("score").alias("own"), *ends).select("key.*", "fused", "first", "own", "low", "high")
+    whole = Window.partitionBy(Q)
+    out = fused.withColumn("single", F.min("low").over(whole) == F.max("high").over(whole)).withColumn("score", F.when(F.col("single"), F.col("own")).otherwise(F.col("fused")))
     # One list keeps its order.
-    order = Window.partitionBy(Q).orderBy(F.desc(F.when(F.col("single"), F.lit(0.0)).otherwise(F.col("fused"))), "first")
+    order = whole.orderBy(F.desc(F.when(F.col("single"), F.lit(0.0)).otherwise(F.col("fused"))), "first")
     return out.withColumn("rank", F.row_number().over(order)).select(Q, C, "score", "rank")
 
 

@@ -96,3 +96,32 @@ def test_values_within_lambdas_are_worked_out_once(spark, tmp_path):
     plans = {n: catalog.QUERIES[n](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString() for n in ("repeated_line_cleaning", "shingle_overlap")}
     assert plans["repeated_line_cleaning"].count("array_sort(") == 1 and plans["repeated_line_cleaning"].count("split(") == 1
     assert plans["shingle_overlap"].count("split(") == 2
+
+
+def test_fusion_of_a_union_of_lists(spark):
+    """Lists that windows have dealt by query: the union claims their partitions, but adaptive execution reads those of each list by itself."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from lakeloom.operators import ranking
+
+    scores = {(i % 20, i): i * 31 % 101 / 101 for i in range(400)}
+    rows = spark.range(400).select((F.col("id") % 20).alias("query_id"), F.col("id").alias("chunk_id"), (F.col("id") * 31 % 101 / 101).alias("score"))
+    dense = ranking.ranked(rows.mapInArrow(lambda batches: batches, rows.schema), 30)
+    own = Window.partitionBy("query_id").orderBy("chunk_id")
+    second = dense.where("query_id % 10 = 0 AND chunk_id % 40 = 0").select("query_id", F.lit(1).alias("list_id"), (F.row_number().over(own) - 1).alias("rank"), "chunk_id", "score")
+    lists = dense.select("query_id", F.lit(0).alias("list_id"), (F.col("rank") - 1).alias("rank"), "chunk_id", "score").union(second)
+    want = set()
+    for q in range(20):
+        both = [sorted((c for p, c in scores if p == q), key=lambda c: (-scores[q, c], c)), [c for p, c in scores if p == q and q % 10 == 0 and c % 40 == 0]]
+        places = {c: [(i, x.index(c)) for i, x in enumerate(both) if c in x] for c in both[0]}
+        fused = {c: round(sum(1 / (61 + at) for _, at in p), 12) for c, p in places.items()}
+        order = sorted(places, key=lambda c: (-fused[c] if both[1] else 0, places[c]))
+        want |= {(q, c, round(fused[c] if both[1] else scores[q, c], 9), i + 1) for i, c in enumerate(order)}
+    got = [(r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in ranking.rrf(lists).collect()]
+    assert len(got) == 400 and set(got) == want
+
+
+def test_fused_lists_search_once(spark):
+    plan = catalog.QUERIES["rrf_quota"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
