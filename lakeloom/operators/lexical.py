@@ -7,6 +7,7 @@ sum over all minimal covers, the shortest stretches that satisfy the query.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from itertools import groupby
@@ -33,6 +34,8 @@ LOG_LENGTH, LENGTH, DISTANCE, DISTINCT, LOG_DISTINCT, SCALED = 1, 2, 4, 8, 16, 3
 
 #: Terms of all queries that are held against each chunk where it is read; different patterns that each text is held against.
 HELD, PATTERNS = 20_000, 200
+#: Different questions of a block of a search for symbols, and finds that a task gathers before it keeps the best.
+QUESTIONS, GATHERED = 50_000, 500_000
 
 
 def terms(text: Column) -> Column:
@@ -159,6 +162,14 @@ def websearch(queries: DataFrame, index: DataFrame, flags: int = LOG_LENGTH | DI
     return literals.join(places, [Q, C]).select(Q, C, "literals", "entries", "size", "n_terms").mapInArrow(rank, f"{Q} {kinds[0]}, {C} {kinds[1]}, score double")
 
 
+def _starts(literal: dict[int, int], places: dict[int, list[int]]) -> list[int]:
+    """Where a word or phrase {place in it: term} starts, by the places of terms."""
+    if len(literal) == 1:
+        return [p - at for at, t in literal.items() for p in places.get(t, ())]
+    common = set.intersection(*({p - at for p in places.get(t, ())} for at, t in literal.items()))
+    return sorted(common)
+
+
 def websearch_texts(queries: DataFrame, chunks: DataFrame, flags: int = LOG_LENGTH | DISTANCE, held: int = HELD) -> DataFrame:
     """websearch of chunks(chunk_id, content) without an index: each chunk is read once and held against all queries where it is read, so neither places nor hits are shuffled.
 
@@ -182,12 +193,6 @@ def websearch_texts(queries: DataFrame, chunks: DataFrame, flags: int = LOG_LENG
     kinds = [t.schema[c].dataType.simpleString() for t, c in ((queries, Q), (chunks, C))]
     query_type = pa.array([r[Q] for r in rows[:1]]).type if rows else pa.int64()
 
-    def starts(literal: dict[int, int], places: dict[int, list[int]]) -> list[int]:
-        if len(literal) == 1:
-            return [p - at for at, t in literal.items() for p in places.get(t, ())]
-        common = set.intersection(*({p - at for p in places.get(t, ())} for at, t in literal.items()))
-        return sorted(common)
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         must = np.zeros((len(known), len(groups)), np.float32)
         for k, (_, whole, _) in enumerate(groups):
@@ -222,8 +227,8 @@ def websearch_texts(queries: DataFrame, chunks: DataFrame, flags: int = LOG_LENG
                     good: dict = {}
                     for _, k in of:
                         q, stand, denied = groups[k]
-                        found = [(len(x), starts(x, places)) for x in stand]
-                        if all(s for _, s in found) and not any(starts(x, places) for x in denied):
+                        found = [(len(x), _starts(x, places)) for x in stand]
+                        if all(s for _, s in found) and not any(_starts(x, places) for x in denied):
                             good.setdefault(q, []).append(found)
                     for q, found in good.items():
                         entries = sorted({p for t in terms_of[q] for p in places.get(t, ())})
@@ -256,6 +261,172 @@ def with_symbols(queries: DataFrame, index: DataFrame, flags: int = LOG_LENGTH |
     return both.select(Q, C, (F.coalesce("score", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("score"))
 
 
+class Best:
+    """The k best finds of each of n questions over a task's batches: highest scores first, rounded, then least chunk ids."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least, self.parts, self.size = k, np.full(n, -np.inf), [], 0
+
+    def add(self, question: np.ndarray, score: np.ndarray, ids: pa.Array, at: np.ndarray) -> None:
+        """Finds of the ids in the places at."""
+        score = np.floor(score * 1e9 + 0.5) / 1e9
+        some = score >= self.least[question]
+        if some.any():
+            self.parts.append(pa.table({"q": question[some].astype(np.int32), "score": score[some], "id": ids.take(pa.array(at[some]))}))
+            self.size += int(some.sum())
+            if self.size > GATHERED:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.parts:
+            return
+        both = pa.concat_tables(self.parts)
+        both = both.take(pc.sort_indices(both, sort_keys=[("q", "ascending"), ("score", "descending"), ("id", "ascending")]))
+        q = both.column("q").to_numpy()
+        starts = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.append(starts, len(q))))
+        last = np.flatnonzero(place == self.k - 1)
+        self.least[q[last]] = both.column("score").to_numpy()[last]
+        # What stays counts towards the next time only by half of the bound, so that many questions don't settle with each batch.
+        self.parts = [both.filter(pa.array(place < self.k)).combine_chunks()]
+        self.size = min(self.parts[0].num_rows, GATHERED // 2)
+
+
+def best_with_symbols(queries: DataFrame, chunks: DataFrame, k: int, flags: int = LOG_LENGTH | DISTANCE, boost: float = SYMBOL_BOOST, questions: int = QUESTIONS) -> DataFrame:
+    """(query_id, chunk_id, score, rank): best of with_symbols over chunks(chunk_id, content) without an index.
+
+    Queries that ask for the same words are one question. Each chunk is read once and held against all questions where it is read: those of a single word are answered for all of the chunk's
+    words at once, the others where their words stand, and a task passes on the k best of each. Beyond so many questions, they are answered in blocks.
+    """
+    named = written(queries.select(Q, F.lower(F.coalesce("text", F.lit(""))).alias("text"), F.lower(symbol(F.col("text"))).alias("code")), "asked")
+    different = named.select("text", "code").distinct()
+    n = max(1, -(-different.count() // questions))
+    found = []
+    for i in range(n):
+        part = different.where(F.pmod(F.xxhash64("text", "code"), F.lit(n)) == i)
+        numbers, finds = _symbol_block(part, chunks, k, flags, boost)
+        own = Window.partitionBy("number").orderBy(F.desc("score"), C)
+        first = finds.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
+        found.append(first.join(F.broadcast(numbers), "number").join(named, ["text", "code"]).select(Q, C, "score", "rank"))
+    if n > 1:
+        found = [written(df, "symbols") for df in found]
+    return functools.reduce(DataFrame.union, found)
+
+
+def _symbol_block(different: DataFrame, chunks: DataFrame, k: int, flags: int, boost: float) -> tuple[DataFrame, DataFrame]:
+    """(number, text, code) of the questions and (number, chunk_id, score) of what tasks find for them."""
+    spark, kind = different.sparkSession, chunks.schema[C].dataType.simpleString()
+    names = different.select(F.struct("text", "code").alias(Q), "text")
+    literals: dict = {}
+    for r in parsed(names).collect():
+        literals.setdefault(r[Q], {}).setdefault(r["grp"], {}).setdefault((r["negated"], r["lit"]), {})[r["at"]] = r["term"]
+    number: dict = {}
+    rows = []
+    for r in names.select(Q, terms(F.col(f"{Q}.code")).alias("t")).collect():
+        alternatives = []
+        for own in literals.get(r[Q], {}).values():
+            sides = [sorted(tuple(sorted(x.items())) for (no, _), x in own.items() if no == side) for side in (False, True)]
+            alternatives.append(tuple(map(tuple, sides)))
+        question = (tuple(sorted(alternatives)), tuple(enumerate(r["t"])))
+        rows.append((number.setdefault(question, len(number)), r[Q]["text"], r[Q]["code"]))
+    shared = spark.sparkContext.broadcast(list(number))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        known = sorted({t for groups, code in asked for x in (*(lit for g in groups for side in g for lit in side), code) for _, t in x})
+        at_term = {t: i for i, t in enumerate(known)}
+        coded = lambda x: {p: at_term[t] for p, t in x}
+        single, groups, words = [], [], {}
+        for q, (alternatives, code) in enumerate(asked):
+            if len(alternatives) == 1 and not code and len(alternatives[0][0]) == 1 and len(alternatives[0][0][0]) == 1 and not alternatives[0][1]:
+                ((_, t),) = alternatives[0][0][0]
+                single.append((at_term[t], q))
+                continue
+            words[q] = sorted({at_term[t] for g in alternatives for side in g for x in side for _, t in x})
+            groups += [(q, [coded(x) for x in stand], [coded(x) for x in denied]) for stand, denied in alternatives if stand]
+            groups += [(q, None, [coded(code)])] if code else []
+        alone = np.full(len(known) + 1, -1)
+        alone[[t for t, _ in single]] = [q for _, q in single]
+        # By term: the groups that need it.
+        needs = [sorted({t for x in (last if stand is None else stand) for t in x.values()}) for _, stand, last in groups]
+        need, pair = np.array([len(x) for x in needs], np.int64), np.array([(t, g) for g, x in enumerate(needs) for t in x], np.int64).reshape(-1, 2)
+        pair = pair[np.argsort(pair[:, 0], kind="stable")]
+        degree = np.bincount(pair[:, 0], minlength=len(known) + 1)
+        offset, value_set, top = np.cumsum(degree) - degree, pa.array(known, pa.string()), Best(len(asked), k)
+        for whole in batches if known else ():
+            for low in range(0, whole.num_rows, 500):
+                b = whole.slice(low, 500)
+                lists = b.column(1)
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                encoded = pc.dictionary_encode(lists.flatten())
+                if not len(encoded):
+                    continue
+                code = encoded.indices.to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                n_terms = np.bincount(np.unique(row * len(encoded.dictionary) + code) // len(encoded.dictionary), minlength=len(sizes)) if flags & (DISTINCT | LOG_DISTINCT) else sizes
+                term = pc.fill_null(pc.index_in(encoded.dictionary, value_set=value_set), -1).to_numpy()[code]
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+                key = (row * len(known) + term)[term >= 0]
+                place = place[term >= 0][order := np.argsort(key, kind="stable")]
+                key = key[order]
+                if not len(key):
+                    continue
+                new = np.append(True, key[1:] != key[:-1])
+                cuts = np.flatnonzero(new)
+                ends, runs = np.append(cuts[1:], len(key)), key[cuts]
+                at, term = np.divmod(runs, len(known))
+                # A single word: each place is a cover.
+                some = np.flatnonzero(alone[term] >= 0)
+                near = np.bincount((np.cumsum(new) - 1)[~new], weights=1 / np.diff(place)[~new[1:]], minlength=len(cuts))[some]
+                times, size, different = (ends - cuts)[some], sizes[at[some]], n_terms[at[some]]
+                total = PLACE_WEIGHT * times
+                total = total / np.log(size + 1) if flags & LOG_LENGTH else total
+                total = total / size if flags & LENGTH else total
+                total = np.where(near > 0, total * near / times, total) if flags & DISTANCE else total
+                total = total / different if flags & DISTINCT else total
+                total = total / np.log2(different + 1) if flags & LOG_DISTINCT else total
+                top.add(alone[term[some]], total / (total + 1) if flags & SCALED else total, b.column(0), at[some])
+                if not groups:
+                    continue
+                deg = degree[term]
+                of = pair[np.arange(deg.sum()) - np.repeat(np.cumsum(deg) - deg, deg) + np.repeat(offset[term], deg), 1]
+                met, has = np.unique(np.repeat(at, deg) * len(groups) + of, return_counts=True)
+                rows, of = np.divmod(met, len(groups))
+                full = has == need[of]
+                out: dict = {}
+                for i, g in zip(rows[full].tolist(), of[full].tolist()):
+                    out.setdefault((i, groups[g][0]), []).append(g)
+                scores = []
+                for (i, q), own in out.items():
+                    places = {}
+                    for t in {t for g in own for x in (*(groups[g][1] or ()), *groups[g][2]) for t in x.values()}.union(words[q]):
+                        j = np.searchsorted(runs, i * len(known) + t)
+                        if j < len(runs) and runs[j] == i * len(known) + t:
+                            places[t] = place[cuts[j] : ends[j]].tolist()
+                    good, gain = [], 0.0
+                    for _, stand, last in (groups[g] for g in own):
+                        if stand is None:
+                            gain = boost if _starts(last[0], places) else 0.0
+                            continue
+                        held = [(len(x), _starts(x, places)) for x in stand]
+                        if all(s for _, s in held) and not any(_starts(x, places) for x in last):
+                            good.append(held)
+                    if good or gain:
+                        entries = sorted({p for t in words[q] for p in places.get(t, ())})
+                        scores.append((q, i, gain + (cover_score(good, entries, int(sizes[i]), int(n_terms[i]), flags) if good else 0.0)))
+                if scores:
+                    q, i, total = (np.array(x) for x in zip(*scores))
+                    top.add(q, total, b.column(0), i)
+        top.settle()
+        for part in top.parts:
+            yield from part.select(["q", "id", "score"]).rename_columns(["number", C, "score"]).to_batches(max_chunksize=10_000)
+
+    split = chunks.select(C, terms(F.col("content")).alias("t")).where(F.size("t") > 0)
+    finds = split.mapInArrow(search, f"number int, {C} {kind}, score double")
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string()))]
+    return spark.createDataFrame(pa.table(columns, ["number", "text", "code"])), finds
+
+
 def anchored(found: DataFrame, chunks: DataFrame, patterns: DataFrame) -> DataFrame:
     """found(query_id, chunk_id, ...) under the structural anchors that patterns(query_id, pattern) names, as LIKE patterns of the chunk's content.
 

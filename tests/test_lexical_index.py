@@ -124,3 +124,33 @@ def test_texts_held_against_queries_find_what_the_index_finds(spark):
         assert {(r.query_id, r.chunk_id): round(r.score, 12) for r in lexical.websearch_texts(queries, chunks, flags, held=1).collect()} == want
         plan = got._jdf.queryExecution().toString()
         assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_symbols_held_against_texts_find_what_the_index_finds(spark, monkeypatch):
+    """Repeated questions, single words, phrases, alternatives, codes whose words stand apart, null questions; in one block and in many, with few finds gathered; all flags."""
+    rnd = random.Random(6)
+    docs = [(i, " ".join(rnd.choice(["a", "B", "c", "dd", "e1", "f(a)", "dd/c.a", "x f"]) for _ in range(rnd.randrange(1, 25)))) for i in range(80)] + [(90, None), (91, ".."), (92, "a " * 40)]
+    asks = ["a", "A", "a ", "zz", None, "", "c f(a)", "dd/c.a", "e1 dd/c.a", '"a b" c', 'a -b or "c dd" e1', "or", "f(a) or dd", "f(zz)", "-a", "a a", "DD/c.a e1", "or a"]
+    chunks, queries = spark.createDataFrame(docs, "chunk_id long, content string"), spark.createDataFrame(list(enumerate(asks)), "query_id long, text string")
+    index = lexical.positional_index(chunks)
+    monkeypatch.setattr(lexical, "GATHERED", 40)
+    for flags, k, questions in ((lexical.LOG_LENGTH | lexical.DISTANCE, 5, 50), (63, 100, 4)):
+        want = sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in lexical.best(lexical.with_symbols(queries, index, flags), k).collect())
+        got = sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in lexical.best_with_symbols(queries, chunks, k, flags, questions=questions).collect())
+        assert len({q for q, *_ in want}) > 9 and got == want
+
+
+def test_a_task_passes_on_the_best_of_each_question(spark):
+    """Forty queries that ask for one word of 3,000 texts: one question, and no more rows than are asked for leave a task."""
+    chunks = spark.range(3000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("word "), F.repeat(F.lit("x "), (F.col("id") % 7).cast("int"))).alias("content")).coalesce(2)
+    queries = spark.range(40).select(F.col("id").alias("query_id"), F.lit("Word").alias("text"))
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def shuffled():
+        stages = store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = shuffled()
+    got = lexical.best_with_symbols(queries, chunks, 3).collect()
+    assert sorted((r.query_id, r["rank"], r.chunk_id) for r in got) == [(q, i + 1, 7 * i) for q in range(40) for i in range(3)]
+    assert sum(n for i, n in shuffled().items() if i not in before) < 500
